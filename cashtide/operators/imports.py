@@ -21,6 +21,7 @@ SOURCE_SYSTEM = "SEVDESK"
 CREATED_BY = "etl:sevdesk"
 DEFAULT_FILENAME = "upload.csv"
 DEFAULT_USER = "retool"
+PINNED = ("invoice", "payment_schedule")
 RUN_COUNTS = ["rows_received", "rows_promoted", "rows_rejected"]
 DAY_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 AMOUNT_PATTERN = r"^[0-9]+(\.[0-9]{1,2})?\z"
@@ -264,7 +265,7 @@ def import_run(
     T = dict(T)
     try:
         T["invoice"] = import_promote(T["invoice"], staged, run_ts, on_duplicate)
-        T = rule_pipeline(T, as_of, horizon, run_ts, pin=True)
+        T = rule_pipeline(T, as_of, horizon, run_ts, pin=PINNED)
     except Exception as failure:
         raise ImportFailed(str(failure), import_run_log(opened, None, run_ts, str(failure))) from failure
     staged = import_stamp_promoted(staged, run_ts)

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from cashtide.operators.rules import HORIZON_DAYS, apply_milestone_rules, rule_forecast, rule_payment_schedule
+from cashtide.operators.rules import (
+    HORIZON_DAYS,
+    apply_milestone_rules,
+    rule_advance_schedule,
+    rule_forecast,
+    rule_payment_schedule,
+)
 from cashtide.operators.star import star_refresh
 from cashtide.session import materialise
 
@@ -17,20 +23,23 @@ def rule_pipeline(
     as_of: dt.date,
     horizon: int = HORIZON_DAYS,
     run_ts: dt.datetime | None = None,
-    pin: bool = False,
+    pin: Sequence[str] = ("payment_schedule",),
 ) -> dict[str, DataFrame]:
     """Schedules, milestone rules, forecast and star schema, as new tables.
 
-    With ``pin`` the invoices and the schedule are checkpointed once, for
-    callers that read many of the resulting tables.
+    The tables named by ``pin`` are checkpointed after the milestone rules.  The
+    forecast reads the schedule several times, so it is pinned unless told
+    otherwise; callers that also read the invoices repeatedly add those.
     """
     T = dict(T)
-    T["payment_schedule"] = rule_payment_schedule(
+    scheduled = rule_payment_schedule(
         T["project"], T["ref_milestone_type"], T.get("payment_schedule"), run_ts=run_ts
     )
-    T = apply_milestone_rules(T, run_ts=run_ts)
-    if pin:
+    T = apply_milestone_rules({**T, "payment_schedule": scheduled}, run_ts=run_ts)
+    if "invoice" in pin:
         T["invoice"] = materialise(T["invoice"])
+        T["payment_schedule"] = rule_advance_schedule(scheduled, T["invoice"], run_ts=run_ts)
+    if "payment_schedule" in pin:
         T["payment_schedule"] = materialise(T["payment_schedule"])
     T["cashflow_forecast"] = rule_forecast(T, as_of, horizon, run_ts)
     return star_refresh(T, as_of, horizon)

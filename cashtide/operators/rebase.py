@@ -22,6 +22,7 @@ MOVED_DATES = {
     "invoice": ["invoice_date", "due_date"],
     "payment": ["payment_date"],
 }
+PINNED = ("invoice", "payment_schedule")
 NOTHING_TO_MOVE = "no purchase orders found; nothing to rebase"
 
 
@@ -59,7 +60,7 @@ def rebase_dates(
         note = F.to_json(F.struct(F.lit(0).alias("shiftDays"), F.lit(NOTHING_TO_MOVE).alias("note")))
         return dict(T), spark.range(1).select(note.alias("report"))
     shift = (as_of - dt.timedelta(days=lag) - newest).days
-    moved = rule_pipeline(shift_tables(T, shift, run_ts), as_of, horizon, run_ts, pin=True)
+    moved = rule_pipeline(shift_tables(T, shift, run_ts), as_of, horizon, run_ts, pin=PINNED)
     return moved, rebase_report(T, moved, shift, as_of, lag, horizon)
 
 

@@ -52,8 +52,8 @@ FORECAST_COLUMNS = [
 ]
 
 
-def schedule_id(project_id: Column, milestone_code: Column) -> Column:
-    return project_id * F.lit(1 << SLOT_BITS) + short_key(milestone_code, SLOT_BITS // 4)
+def milestone_slot(milestone_code: Column) -> Column:
+    return short_key(milestone_code, SLOT_BITS // 4)
 
 
 def rule_payment_schedule(
@@ -74,13 +74,17 @@ def rule_payment_schedule(
         if project.isEmpty():
             raise ValueError(f"Project {project_id} does not exist")
     milestones = milestone_type.filter("is_milestone").select(
-        "milestone_code", "percentage", "part_of_split", F.col("default_due_offset_days").alias("due_offset_days")
+        "milestone_code",
+        "percentage",
+        "part_of_split",
+        F.col("default_due_offset_days").alias("due_offset_days"),
+        milestone_slot(F.col("milestone_code")).alias("slot"),
     )
     due = (
         project.select("project_id", "total_value", (F.col("total_value") >= threshold).alias("part_of_split"))
         .join(milestones, "part_of_split")
         .select(
-            schedule_id(F.col("project_id"), F.col("milestone_code")).alias("schedule_id"),
+            (F.col("project_id") * F.lit(1 << SLOT_BITS) + F.col("slot")).alias("schedule_id"),
             "project_id",
             "milestone_code",
             "due_offset_days",

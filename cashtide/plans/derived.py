@@ -34,7 +34,7 @@ FROM {orders}""",
     "line_doc": """
 SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS doc_id,
        l_orderkey, l_partkey, l_suppkey, l_linenumber,
-       min(l_returnflag) AS rf, min(l_linestatus) AS ls,
+       chr(min(ascii(l_returnflag))) AS rf, chr(min(ascii(l_linestatus))) AS ls,
        CAST(min(l_shipdate) AS DATE) AS ship_date,
        CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS price,
        CAST(min(l_quantity) AS DECIMAL(12,2)) AS qty
@@ -121,6 +121,10 @@ SELECT run_id, row_number,
        raw_project_id, raw_invoice_date, raw_due_date, raw_amount, raw_status
 FROM {staging} LEFT JOIN (SELECT project_id, min(invoice_number) AS invoice_number FROM {invoice} GROUP BY project_id) AS known
   ON CAST(row_number - 2 AS BIGINT) = known.project_id""",
+    # A payment names the first revenue document of its order, where there is one.
+    "first_doc": """
+SELECT l_orderkey AS first_order, min(doc_id) AS first_doc
+FROM {line_doc} WHERE l_linenumber <= 2 GROUP BY l_orderkey""",
     "ledger": """
 SELECT doc_id AS line,
        CASE l_linenumber WHEN 1 THEN '4400' WHEN 2 THEN '4400' WHEN 3 THEN '1800' WHEN 4 THEN '5400'
@@ -133,12 +137,12 @@ SELECT doc_id AS line,
             ELSE concat(CAST((l_partkey % 20 + 1) * 100 AS STRING), ',50') END AS umsatz,
        CASE WHEN l_partkey % 499 = 0 THEN '3002' WHEN l_partkey % 3 = 0 THEN '105'
             WHEN l_partkey % 3 = 1 THEN '3112' ELSE '1506' END AS belegdatum,
-       CASE WHEN l_linenumber = 3 THEN CAST(doc_id - 2 AS STRING) ELSE CAST(doc_id AS STRING) END AS belegfeld1,
+       CASE WHEN l_linenumber = 3 THEN CAST(coalesce(first_doc, doc_id - 2) AS STRING) ELSE CAST(doc_id AS STRING) END AS belegfeld1,
        concat('Posting ', CAST(l_partkey AS STRING)) AS buchungstext,
        CASE WHEN l_partkey % 4 = 0 THEN ''
             WHEN l_partkey % 7 = 0 THEN concat('Party ', CAST(l_suppkey AS STRING), ' GmbH')
             ELSE concat('Party ', CAST(l_suppkey AS STRING)) END AS name
-FROM {line_doc}""",
+FROM {line_doc} LEFT JOIN {first_doc} ON first_order = l_orderkey""",
     # --- state left by earlier runs, for the operators that change a table --
     "schedule_before": """
 SELECT -(project_id * 10 + 1) AS schedule_id, project_id, 'STAGE_1_ROOF' AS milestone_code,
@@ -173,6 +177,11 @@ FROM {customer_rec} WHERE customer_id % 2 = 0""",
     "cost_types_before": """
 SELECT DISTINCT 'Operational Overhead' AS cost_category, overhead_category AS cost_subcategory, false AS is_indirect
 FROM {operational_cost} WHERE overhead_category IN ('Rent', 'Fuel')""",
+    # Some customers have settled everything and may be erased.
+    "settled_invoice": """
+SELECT i.invoice_id, i.project_id, i.invoice_number, i.invoice_date, i.due_date, i.amount,
+       CASE WHEN p.customer_id % 15 = 0 THEN 'Paid' ELSE i.status END AS status
+FROM {invoice} AS i LEFT JOIN {project} AS p ON p.project_id = i.project_id""",
     "erasure_request": """
 SELECT customer_id FROM {customer_rec} WHERE customer_id % 5 = 0
 UNION ALL

@@ -296,7 +296,7 @@ SELECT r.customer_id, CASE WHEN c.customer_id IS NULL THEN 'unknown' WHEN c.pseu
          WHEN coalesce(o.n, 0) > 0 THEN 'refused' ELSE 'allowed' END AS verdict,
        CAST(coalesce(o.n, 0) AS BIGINT) AS open_invoices
 FROM {erasure_request} r LEFT JOIN {customer_rec} c ON c.customer_id = r.customer_id
-LEFT JOIN (SELECT p.customer_id, count(*) AS n FROM {invoice} i JOIN {project} p ON p.project_id = i.project_id
+LEFT JOIN (SELECT p.customer_id, count(*) AS n FROM {settled_invoice} i JOIN {project} p ON p.project_id = i.project_id
            WHERE i.status IN (SELECT status_code FROM {ref_invoice_status} WHERE counts_as_receivable)
            GROUP BY p.customer_id) o ON o.customer_id = r.customer_id""",
     "to_erase": "SELECT customer_id FROM {verdict} WHERE verdict = 'allowed'",
@@ -700,7 +700,7 @@ SELECT run_id, 'batch.csv' AS source_filename, '{RUN_TS}' AS started_at, row_num
        raw_amount, rejection_reason FROM {{checked}} WHERE rejection_reason IS NOT NULL""",
     "view_liquidity_alert": """
 SELECT full_date, cumulative_position, CASE WHEN cumulative_position < 0 THEN 'NEGATIVE' ELSE 'BELOW_BUFFER' END AS liquidity_status
-FROM {daily} WHERE cumulative_position < 10000""",
+FROM {daily_moved} WHERE cumulative_position < 10000""",
     "view_payment_schedule": """
 SELECT n.schedule_id, n.project_id, n.milestone_code, m.milestone_label, m.percentage, n.due_offset_days, n.expected_amount, n.status
 FROM {advanced} n JOIN {ref_milestone_type} m ON m.milestone_code = n.milestone_code""",
@@ -796,6 +796,10 @@ SELECT customer_id AS customer_key, customer_id,
        {_erased({"customer_name": "'ANONYMIZED'", "city": "'REDACTED'", "postal_code": "'00000'"}, IN_ERASED)}
 FROM (SELECT customer_id, first_name || ' ' || last_name AS customer_name, city, postal_code FROM {{customer_rec}})""",
     "rebase_dates": "SELECT * FROM {daily_moved}",
+    "rebase_report": f"""
+SELECT {MOVED} AS "shiftDays", (SELECT count(*) FROM {{project}}) AS project, (SELECT count(*) FROM {{purchase_order}}) AS purchase_order,
+       (SELECT count(*) FROM {{cost}}) AS cost, (SELECT count(*) FROM {{invoice}}) AS invoice, (SELECT count(*) FROM {{payment}}) AS payment,
+       (SELECT CAST(count(*) AS INT) FROM {{daily_moved}} WHERE cumulative_position < 10000) AS alert_days""",
     # audits
     "audit_keys": _audit_keys(),
     "audit_foreign_keys": _audit_references(),

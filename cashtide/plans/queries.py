@@ -63,9 +63,13 @@ def with_past(d: Derived, T: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def starred(d: Derived) -> dict[str, DataFrame]:
     """Tables after the whole chain."""
-    T = with_past(d, ruled(d))
-    T["cashflow_forecast"] = rules.rule_forecast(T, AS_OF)
-    return star.star_refresh(T, AS_OF)
+    return rule_pipeline({**with_past(d, d.tables()), "payment_schedule": d["schedule_before"]}, AS_OF)
+
+
+def settled(d: Derived) -> dict[str, DataFrame]:
+    """Tables after the rules, with the schedule stored as the forecast finds it."""
+    T = ruled(d)
+    return {**T, "payment_schedule": materialise(T["payment_schedule"])}
 
 
 def classified(d: Derived) -> DataFrame:
@@ -250,13 +254,13 @@ def rule_advance_schedule(d: Derived) -> DataFrame:
 
 @query
 def rule_forecast(d: Derived) -> DataFrame:
-    return rules.rule_forecast(with_past(d, ruled(d)), AS_OF)
+    return rules.rule_forecast(with_past(d, settled(d)), AS_OF)
 
 
 @query
 def rule_pipeline_totals(d: Derived) -> DataFrame:
     """The whole chain, as counts and sums per kind of row."""
-    T = rule_pipeline({**with_past(d, d.tables()), "payment_schedule": d["schedule_before"]}, AS_OF)
+    T = starred(d)
 
     def totals(table: str, kind: str, amount: str) -> DataFrame:
         return (
@@ -276,7 +280,7 @@ def rule_pipeline_totals(d: Derived) -> DataFrame:
 
 @query
 def forecast_milestones(d: Derived) -> DataFrame:
-    return rules.forecast_milestones(ruled(d), AS_OF)
+    return rules.forecast_milestones(settled(d), AS_OF)
 
 
 @query
@@ -367,7 +371,9 @@ def view_etl_rejections(d: Derived) -> DataFrame:
 
 @query
 def view_liquidity_alert(d: Derived) -> DataFrame:
-    return views.view_liquidity_alert(starred(d), AS_OF)
+    """Alert days of the moved calendar, which opens below zero."""
+    moved, _ = rebase.rebase_dates(with_past(d, d.tables()), AS_OF)
+    return views.view_liquidity_alert(moved, AS_OF)
 
 
 @query
@@ -558,8 +564,12 @@ def pseudonymise_addresses(d: Derived) -> DataFrame:
     return privacy.pseudonymise_addresses(rows, "customer_id")
 
 
+def erasable(d: Derived) -> dict[str, DataFrame]:
+    return {**d.tables(), "invoice": d["settled_invoice"]}
+
+
 def verdicts(d: Derived) -> DataFrame:
-    return privacy.erasure_check(d.tables(), d["erasure_request"])
+    return privacy.erasure_check(erasable(d), d["erasure_request"])
 
 
 @query
@@ -569,7 +579,7 @@ def erasure_check(d: Derived) -> DataFrame:
 
 @query
 def erasure_apply(d: Derived) -> DataFrame:
-    done = privacy.erasure_apply(d.tables(), verdicts(d), RUN_TS)
+    done = privacy.erasure_apply(erasable(d), verdicts(d), RUN_TS)
     return as_text(done["customer"], "pseudonymized_at")
 
 
@@ -580,7 +590,7 @@ def erasure_log(d: Derived) -> DataFrame:
 
 @query
 def erase_customers(d: Derived) -> DataFrame:
-    T = {**d.tables(), "dim_customer": star.star_dim_customer(d["customer_rec"])}
+    T = {**erasable(d), "dim_customer": star.star_dim_customer(d["customer_rec"])}
     return privacy.erase_customers(T, d["erasure_request"], RUN_TS, "tester")["dim_customer"]
 
 
@@ -591,6 +601,18 @@ def rebase_dates(d: Derived) -> DataFrame:
     return views.view_cashflow_30day(moved, AS_OF)
 
 
+@query
+def rebase_report(d: Derived) -> DataFrame:
+    """The report of moving the calendar, its numbers as rows."""
+    _, report = rebase.rebase_dates(with_past(d, d.tables()), AS_OF)
+    shape = (
+        "shiftDays int, rowsShifted struct<project: bigint, purchase_order: bigint, cost: bigint, invoice: bigint, "
+        "payment: bigint>, liquidityAlerts array<struct<date: date, position: decimal(32,2), status: string>>"
+    )
+    read = report.select(F.from_json("report", shape).alias("r"))
+    return read.select("r.shiftDays", "r.rowsShifted.*", F.size("r.liquidityAlerts").alias("alert_days"))
+
+
 # --- audits ------------------------------------------------------------------
 
 
