@@ -24,12 +24,16 @@ def keep_all_left(one: DataFrame, many: DataFrame, key: Sequence[str]) -> DataFr
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
-def in_ordered_blocks(df: DataFrame, order: Sequence[str], block: str = "_block") -> DataFrame:
+def in_ordered_blocks(
+    df: DataFrame, order: Sequence[str], block: str = "_block", blocks: int | None = None
+) -> DataFrame:
     """Cut the rows into contiguous blocks of their total order, one per task.
 
     ``order`` must identify a row.  Blocks are of about equal size whatever the
     distribution of the leading columns, so a group of any size is spread over
     many blocks.  The result is checkpointed: the block limits come from a
-    sample, and every later reader has to see the same ones.
+    sample, and every later reader has to see the same ones.  Their number follows
+    the shuffle settings unless ``blocks`` fixes it.
     """
-    return materialise(df.repartitionByRange(*order).withColumn(block, F.spark_partition_id()))
+    ranged = df.repartitionByRange(*order) if blocks is None else df.repartitionByRange(blocks, *order)
+    return materialise(ranged.withColumn(block, F.spark_partition_id()))
