@@ -27,7 +27,7 @@ def rule_pipeline(
 ) -> dict[str, DataFrame]:
     """Schedules, milestone rules, forecast and star schema, as new tables.
 
-    The tables named by ``pin`` are checkpointed after the milestone rules.  The
+    The tables named by ``pin`` are stored after the milestone rules.  The
     forecast reads the schedule several times, so it is pinned unless told
     otherwise; callers that also read the invoices repeatedly add those.
     """

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from cashtide.session import materialise
 
 
-def keep_all_left(one: DataFrame, many: DataFrame, key: Sequence[str]) -> DataFrame:
+def keep_all_left(
+    one: DataFrame, many: DataFrame, key: Sequence[str], keys: DataFrame | None = None
+) -> DataFrame:
     """``one`` LEFT JOIN ``many`` where the key is unique in ``one`` only.
 
     The hot side of such a join is the right one, and a left outer join cannot
     split its right side at run time.  An inner join can split either side, so
     the matches come from an inner join and the unmatched left rows from an anti
-    join against the distinct keys, which combine map-side.
+    join against the distinct keys, which combine map-side.  Where ``many`` is a
+    join itself, ``keys`` names the table that holds the same keys, so that only
+    one column of it is read again.
     """
     key = list(key)
     matched = one.join(many, key, "inner")
-    unmatched = one.join(many.select(*key).distinct(), key, "left_anti")
+    unmatched = one.join((many if keys is None else keys).select(*key).distinct(), key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
@@ -31,7 +35,7 @@ def in_ordered_blocks(
 
     ``order`` must identify a row.  Blocks are of about equal size whatever the
     distribution of the leading columns, so a group of any size is spread over
-    many blocks.  The result is checkpointed: the block limits come from a
+    many blocks.  The result is stored: the block limits come from a
     sample, and every later reader has to see the same ones.  Their number follows
     the shuffle settings unless ``blocks`` fixes it.
     """

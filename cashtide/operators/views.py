@@ -105,8 +105,8 @@ def view_customer_data_export(T: Tables) -> DataFrame:
         "project_id", "customer_id", "project_name", F.col("status").alias("project_status"), "total_value"
     )
     billed = keep_all_left(invoices, payments, ["invoice_id"])
-    worked = keep_all_left(projects, billed, ["project_id"])
-    return keep_all_left(T["customer"].select(*CUSTOMER_COLUMNS), worked, ["customer_id"]).select(
+    worked = keep_all_left(projects, billed, ["project_id"], T["invoice"])
+    return keep_all_left(T["customer"].select(*CUSTOMER_COLUMNS), worked, ["customer_id"], T["project"]).select(
         *CUSTOMER_COLUMNS,
         "project_id",
         "project_name",
@@ -282,7 +282,7 @@ def view_supplier_watch(T: Tables, as_of: dt.date, due_soon_days: int = DUE_SOON
             "status",
             "alert_level",
         )
-        .orderBy("payment_due_date")
+        .orderBy("payment_due_date", "order_id")
     )
 
 
@@ -369,7 +369,7 @@ def dash_active_projects(T: Tables) -> DataFrame:
         .join(received, "project_id", "left")
         .join(progress, "project_id", "left")
         .join(known, "customer_id", "left")
-        .orderBy("sort_order", "start_date")
+        .orderBy("sort_order", "start_date", "project_id")
         .select(
             "project_id",
             "project_name",

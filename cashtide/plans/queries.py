@@ -183,7 +183,7 @@ def sink_snapshot(d: Derived) -> DataFrame:
 @query
 def sink_append_log(d: Derived) -> DataFrame:
     path = scratch_path(d.spark, "log")
-    staged = validated(d)
+    staged = materialise(validated(d))
     opened = imports.import_run_open(staged, "batch.csv", "tester", RUN_TS)
     writers.append_log(opened, path)
     writers.append_log(run_log(d, staged), path)
@@ -364,7 +364,7 @@ def view_dashboard_kpi(d: Derived) -> DataFrame:
 
 @query
 def view_etl_rejections(d: Derived) -> DataFrame:
-    staged = validated(d)
+    staged = materialise(validated(d))
     T = {"stg_sevdesk_invoice": staged, "etl_run": run_log(d, staged)}
     return as_text(views.view_etl_rejections(T), "started_at")
 
@@ -442,7 +442,7 @@ def import_rejections(d: Derived) -> DataFrame:
 
 @query
 def import_run_log(d: Derived) -> DataFrame:
-    return as_text(run_log(d, validated(d)), "started_at", "finished_at")
+    return as_text(run_log(d, materialise(validated(d))), "started_at", "finished_at")
 
 
 @query

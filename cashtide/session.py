@@ -65,9 +65,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that several readers share
-    one result that survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Store a result once in the shared folder and read it back.
+
+    Cuts the lineage, survives the loss of executors, and gives the planner the
+    true size of the result, so that a small one is broadcast on its measured size
+    and a reader takes only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

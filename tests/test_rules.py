@@ -113,7 +113,7 @@ def test_forecast_window_ends_count(spark):
     assert flows == {
         "in": [(2, day(0)), (3, day(30))],
         "out": [(money(20), day(0)), (money(30), day(30))],
-        "overhead": [(money(-2), None), (money(-3), None)],
+        "overhead": [(money(-3), None), (money(-2), None)],
     }
 
 
