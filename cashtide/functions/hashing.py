@@ -1,8 +1,8 @@
 """Arithmetic on SHA-256 digests read as 256-bit integers.
 
-A digest does not fit any Spark number, but ``(h div d) mod n`` only needs
-``h mod (d * n)``, and that folds over the digest in 32-bit pieces with plain
-bigints.
+A digest does not fit any Spark number, but ``(h div d) mod n`` only needs h modulo
+a multiple of ``d * n``.  That residue is a sum over pieces of 60 bits, each reduced
+and weighted by its place, so plain bigints do.
 """
 
 from __future__ import annotations
@@ -10,28 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+DIGEST_DIGITS = 64
+PIECE_DIGITS = 15
+
 
 def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def digest_mod(hex_digest: Column, modulus: int) -> Column:
-    """The digest modulo a small number."""
-    remainder = F.lit(0).cast("bigint")
-    for piece in range(8):
-        chunk = F.conv(F.substring(hex_digest, piece * 8 + 1, 8), 16, 10).cast("bigint")
-        remainder = (remainder * F.lit(1 << 32) + chunk) % F.lit(modulus)
-    return remainder
+def hex_number(digits: Column) -> Column:
+    """At most 15 hex digits as a bigint."""
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
+def digest_residue(text: Column, modulus: int) -> Column:
+    """The digest of a text modulo a small number."""
+    hashed = digest(text)
+    total = F.lit(0).cast("bigint")
+    for start in range(0, DIGEST_DIGITS, PIECE_DIGITS):
+        size = min(PIECE_DIGITS, DIGEST_DIGITS - start)
+        weight = pow(16, DIGEST_DIGITS - start - size, modulus)
+        total = total + hex_number(F.substring(hashed, start + 1, size)) % F.lit(modulus) * F.lit(weight)
+    return (total % F.lit(modulus)).cast("int")
 
 
-def digest_pick(hex_digest: Column, divisor: int, count: int) -> Column:
-    """``(h div divisor) mod count`` as an int."""
-    return F.floor(digest_mod(hex_digest, divisor * count) / F.lit(divisor)).cast("int")
+def residue_pick(residue: Column, divisor: int, count: int) -> Column:
+    """``(h div divisor) mod count`` from a residue modulo a multiple of both."""
+    return F.floor(residue % F.lit(divisor * count) / F.lit(divisor)).cast("int")
 
 
 def short_key(text: Column, hex_digits: int) -> Column:
     """A number from the first hex digits of a digest."""
-    return F.conv(F.substring(digest(text), 1, hex_digits), 16, 10).cast("bigint")
+    return hex_number(F.substring(digest(text), 1, hex_digits))
 
 
 def pick(values: list[str], index: Column) -> Column:

@@ -1,11 +1,13 @@
-"""Deterministic pseudonyms for names and addresses, as column expressions."""
+"""Deterministic pseudonyms for names and addresses."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from math import lcm
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.hashing import digest, digest_pick, pick
+from cashtide.functions.hashing import digest_residue, pick, residue_pick
 
 # The pools names and addresses are drawn from.
 FIRST_NAMES = [
@@ -34,46 +36,58 @@ COMPANY_PATTERN = r"(?U)\b(GmbH|AG|KG|e\.K\.|UG|Inc|Ltd|SE)\b"
 HOUSE_NUMBERS = 180
 
 
-def pseudonym(name: Column, kind: str, salt: str) -> Column:
-    """The pseudonym of a name: always a company for ``kind='company'``, else a
-    company only where the real name carries a legal form."""
-    hashed = digest(F.concat(F.lit(salt + "|"), name))
-    company = F.concat_ws(
-        " ",
-        pick(LAST_NAMES, digest_pick(hashed, 1, len(LAST_NAMES))),
-        pick(COMPANY_TRADES, digest_pick(hashed, 7, len(COMPANY_TRADES))),
-        pick(COMPANY_FORMS, digest_pick(hashed, 11, len(COMPANY_FORMS))),
-    )
+# What is drawn from one digest: (pool, divisor) of each part.
+COMPANY_PARTS = [(LAST_NAMES, 1), (COMPANY_TRADES, 7), (COMPANY_FORMS, 11)]
+PERSON_PARTS = [(FIRST_NAMES, 1), (LAST_NAMES, 13)]
+NAME_MODULUS = lcm(*[divisor * len(pool) for pool, divisor in COMPANY_PARTS + PERSON_PARTS])
+STREET_DIVISOR = 7
+ADDRESS_MODULUS = lcm(len(CITIES), STREET_DIVISOR * len(STREETS), HOUSE_NUMBERS)
+
+_RESIDUE = "_residue"
+
+
+def _drawn(parts) -> Column:
+    return F.concat_ws(" ", *[pick(pool, residue_pick(F.col(_RESIDUE), divisor, len(pool))) for pool, divisor in parts])
+
+
+def with_pseudonym(df: DataFrame, column: str, name: Column, kind: str, salt: str) -> DataFrame:
+    """Set a column to the pseudonym of a name: always a company for
+    ``kind='company'``, else a company only where the real name carries a legal form.
+
+    The digest is taken once per row and all parts are drawn from its residue.
+    """
+    hashed = df.withColumn(_RESIDUE, digest_residue(F.concat(F.lit(salt + "|"), name), NAME_MODULUS))
     if kind == "company":
-        return F.when(name.isNotNull(), company)
-    person = F.concat_ws(
-        " ",
-        pick(FIRST_NAMES, digest_pick(hashed, 1, len(FIRST_NAMES))),
-        pick(LAST_NAMES, digest_pick(hashed, 13, len(LAST_NAMES))),
-    )
-    return F.when(name.rlike(COMPANY_PATTERN), company).when(name.isNotNull(), person)
-
-
-def shown_name(name: Column, fallback: Column, kind: str, salt: str | None, keep_names: bool) -> Column:
-    """The name as it may leave the transform: real if allowed, else a pseudonym
-    of the name, or of the account where there is no name."""
+        drawn = F.when(name.isNotNull(), _drawn(COMPANY_PARTS))
+    else:
+        is_company = name.rlike(COMPANY_PATTERN)
+        drawn = F.when(is_company, _drawn(COMPANY_PARTS)).when(name.isNotNull(), _drawn(PERSON_PARTS))
+    return hashed.withColumn(column, drawn).drop(_RESIDUE)
+
+
+def with_shown_name(
+    df: DataFrame, column: str, name: Column, fallback: Column, kind: str, salt: str | None, keep_names: bool
+) -> DataFrame:
+    """Set a column to the name as it may leave the transform: real if allowed, else a
+    pseudonym of the name, or of the account where there is no name."""
     if keep_names:
-        return name
+        return df.withColumn(column, name)
     if salt is None:
         raise ValueError("a salt is required unless keep_names is set")
-    return pseudonym(F.coalesce(F.nullif(name, F.lit("")), fallback), kind, salt)
+    return with_pseudonym(df, column, F.coalesce(F.nullif(name, F.lit("")), fallback), kind, salt)
 
 
-def pseudo_address(key: Column) -> dict[str, Column]:
-    """Street, house number, postal code and city drawn from an account key."""
-    hashed = digest(key)
-    place = digest_pick(hashed, 1, len(CITIES))
-    return {
-        "street_name": pick(STREETS, digest_pick(hashed, 7, len(STREETS))),
-        "house_number": (digest_pick(hashed, 1, HOUSE_NUMBERS) + 1).cast("string"),
+def with_address(df: DataFrame, key: Column) -> DataFrame:
+    """Set street, house number, postal code and city as drawn from an account key."""
+    residue = F.col(_RESIDUE)
+    place = residue_pick(residue, 1, len(CITIES))
+    address = {
+        "street_name": pick(STREETS, residue_pick(residue, STREET_DIVISOR, len(STREETS))),
+        "house_number": (residue_pick(residue, 1, HOUSE_NUMBERS) + 1).cast("string"),
         "postal_code": pick(POSTAL_CODES, place),
         "city": pick(CITIES, place),
     }
+    return df.withColumn(_RESIDUE, digest_residue(key, ADDRESS_MODULUS)).withColumns(address).drop(_RESIDUE)
 
 
 def transliterated(col: Column) -> Column:

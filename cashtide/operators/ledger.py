@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.functions.numbers import ddmm_date, german_decimal, trimmed
-from cashtide.functions.pseudonyms import COMPANY_FORMS, pseudo_address, shown_name, transliterated
+from cashtide.functions.pseudonyms import COMPANY_FORMS, transliterated, with_address, with_shown_name
 from cashtide.operators.storno import INVOICE_FLAG, ledger_live_invoices, ledger_storno_match
 
 # Account ranges, overhead accounts and terms.
@@ -49,10 +49,34 @@ REVENUE, CUSTOMER_PAYMENT, EXPENSE, SUPPLIER_PAYMENT, SKIPPED = (
 )
 
 
+# The party behind each ten thousand of contra accounts, and what a posting is by
+# its account (the bank account, or else the first digit) and its party.
+PARTY_BY_TEN_THOUSAND = [
+    "DEB" if DEBTORS[0] <= n <= DEBTORS[1] else "KRED" if CREDITORS[0] <= n <= CREDITORS[1] else "GL"
+    for n in range(0, CREDITORS[1], 10000)
+]
+POSTING_CLASSES = {
+    REVENUE_PREFIX + "DEB": REVENUE,
+    BANK_ACCOUNT + "DEB": CUSTOMER_PAYMENT,
+    MATERIAL_PREFIX + "KRED": EXPENSE,
+    OVERHEAD_PREFIX + "KRED": EXPENSE,
+    BANK_ACCOUNT + "KRED": SUPPLIER_PAYMENT,
+}
+
+
+def literal_map(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])
+
+
 def account_class(contra: Column) -> Column:
-    """DEB for a customer account, KRED for a supplier account, else GL."""
-    number = contra.try_cast("int")
-    return F.when(number.between(*DEBTORS), "DEB").when(number.between(*CREDITORS), "KRED").otherwise("GL")
+    """DEB for a customer account, KRED for a supplier account, else GL.
+
+    A lookup reads the account once; a chain of ranges would repeat its parsing in
+    every filter on the class.
+    """
+    parties = F.array(*[F.lit(p) for p in PARTY_BY_TEN_THOUSAND])
+    ten_thousand = F.floor(contra.try_cast("int") / 10000).cast("int")
+    return F.coalesce(F.get(parties, ten_thousand), F.lit("GL"))
 
 
 def ledger_account_class(raw: DataFrame) -> DataFrame:
@@ -81,18 +105,10 @@ def ledger_parse(raw: DataFrame, year: int) -> DataFrame:
 
 
 def ledger_classify(parsed: DataFrame) -> DataFrame:
-    """What each posting is; the first rule that fits counts."""
-    account, party = F.col("konto"), F.col("account_class")
-    bank = account == BANK_ACCOUNT
-    expense = account.startswith(MATERIAL_PREFIX) | account.startswith(OVERHEAD_PREFIX)
-    return parsed.withColumn(
-        "posting_class",
-        F.when(account.startswith(REVENUE_PREFIX) & (party == "DEB"), REVENUE)
-        .when(bank & (party == "DEB"), CUSTOMER_PAYMENT)
-        .when(expense & (party == "KRED"), EXPENSE)
-        .when(bank & (party == "KRED"), SUPPLIER_PAYMENT)
-        .otherwise(SKIPPED),
-    )
+    """What each posting is; the accounts of the classes do not overlap."""
+    account = F.when(F.col("konto") == BANK_ACCOUNT, BANK_ACCOUNT).otherwise(F.substring("konto", 1, 1))
+    known = F.try_element_at(literal_map(POSTING_CLASSES), F.concat(account, F.col("account_class")))
+    return parsed.withColumn("posting_class", F.coalesce(known, F.lit(SKIPPED)))
 
 
 def of_class(classified: DataFrame, name: str) -> DataFrame:
@@ -134,8 +150,9 @@ def ledger_payments_out(classified: DataFrame) -> DataFrame:
     )
 
 
-def _memo(salt: str | None, keep_names: bool) -> Column:
-    return shown_name(F.substring("text", 1, NAME_LENGTH), F.col("geg"), "company", salt, keep_names)
+def _with_memo(postings: DataFrame, salt: str | None, keep_names: bool) -> DataFrame:
+    text = F.substring("text", 1, NAME_LENGTH)
+    return with_shown_name(postings, "memo", text, F.col("geg"), "company", salt, keep_names)
 
 
 def ledger_costs_out(
@@ -146,10 +163,9 @@ def ledger_costs_out(
 ) -> DataFrame:
     """Expenses as direct costs (material and services) or overhead by account."""
     direct = F.col("konto").startswith(MATERIAL_PREFIX) & (F.col("konto").try_cast("int") < PERSONNEL_FROM)
-    mapping = F.create_map(*[F.lit(v) for pair in overhead_accounts.items() for v in pair])
-    overhead = F.coalesce(F.try_element_at(mapping, F.col("konto")), F.lit(OTHER_OVERHEAD))
+    overhead = F.coalesce(F.try_element_at(literal_map(overhead_accounts), F.col("konto")), F.lit(OTHER_OVERHEAD))
     return (
-        of_class(classified, EXPENSE)
+        _with_memo(of_class(classified, EXPENSE), salt, keep_names)
         .orderBy("date", "line")
         .select(
             F.col("date").alias("cost_date"),
@@ -158,20 +174,20 @@ def ledger_costs_out(
             F.when(direct, "Direct Project").otherwise("Operational Overhead").alias("cost_category"),
             F.when(direct, "").otherwise(overhead).alias("overhead_category"),
             F.col("geg").alias("creditor_account"),
-            _memo(salt, keep_names).alias("memo"),
+            "memo",
         )
     )
 
 
 def ledger_supplier_payments_out(classified: DataFrame, salt: str | None = None, keep_names: bool = False) -> DataFrame:
     return (
-        of_class(classified, SUPPLIER_PAYMENT)
+        _with_memo(of_class(classified, SUPPLIER_PAYMENT), salt, keep_names)
         .orderBy("date", "line")
         .select(
             F.col("geg").alias("creditor_account"),
             F.col("date").alias("payment_date"),
             "amount",
-            _memo(salt, keep_names).alias("memo"),
+            "memo",
         )
     )
 
@@ -205,8 +221,7 @@ def ledger_creditor_names(classified: DataFrame) -> DataFrame:
 
 def ledger_customers_out(names: DataFrame, salt: str | None = None, keep_names: bool = False) -> DataFrame:
     """Customer rows with pseudonymous name and address and a derived e-mail."""
-    shown = shown_name(F.col("name"), F.col("debtor_account"), "person", salt, keep_names)
-    address = pseudo_address(F.col("debtor_account"))
+    account = F.col("debtor_account")
     words = F.split(F.trim(F.col("shown")), r"\s+")
     is_company = F.lit(False)
     for form in COMPANY_FORMS:
@@ -215,7 +230,7 @@ def ledger_customers_out(names: DataFrame, salt: str | None = None, keep_names:
     last = F.when(is_company, F.element_at(words, 1)).otherwise(F.element_at(words, -1))
     email = F.concat(F.lower("first_name"), F.lit("."), F.lower("last_name"), F.lit("@example.de"))
     return (
-        names.withColumn("shown", shown)
+        with_shown_name(with_address(names, account), "shown", F.col("name"), account, "person", salt, keep_names)
         .withColumn("first_name", first)
         .withColumn("last_name", last)
         .orderBy("debtor_account")
@@ -225,21 +240,21 @@ def ledger_customers_out(names: DataFrame, salt: str | None = None, keep_names:
             "last_name",
             F.when(is_company, F.col("shown")).otherwise("").alias("company_name"),
             transliterated(email).alias("email"),
-            address["street_name"].alias("street_name"),
-            address["house_number"].alias("house_number"),
-            address["postal_code"].alias("postal_code"),
-            address["city"].alias("city"),
+            "street_name",
+            "house_number",
+            "postal_code",
+            "city",
             F.lit("Germany").alias("country"),
         )
     )
 
 
 def ledger_suppliers_out(names: DataFrame, salt: str | None = None, keep_names: bool = False) -> DataFrame:
-    shown = shown_name(F.col("name"), F.col("creditor_account"), "company", salt, keep_names)
+    account = F.col("creditor_account")
     letters = F.substring(F.regexp_replace(F.lower("supplier_name"), "[^a-z]", ""), 1, 14)
     mailbox = F.coalesce(F.nullif(letters, F.lit("")), F.lit("supplier"))
     return (
-        names.withColumn("supplier_name", shown)
+        with_shown_name(names, "supplier_name", F.col("name"), account, "company", salt, keep_names)
         .orderBy("creditor_account")
         .select(
             "creditor_account",
