@@ -1,8 +1,8 @@
 """Set-based changes to table snapshots: upsert, update, replace, stamp.
 
 Snapshots are immutable, so each change is an expression over the old snapshot
-and the incoming rows.  Keys are unique on both sides, which keeps the joins
-free of hot keys.
+and the incoming rows.  Upsert keys are unique on both sides, which keeps those
+joins free of hot keys.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cashtide.operators.skew import join_unique
+
 
 def timestamp_literal(run_ts: dt.datetime) -> Column:
     return F.lit(run_ts.isoformat(sep=" ")).cast("timestamp")
@@ -129,16 +131,21 @@ def update_where_distinct(
     key: Sequence[str],
     column: str,
     run_ts: dt.datetime | None = None,
+    *,
+    hot: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Set ``column`` from the source where it differs, nulls compared as values.
 
-    Rows without a source row keep what they have.
+    Rows without a source row keep what they have.  Where the key may repeat in the
+    target, ``hot`` lists its hot values and ``by`` identifies a target row.
     """
     key = list(key)
-    patch = source.select(
-        *[F.col(k).alias(f"_in_{k}") for k in key], F.col(column).alias("_in_value"), F.lit(True).alias("_hit")
-    )
-    joined = target.join(patch, [F.col(k) == F.col(f"_in_{k}") for k in key], "left")
+    patch = source.select(*key, F.col(column).alias("_in_value"), F.lit(True).alias("_hit"))
+    if hot is None:
+        joined = target.join(patch, key, "left")
+    else:
+        joined = join_unique(target, patch, key, "left", by, hot)
     changed = F.col("_hit").isNotNull() & ~F.col(column).eqNullSafe(F.col("_in_value"))
     stamped = stamp_updated(joined, changed, run_ts)
     return stamped.withColumn(column, F.when(changed, F.col("_in_value")).otherwise(F.col(column))).select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cashtide.functions.hashing import short_key
 from cashtide.functions.numbers import MONEY
 from cashtide.operators.mutate import replace_from_date, stamp_updated, update_where_distinct, upsert
+from cashtide.operators.skew import hot_keys, join_unique
 
 Tables = Mapping[str, DataFrame]
 
@@ -129,7 +130,7 @@ def rule_classify_invoices(
     if project_id is not None:
         project = project.filter(F.col("project_id") == project_id)
     scope = project.select("project_id", F.col("total_value").alias("_value")).join(leading, "project_id", "left")
-    joined = invoice.join(scope, "project_id", "left")
+    joined = join_unique(invoice, scope, ["project_id"], "left", ["invoice_id"])
     code = (
         F.when(F.col("_value") < threshold, SINGLE)
         .when(F.col("amount") < threshold, ADJUSTMENT)
@@ -162,7 +163,10 @@ def rule_link_schedule(
     slots = schedule.select("project_id", "milestone_code", "schedule_id").join(real, "milestone_code", "left_semi")
     if project_id is not None:
         slots = slots.filter(F.col("project_id") == project_id)
-    return update_where_distinct(invoice, slots, ["project_id", "milestone_code"], "schedule_id", run_ts)
+    hot = hot_keys(invoice, ["project_id"])
+    return update_where_distinct(
+        invoice, slots, ["project_id", "milestone_code"], "schedule_id", run_ts, hot=hot, by=["invoice_id"]
+    )
 
 
 def rule_advance_schedule(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,29 +29,59 @@ def append_log(df: DataFrame, directory: str) -> None:
 
 
 def write_snapshot(
-    tables: Mapping[str, DataFrame], directory: str, version: int, run_ts: dt.datetime
+    tables: Mapping[str, DataFrame],
+    directory: str,
+    version: int,
+    run_ts: dt.datetime,
+    partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> None:
     """Write changed tables as a new version and only then record it.
 
     Readers follow the record, so they see the previous version until the new one
-    is complete.  Paths are never reused: writing a version twice is an error.
+    is complete.  Every attempt writes to a path of its own, so a failed one can be
+    repeated; a version that is already recorded is an error.  ``partition_by``
+    names partition columns per table, such as the date key of a long history.
     """
     root = directory.rstrip("/")
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/v{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    record = spark.range(1).select(
+    if version in recorded_versions(spark, root):
+        raise ValueError(f"version {version} is already recorded in {root}")
+    attempt = f"{root}/v{version}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.partitionBy(*(partition_by or {}).get(name, ())).parquet(f"{attempt}/{name}")
+    entries = [
+        F.struct(F.lit(n).alias("table_name"), F.lit(f"{attempt}/{n}").alias("path")) for n in tables
+    ]
+    record = spark.range(1, numPartitions=1).select(
         F.lit(version).cast("bigint").alias("version"),
         timestamp_literal(run_ts).alias("written_at"),
-        F.explode(F.array(*[F.lit(n) for n in tables])).alias("table_name"),
+        F.inline(F.array(*entries)),
     )
-    append_log(record.coalesce(1), f"{root}/{VERSIONS}")
+    append_log(record, f"{root}/{VERSIONS}")
+
+
+RECORD = "version bigint, written_at timestamp, table_name string, path string"
+
+
+def _records(spark: SparkSession, directory: str) -> DataFrame | None:
+    """The record of versions, or nothing if none was written yet."""
+    try:
+        return spark.read.schema(RECORD).parquet(f"{directory.rstrip('/')}/{VERSIONS}")
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def recorded_versions(spark: SparkSession, directory: str) -> set[int]:
+    records = _records(spark, directory)
+    return set() if records is None else {r.version for r in records.select("version").distinct().collect()}
 
 
 def read_snapshot(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     """The latest recorded version of every table."""
-    root = directory.rstrip("/")
-    latest = spark.read.parquet(f"{root}/{VERSIONS}").groupBy("table_name").agg(F.max("version").alias("version"))
-    return {
-        row.table_name: spark.read.parquet(f"{root}/v{row.version}/{row.table_name}") for row in latest.collect()
-    }
+    records = _records(spark, directory)
+    if records is None:
+        return {}
+    latest = records.groupBy("table_name").agg(F.max_by("path", "version").alias("path"))
+    return {row.table_name: spark.read.parquet(row.path) for row in latest.collect()}
