@@ -99,23 +99,20 @@ def rule_payment_schedule(
     return upsert(schedule, due, ["project_id", "milestone_code"], ["expected_amount"], unique=True, run_ts=run_ts)
 
 
-def rule_classify_invoices(
-    invoice: DataFrame,
-    project: DataFrame,
-    project_id: int | None = None,
-    threshold: int = SPLIT_THRESHOLD,
-    run_ts: dt.datetime | None = None,
-) -> DataFrame:
-    """Set ``milestone_code`` on every invoice of a known project.
+def _with_columns(invoice: DataFrame, **types: str) -> DataFrame:
+    """Add the columns the milestone rules fill, where a table does not have them yet."""
+    missing = {c: F.lit(None).cast(t) for c, t in types.items() if c not in invoice.columns}
+    return invoice.withColumns(missing) if missing else invoice
 
-    The rank behind the two stages counts all invoices of the project by date
-    and number, small and cancelled ones too.  Only ranks 1 and 2 decide
-    anything, so they are found with a per-project limit that already applies
-    before the shuffle; a project with very many invoices is never sorted in one
-    task.
+
+def _scope(invoice: DataFrame, project: DataFrame, project_id: int | None) -> DataFrame:
+    """Per project its value and its first two invoices by date and number.
+
+    The rank behind the two stages counts all invoices of the project, small and
+    cancelled ones too.  Only ranks 1 and 2 decide anything, so they are found with
+    a per-project limit that already applies before the shuffle; a project with very
+    many invoices is never sorted in one task.
     """
-    if "milestone_code" not in invoice.columns:
-        invoice = invoice.withColumn("milestone_code", F.lit(None).cast("string"))
     by_date = Window.partitionBy("project_id").orderBy("invoice_date", "invoice_number")
     leading = (
         invoice.select("project_id", "invoice_date", "invoice_number", "invoice_id")
@@ -129,8 +126,12 @@ def rule_classify_invoices(
     )
     if project_id is not None:
         project = project.filter(F.col("project_id") == project_id)
-    scope = project.select("project_id", F.col("total_value").alias("_value")).join(leading, "project_id", "left")
-    joined = join_unique(invoice, scope, ["project_id"], "left", ["invoice_id"])
+    return project.select("project_id", F.col("total_value").alias("_value")).join(leading, "project_id", "left")
+
+
+def _milestone(threshold: int) -> Column:
+    """The code of an invoice next to the scope of its project; without one, the code
+    it has."""
     code = (
         F.when(F.col("_value") < threshold, SINGLE)
         .when(F.col("amount") < threshold, ADJUSTMENT)
@@ -138,12 +139,30 @@ def rule_classify_invoices(
         .when(F.col("invoice_id") == F.col("_second_id"), SECOND_STAGE)
         .otherwise(ADJUSTMENT)
     )
-    changed = F.col("_value").isNotNull() & ~F.col("milestone_code").eqNullSafe(code)
-    return (
-        stamp_updated(joined, changed, run_ts)
-        .withColumn("milestone_code", F.when(F.col("_value").isNull(), F.col("milestone_code")).otherwise(code))
-        .select(*invoice.columns)
-    )
+    return F.when(F.col("_value").isNull(), F.col("milestone_code")).otherwise(code)
+
+
+def rule_classify_invoices(
+    invoice: DataFrame,
+    project: DataFrame,
+    project_id: int | None = None,
+    threshold: int = SPLIT_THRESHOLD,
+    run_ts: dt.datetime | None = None,
+) -> DataFrame:
+    """Set ``milestone_code`` on every invoice of a known project."""
+    invoice = _with_columns(invoice, milestone_code="string")
+    scope = _scope(invoice, project, project_id)
+    joined = join_unique(invoice, scope, ["project_id"], "left", ["invoice_id"])
+    code = _milestone(threshold)
+    changed = ~F.col("milestone_code").eqNullSafe(code)
+    return stamp_updated(joined, changed, run_ts).withColumn("milestone_code", code).select(*invoice.columns)
+
+
+def _slots(schedule: DataFrame, milestone_type: DataFrame, project_id: int | None) -> DataFrame:
+    """Schedule rows of real milestones."""
+    real = milestone_type.filter("is_milestone").select("milestone_code")
+    slots = schedule.select("project_id", "milestone_code", "schedule_id").join(real, "milestone_code", "left_semi")
+    return slots if project_id is None else slots.filter(F.col("project_id") == project_id)
 
 
 def rule_link_schedule(
@@ -157,18 +176,46 @@ def rule_link_schedule(
 
     A link is never cleared, even if the invoice is reclassified.
     """
-    if "schedule_id" not in invoice.columns:
-        invoice = invoice.withColumn("schedule_id", F.lit(None).cast("bigint"))
-    real = milestone_type.filter("is_milestone").select("milestone_code")
-    slots = schedule.select("project_id", "milestone_code", "schedule_id").join(real, "milestone_code", "left_semi")
-    if project_id is not None:
-        slots = slots.filter(F.col("project_id") == project_id)
+    invoice = _with_columns(invoice, schedule_id="bigint")
+    slots = _slots(schedule, milestone_type, project_id)
     hot = hot_keys(invoice, ["project_id"])
     return update_where_distinct(
         invoice, slots, ["project_id", "milestone_code"], "schedule_id", run_ts, hot=hot, by=["invoice_id"]
     )
 
 
+def classify_and_link(
+    invoice: DataFrame,
+    project: DataFrame,
+    schedule: DataFrame,
+    milestone_type: DataFrame,
+    project_id: int | None = None,
+    threshold: int = SPLIT_THRESHOLD,
+    run_ts: dt.datetime | None = None,
+) -> DataFrame:
+    """Both invoice rules in one pass over the invoices.
+
+    Code and slot depend on the project alone, so the slots of a project, at most
+    one per milestone type, travel with its scope and the invoices are shuffled once.
+    """
+    invoice = _with_columns(invoice, milestone_code="string", schedule_id="bigint")
+    slots = (
+        _slots(schedule, milestone_type, project_id)
+        .groupBy("project_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("milestone_code", "schedule_id"))).alias("_slots"))
+    )
+    scope = _scope(invoice, project, project_id).join(slots, "project_id", "full_outer")
+    joined = join_unique(invoice, scope, ["project_id"], "left", ["invoice_id"])
+    coded = joined.withColumn("_code", _milestone(threshold))
+    coded = coded.withColumn("_slot", F.coalesce(F.try_element_at("_slots", F.col("_code")), F.col("schedule_id")))
+    changed = ~(F.col("milestone_code").eqNullSafe(F.col("_code")) & F.col("schedule_id").eqNullSafe(F.col("_slot")))
+    return (
+        stamp_updated(coded, changed, run_ts)
+        .withColumns({"milestone_code": F.col("_code"), "schedule_id": F.col("_slot")})
+        .select(*invoice.columns)
+    )
+
+
 def rule_advance_schedule(
     schedule: DataFrame,
     invoice: DataFrame,
@@ -291,7 +338,8 @@ def apply_milestone_rules(
     T: Tables, project_id: int | None = None, run_ts: dt.datetime | None = None
 ) -> dict[str, DataFrame]:
     """Classify, link and advance; the changed tables come back in a new mapping."""
-    invoice = rule_classify_invoices(T["invoice"], T["project"], project_id, run_ts=run_ts)
-    invoice = rule_link_schedule(invoice, T["payment_schedule"], T["ref_milestone_type"], project_id, run_ts)
+    invoice = classify_and_link(
+        T["invoice"], T["project"], T["payment_schedule"], T["ref_milestone_type"], project_id, run_ts=run_ts
+    )
     schedule = rule_advance_schedule(T["payment_schedule"], invoice, project_id, run_ts)
     return {**T, "invoice": invoice, "payment_schedule": schedule}

@@ -87,7 +87,11 @@ def test_link_is_never_cleared_and_status_never_regresses(spark):
             invoice(3, 1, 9000, 2),
         ],
     )
+    coded = rules.rule_classify_invoices(T["invoice"], T["project"], run_ts=NOW)
+    linked = rules.rule_link_schedule(coded, T["payment_schedule"], T["ref_milestone_type"], run_ts=NOW)
     after = rules.apply_milestone_rules(T, run_ts=NOW)
+    columns = after["invoice"].columns
+    assert values(linked, *columns) == values(after["invoice"], *columns)
     assert values(after["invoice"], "invoice_id", "milestone_code", "schedule_id") == [
         (1, "ADJUSTMENT", 2), (2, "STAGE_2_COMMISSIONING", 2), (3, "ADJUSTMENT", None),
     ]
