@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.numbers import ddmm_date, german_decimal, trimmed
+from cashtide.functions.numbers import ddmm_date, document_number, german_decimal, trimmed
 from cashtide.functions.pseudonyms import COMPANY_FORMS, transliterated, with_address, with_shown_name
 from cashtide.operators.skew import join_unique
 from cashtide.operators.storno import INVOICE_FLAG, ledger_live_invoices, ledger_storno_match
@@ -336,7 +336,7 @@ def ledger_report(classified: DataFrame, matches: DataFrame, live: DataFrame) ->
 
 def ledger_storno_messages(matches: DataFrame) -> DataFrame:
     """One sentence per credit note, for the transform report."""
-    amount = F.concat(F.lit(" EUR "), F.format_number(F.col("amount"), 2))
+    amount = F.concat(F.lit(" EUR "), F.coalesce(F.format_number(F.col("amount"), 2), F.lit("unreadable")))
     found = F.concat(
         F.lit("storno: credit note "),
         F.col("credit_doc"),
@@ -354,19 +354,74 @@ def ledger_storno_messages(matches: DataFrame) -> DataFrame:
         F.col("geg"),
         F.lit(") - excluded from this batch"),
     )
-    return matches.select(
-        "credit_line", F.when(F.col("invoice_line").isNotNull(), found).otherwise(absent).alias("message")
+    return matches.withColumn(
+        "message", F.when(F.col("invoice_line").isNotNull(), found).otherwise(absent)
     )
 
 
+def ledger_report_lines(
+    report: DataFrame, matches: DataFrame, unmatched: DataFrame, docnum_pattern: str = r"(\d+)"
+) -> DataFrame:
+    """The transform report as text, one line per row, to be read in the order of the
+    sections and of ``place`` within them.
+
+    Credit notes and unmatched documents take a line each, however many there are.
+    """
+    figures = report.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in REPORT_LINES])
+
+    def count(name):
+        return F.col(name).cast("bigint").cast("string")
+
+    def euros(name):
+        return F.format_number(F.col(name), 2)
+
+    def line(section, *parts):
+        text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        return F.struct(F.lit(section).alias("section"), F.lit("").alias("place"), text.alias("text"))
+
+    totals = figures.select(
+        F.inline(
+            F.array(
+                line(
+                    1, "classified ", count("postings"), " postings: ", count("revenue"), " revenue, ",
+                    count("customer_payments"), " customer payments, ", count("expenses"), " expenses, ",
+                    count("supplier_payments"), " supplier payments, ", count("skipped"), " internal/GL movements",
+                ),
+                line(
+                    3, count("revenue"), " revenue postings -> ", count("live_invoices"), " live invoices (",
+                    count("documents_reversed"), " reversed in-period, ", count("credit_notes_out_of_period"),
+                    " credit notes against earlier periods)",
+                ),
+                line(5, "gross credited revenue EUR ", euros("gross_revenue"), " -> net of storno EUR ", euros("net_revenue")),
+                line(
+                    6, "customers ", count("customers"), ", suppliers ", count("suppliers"), ", invoices ",
+                    count("live_invoices"), ", customer payments ", count("customer_payments"), ", supplier payments ",
+                    count("supplier_payments"), ", cost postings ", count("expenses"),
+                ),
+            )
+        )
+    )
+    length, digits = document_number(F.col("credit_doc"), docnum_pattern)
+    place = F.concat_ws("-", F.lpad(length.cast("string"), 6, "0"), digits, F.lpad(F.col("credit_line").cast("string"), 19, "0"))
+    credits = ledger_storno_messages(matches.withColumn("place", place)).select(F.lit(2).alias("section"), "place", F.col("message").alias("text"))
+    missing = unmatched.select(
+        F.lit(4).alias("section"),
+        F.col("doc").alias("place"),
+        F.concat(F.lit("payment references an invoice not in this period (billed earlier): "), F.col("doc")).alias("text"),
+    )
+    return totals.unionByName(credits).unionByName(missing).orderBy("section", "place")
+
+
 def ledger_transform(
     raw: DataFrame, year: int, salt: str | None = None, keep_names: bool = False, docnum_pattern: str = r"(\d+)"
 ) -> dict[str, DataFrame]:
-    """The whole transform: six output tables, the report and the credit matches."""
+    """The whole transform: six output tables, and the report as figures and as text."""
     classified = ledger_classify(ledger_parse(raw, year))
     revenue, payments = of_class(classified, REVENUE), of_class(classified, CUSTOMER_PAYMENT)
     matches = ledger_storno_match(revenue, docnum_pattern)
     live = ledger_live_invoices(revenue, matches)
+    report = ledger_report(classified, matches, live)
+    unmatched = ledger_unmatched_payments(payments, live)
     return {
         "customers": ledger_customers_out(ledger_debtor_names(classified), salt, keep_names),
         "suppliers": ledger_suppliers_out(ledger_creditor_names(classified), salt, keep_names),
@@ -374,9 +429,9 @@ def ledger_transform(
         "payments": ledger_payments_out(classified),
         "costs": ledger_costs_out(classified, salt, keep_names),
         "supplier_payments": ledger_supplier_payments_out(classified, salt, keep_names),
-        "report": ledger_report(classified, matches, live),
-        "storno_messages": ledger_storno_messages(matches),
-        "unmatched_payments": ledger_unmatched_payments(payments, live),
+        "report": report,
+        "transform_report": ledger_report_lines(report, matches, unmatched, docnum_pattern),
+        "unmatched_payments": unmatched,
     }
 
 

@@ -27,7 +27,7 @@ def hot_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Counting combines map-side, and only the key columns are read.
     """
     counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.select(F.count(F.lit(1))).scalar()
+    total = counts.select(F.sum("_rows")).scalar()
     hot = (F.col("_rows") >= HOT_ROWS) & (F.col("_rows") * HOT_SHARE > total)
     return counts.filter(hot).select(*columns, F.lit(True).alias(_HOT))
 

@@ -574,6 +574,14 @@ def _ledger_report() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _of(kind: str) -> str:
+    return f"count(*) FILTER (posting_class = '{kind}')"
+
+
+def _euros(amount: str) -> str:
+    return f"coalesce(printf('%,.2f', CAST({amount} AS DOUBLE)), 'unreadable')"
+
+
 def _umlauts(text: str) -> str:
     for letter, spelling in {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}.items():
         text = f"replace({text}, '{letter}', '{spelling}')"
@@ -769,6 +777,30 @@ SELECT geg AS creditor_account, date AS payment_date, amount, {MEMO} AS memo FRO
     "ledger_unmatched_payments": """
 SELECT DISTINCT doc FROM {posting} WHERE posting_class = 'customer_payment' AND doc NOT IN (SELECT doc FROM {live})""",
     "ledger_report": _ledger_report(),
+    "ledger_report_lines": f"""
+SELECT CAST(1 AS INT) AS section, 'classified ' || count(*) || ' postings: ' || {_of("revenue")} || ' revenue, ' || {_of("customer_payment")} ||
+       ' customer payments, ' || {_of("expense")} || ' expenses, ' || {_of("supplier_payment")} || ' supplier payments, ' ||
+       {_of("skipped")} || ' internal/GL movements' AS text FROM {{posting}}
+UNION ALL
+SELECT 2, CASE WHEN invoice_line IS NOT NULL
+         THEN 'storno: credit note ' || credit_doc || ' reverses ' || invoice_doc || ' EUR ' || {_euros("amount")} || ' on debtor ' || geg
+         ELSE 'storno: credit note ' || credit_doc || ' EUR ' || {_euros("amount")} ||
+              ' reverses an invoice billed before this period (debtor ' || geg || ') - excluded from this batch' END
+FROM {{storno}}
+UNION ALL
+SELECT 3, (SELECT count(*) FROM {{revenue}}) || ' revenue postings -> ' || (SELECT count(*) FROM {{live}}) || ' live invoices (' ||
+       count(DISTINCT invoice_doc) || ' reversed in-period, ' || (count(*) - count(invoice_line)) || ' credit notes against earlier periods)'
+FROM {{storno}}
+UNION ALL
+SELECT DISTINCT 4, 'payment references an invoice not in this period (billed earlier): ' || doc
+FROM {{posting}} WHERE posting_class = 'customer_payment' AND doc NOT IN (SELECT doc FROM {{live}})
+UNION ALL
+SELECT 5, 'gross credited revenue EUR ' || {_euros("(SELECT sum(amount) FROM {revenue} WHERE sh = 'H')")} ||
+       ' -> net of storno EUR ' || {_euros("(SELECT sum(amount) FROM {live})")}
+UNION ALL
+SELECT 6, 'customers ' || (SELECT count(*) FROM {{debtor}}) || ', suppliers ' || (SELECT count(*) FROM {{creditor}}) || ', invoices ' ||
+       (SELECT count(*) FROM {{live}}) || ', customer payments ' || {_of("customer_payment")} || ', supplier payments ' ||
+       {_of("supplier_payment")} || ', cost postings ' || {_of("expense")} FROM {{posting}}""",
     # privacy and calendar
     "pseudonymise_names": f"""
 SELECT customer_id, {_pseudonym("coalesce(company_name, last_name)", "person")} AS person,

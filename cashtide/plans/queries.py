@@ -546,6 +546,16 @@ def ledger_report(d: Derived) -> DataFrame:
     return ledger.ledger_report(classified(d), matches, storno.ledger_live_invoices(rows, matches))
 
 
+@query
+def ledger_report_lines(d: Derived) -> DataFrame:
+    rows, payments = revenue(d), customer_payments(d)
+    matches = storno.ledger_storno_match(rows)
+    live = storno.ledger_live_invoices(rows, matches)
+    report = ledger.ledger_report(classified(d), matches, live)
+    lines = ledger.ledger_report_lines(report, matches, ledger.ledger_unmatched_payments(payments, live))
+    return lines.select("section", "text")
+
+
 # --- privacy and calendar ----------------------------------------------------
 
 

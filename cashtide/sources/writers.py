@@ -23,6 +23,11 @@ def write_csv_outputs(outputs: Mapping[str, DataFrame], directory: str) -> None:
         )
 
 
+def write_text_lines(lines: DataFrame, path: str, column: str = "text") -> None:
+    """Write ordered text lines; the parts of the output follow the order of the rows."""
+    lines.select(column).write.text(path)
+
+
 def append_log(df: DataFrame, directory: str) -> None:
     """Add rows to a log; rows already there are never rewritten."""
     df.write.mode("append").parquet(directory)

@@ -88,8 +88,15 @@ def test_transform(raw):
     figures = {k: str(v) for k, v in values(out["report"], "metric", "value")}
     assert figures["credit_notes_matched"] == "1.00" and figures["gross_revenue"] == "1234.56" and figures["net_revenue"] == "0.00"
     assert [r.metric for r in out["report"].collect()] == ledger.REPORT_LINES
-    assert values(out["storno_messages"], "message") == [
-        ("storno: credit note R-2 reverses R-1 EUR 1,234.56 on debtor 10001",)]
+    lines = [(r.section, r.text) for r in out["transform_report"].collect()]
+    assert lines == [
+        (1, "classified 10 postings: 2 revenue, 1 customer payments, 3 expenses, 1 supplier payments, 3 internal/GL movements"),
+        (2, "storno: credit note R-2 reverses R-1 EUR 1,234.56 on debtor 10001"),
+        (3, "2 revenue postings -> 0 live invoices (1 reversed in-period, 0 credit notes against earlier periods)"),
+        (4, "payment references an invoice not in this period (billed earlier): R-9"),
+        (5, "gross credited revenue EUR 1,234.56 -> net of storno EUR 0.00"),
+        (6, "customers 2, suppliers 2, invoices 0, customer payments 1, supplier payments 1, cost postings 3"),
+    ]
 
 
 def test_names_need_a_salt(raw):
@@ -102,6 +109,9 @@ def test_csv_outputs(spark, raw, tmp_path):
     writers.write_csv_outputs({"supplier_payments": out["supplier_payments"], "customers": out["customers"]}, str(tmp_path / "o"))
     text = "".join(p.read_text() for p in (tmp_path / "o" / "supplier_payments").glob("part-*"))
     header, row = text.strip().split("\n")
+    writers.write_text_lines(out["transform_report"], str(tmp_path / "o" / "transform_report"))
+    report = "".join(p.read_text() for p in sorted((tmp_path / "o" / "transform_report").glob("part-*")))
+    assert report.startswith("classified 10 postings") and report.count("\n") == 6
     assert header == "creditor_account,payment_date,amount,memo" and row.startswith("70001,,1.50,")
 
 
