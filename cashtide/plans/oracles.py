@@ -123,20 +123,16 @@ UNION ALL SELECT * FROM {{flow_in{s}}} UNION ALL SELECT * FROM {{flow_orders{s}}
         f"fact{s}": f"""
 SELECT * FROM {{fact_before}} WHERE date_key < {AS_OF_KEY}
 UNION ALL
-SELECT date_key, project_key, customer_key, cost_type_key, CAST(sum(cash_in) AS DECIMAL(12,2)),
-       CAST(sum(cash_out) AS DECIMAL(12,2)), CAST(sum(cash_in) - sum(cash_out) AS DECIMAL(12,2))
-FROM (
-  SELECT CAST(strftime(f.forecast_date, '%Y%m%d') AS INT) AS date_key, p.project_id AS project_key,
-         c.customer_id AS customer_key, CAST(NULL AS BIGINT) AS cost_type_key,
-         f.expected_cash_in AS cash_in, f.expected_cash_out AS cash_out
-  FROM {{forecast{s}}} f LEFT JOIN {P} p ON p.project_id = f.project_id
-  LEFT JOIN {{customer_rec}} c ON c.customer_id = p.customer_id
-  WHERE f.forecast_date >= {AS_OF} AND f.flow_source IN ('customer_milestone', 'supplier_order')
-  UNION ALL
-  SELECT CAST(strftime(c.cost_date, '%Y%m%d') AS INT), NULL, NULL,
-         {_hex("'Operational Overhead|' || oc.overhead_category", 15)}, 0, c.amount
-  FROM {C} c JOIN {{operational_cost}} oc ON oc.cost_id = c.cost_id WHERE c.cost_date BETWEEN {AS_OF} AND {LAST}
-) GROUP BY 1, 2, 3, 4""",
+SELECT CAST(strftime(f.forecast_date, '%Y%m%d') AS INT), p.project_id, c.customer_id, NULL,
+       CAST(sum(f.expected_cash_in) AS DECIMAL(12,2)), CAST(sum(f.expected_cash_out) AS DECIMAL(12,2)),
+       CAST(sum(f.expected_cash_in - f.expected_cash_out) AS DECIMAL(12,2))
+FROM {{forecast{s}}} f LEFT JOIN ({P} p LEFT JOIN {{customer_rec}} c ON c.customer_id = p.customer_id) ON p.project_id = f.project_id
+WHERE f.forecast_date >= {AS_OF} AND f.flow_source <> 'operational_overhead' GROUP BY ALL
+UNION ALL
+SELECT CAST(strftime(c.cost_date, '%Y%m%d') AS INT), NULL, NULL, {_hex("'Operational Overhead|' || oc.overhead_category", 15)},
+       CAST(0 AS DECIMAL(12,2)), CAST(sum(c.amount) AS DECIMAL(12,2)), CAST(-sum(c.amount) AS DECIMAL(12,2))
+FROM {C} c JOIN {{operational_cost}} oc USING (cost_id)
+WHERE c.cost_date BETWEEN {AS_OF} AND {LAST} GROUP BY ALL""",
         f"daily{s}": f"""
 SELECT full_date, cash_in, cash_out, net_cashflow,
        CAST(sum(net_cashflow) OVER (ORDER BY full_date ROWS UNBOUNDED PRECEDING) AS DECIMAL(32,2)) AS cumulative_position
@@ -149,37 +145,50 @@ FROM (
   GROUP BY d.full_date
 )""",
         f"kpi{s}": f"""
-SELECT (SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(32,2)) FROM {I} i JOIN {{ref_invoice_status}} r ON r.status_code = i.status
-        WHERE r.counts_as_receivable) AS outstanding_receivables,
-       (SELECT CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(32,2)) FROM {O} o
-        JOIN {{supplier_dim}} s ON s.supplier_id = o.supplier_id JOIN {P} p ON p.project_id = o.project_id
-        JOIN {{ref_order_status}} r ON r.status_code = o.status
-        WHERE r.counts_as_payable AND o.order_date + s.payment_terms_days - {AS_OF} <= 7) AS supplier_due_7_days,
-       (SELECT CAST(coalesce(sum(net_cashflow), 0) AS DECIMAL(32,2)) FROM {{daily{s}}}) AS projected_30day_net,
-       (SELECT count(*) FROM {P} p JOIN {{ref_project_status}} r ON r.status_code = p.status WHERE NOT r.is_terminal) AS active_projects,
-       (SELECT count(*) FROM {{daily{s}}} WHERE cumulative_position < 0) AS days_negative_next_30""",
+SELECT CAST(sum(v) FILTER (k = 'owed') AS DECIMAL(32,2)) AS outstanding_receivables,
+       CAST(sum(v) FILTER (k = 'due') AS DECIMAL(32,2)) AS supplier_due_7_days,
+       CAST(sum(v) FILTER (k = 'net') AS DECIMAL(32,2)) AS projected_30day_net,
+       CAST(sum(v) FILTER (k = 'active') AS BIGINT) AS active_projects,
+       CAST(sum(v) FILTER (k = 'below') AS BIGINT) AS days_negative_next_30
+FROM (
+  SELECT 'owed' AS k, CAST(amount AS DECIMAL(32,2)) AS v FROM {I} WHERE status IN ('Issued', 'Partially Paid', 'Overdue')
+  UNION ALL
+  SELECT 'due', o.total_amount FROM {O} o JOIN {{supplier_dim}} s USING (supplier_id) SEMI JOIN {P} p USING (project_id)
+  WHERE o.status <> 'Cancelled' AND o.order_date <= {AS_OF} + 7 - s.payment_terms_days
+  UNION ALL SELECT 'net', net_cashflow FROM {{daily{s}}}
+  UNION ALL SELECT 'below', CASE WHEN cumulative_position < 0 THEN 1 ELSE 0 END FROM {{daily{s}}}
+  UNION ALL SELECT 'active', CASE WHEN status = 'Completed' THEN 0 ELSE 1 END FROM {P}
+  UNION ALL SELECT unnest(['owed', 'due', 'net', 'active', 'below']), 0
+)""",
     }
 
 
-def _checked(s: str, staging: str) -> str:
-    S = f"{{{staging}}}"
+DAY = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
+
+
+def _checked(staging: str) -> str:
+    """Each check on its own; the first that has something to say gives the reason."""
+
+    def unless(good: str, reason: str) -> str:
+        return f"CASE WHEN coalesce({good}, false) THEN NULL ELSE {reason} END"
+
+    checks = [
+        unless("trim(raw_invoice_number) <> ''", "'invoice_number is empty'"),
+        unless("regexp_full_match(raw_project_id, '[0-9]+') AND pid IS NOT NULL", "'project_id is not a whole number: ' || raw_project_id"),
+        unless("pid IN (SELECT project_id FROM {project})", "'project_id ' || raw_project_id || ' does not exist'"),
+        unless(f"regexp_full_match(raw_invoice_date, '{DAY}') AND billed IS NOT NULL", "'invoice_date is not YYYY-MM-DD: ' || raw_invoice_date"),
+        unless(f"regexp_full_match(raw_due_date, '{DAY}') AND due IS NOT NULL", "'due_date is not YYYY-MM-DD: ' || raw_due_date"),
+        unless("due >= billed", "'due_date is before invoice_date'"),
+        unless(
+            "regexp_full_match(raw_amount, '[0-9]+([.][0-9][0-9]?)?') AND try_cast(raw_amount AS DECIMAL(12,2)) IS NOT NULL",
+            "'amount is not a positive decimal: ' || raw_amount",
+        ),
+        unless("raw_status IN (SELECT status_code FROM {ref_invoice_status})", "'unknown invoice status: ' || raw_status"),
+    ]
     return f"""
-SELECT s.*, CASE
-  WHEN trim(raw_invoice_number) = '' THEN 'invoice_number is empty'
-  WHEN NOT regexp_full_match(raw_project_id, '[0-9]+') OR try_cast(raw_project_id AS BIGINT) IS NULL
-    THEN 'project_id is not a whole number: ' || raw_project_id
-  WHEN NOT EXISTS (SELECT 1 FROM {{project}} p WHERE p.project_id = try_cast(s.raw_project_id AS BIGINT))
-    THEN 'project_id ' || raw_project_id || ' does not exist'
-  WHEN NOT regexp_full_match(raw_invoice_date, '[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]') OR try_cast(raw_invoice_date AS DATE) IS NULL
-    THEN 'invoice_date is not YYYY-MM-DD: ' || raw_invoice_date
-  WHEN NOT regexp_full_match(raw_due_date, '[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]') OR try_cast(raw_due_date AS DATE) IS NULL
-    THEN 'due_date is not YYYY-MM-DD: ' || raw_due_date
-  WHEN try_cast(raw_due_date AS DATE) < try_cast(raw_invoice_date AS DATE) THEN 'due_date is before invoice_date'
-  WHEN NOT regexp_full_match(raw_amount, '[0-9]+([.][0-9][0-9]?)?') OR try_cast(raw_amount AS DECIMAL(12,2)) IS NULL
-    THEN 'amount is not a positive decimal: ' || raw_amount
-  WHEN raw_status NOT IN (SELECT status_code FROM {{ref_invoice_status}}) THEN 'unknown invoice status: ' || raw_status
-  END AS rejection_reason
-FROM {S} s"""
+SELECT * EXCLUDE (pid, billed, due), coalesce({", ".join(checks)}) AS rejection_reason
+FROM (SELECT *, try_cast(raw_project_id AS BIGINT) AS pid, try_cast(raw_invoice_date AS DATE) AS billed,
+             try_cast(raw_due_date AS DATE) AS due FROM {{{staging}}})"""
 
 
 def _list(values: Sequence[str]) -> str:
@@ -221,8 +230,8 @@ STAGES: dict[str, str] = {
     **{name: _domain(name) for name in _rows()},
     **_chain("", "project", "invoice", "purchase_order", "cost", "schedule_before"),
     # the chain after the import of the second batch
-    "checked": _checked("", "staging"),
-    "checked_again": _checked("", "rerun_staging"),
+    "checked": _checked("staging"),
+    "checked_again": _checked("rerun_staging"),
     "arrived": """
 SELECT (SELECT max(invoice_id) FROM {invoice}) + row_number AS invoice_id, CAST(raw_project_id AS BIGINT) AS project_id,
        trim(raw_invoice_number) AS invoice_number, CAST(raw_invoice_date AS DATE) AS invoice_date,
@@ -305,26 +314,29 @@ SELECT DISTINCT full_date FROM (
   SELECT full_date FROM {{days_before}}
   UNION ALL SELECT CAST(unnest(generate_series({AS_OF} - 30, {LAST}, INTERVAL 1 DAY)) AS DATE))""",
     "watch": f"""
-SELECT o.order_id, s.supplier_name, s.credit_limit, s.payment_terms_days, p.project_name, o.order_date,
-       o.expected_delivery_date, o.order_date + s.payment_terms_days AS payment_due_date,
-       CAST(o.order_date + s.payment_terms_days - {AS_OF} AS INT) AS days_until_due, o.total_amount, o.status,
-       CASE WHEN o.order_date + s.payment_terms_days < {AS_OF} THEN 'OVERDUE'
-            WHEN o.order_date + s.payment_terms_days - {AS_OF} <= 7 THEN 'DUE_SOON' ELSE 'SCHEDULED' END AS alert_level
-FROM {{purchase_order}} o JOIN {{supplier_dim}} s ON s.supplier_id = o.supplier_id
-JOIN {{project}} p ON p.project_id = o.project_id
-WHERE o.status IN (SELECT status_code FROM {{ref_order_status}} WHERE counts_as_payable)""",
+SELECT *, CASE WHEN days_until_due BETWEEN 0 AND 7 THEN 'DUE_SOON' WHEN days_until_due > 7 THEN 'SCHEDULED' ELSE 'OVERDUE' END AS alert_level
+FROM (SELECT order_id, supplier_name, credit_limit, payment_terms_days, project_name, order_date, expected_delivery_date,
+             order_date + payment_terms_days AS payment_due_date,
+             CAST(datediff('day', {AS_OF}, order_date + payment_terms_days) AS INT) AS days_until_due, total_amount, o.status
+      FROM {{purchase_order}} o JOIN {{supplier_dim}} USING (supplier_id) JOIN {{project}} USING (project_id)
+      WHERE o.status IN ('Ordered', 'Delivered'))""",
     "profit": """
-SELECT p.project_id, p.project_name, c.city, p.status, p.total_value,
-       CAST(coalesce(dc.v, 0) AS DECIMAL(22,2)) AS direct_cost, CAST(coalesce(po.v, 0) AS DECIMAL(22,2)) AS supplier_cost,
-       CAST(p.total_value - coalesce(dc.v, 0) - coalesce(po.v, 0) AS DECIMAL(22,2)) AS gross_margin,
-       CAST(coalesce(rec.v, 0) AS DECIMAL(22,2)) AS invoiced_to_date, CAST(coalesce(pay.v, 0) AS DECIMAL(22,2)) AS received_to_date
-FROM {project} p JOIN {customer_rec} c ON c.customer_id = p.customer_id
-LEFT JOIN (SELECT pc.project_id, sum(amount) AS v FROM {project_cost} pc JOIN {cost} co ON co.cost_id = pc.cost_id GROUP BY 1) dc
-  ON dc.project_id = p.project_id
-LEFT JOIN (SELECT project_id, sum(total_amount) AS v FROM {purchase_order} GROUP BY 1) po ON po.project_id = p.project_id
-LEFT JOIN (SELECT project_id, sum(amount) AS v FROM {invoice} GROUP BY 1) rec ON rec.project_id = p.project_id
-LEFT JOIN (SELECT i.project_id, sum(pm.amount) AS v FROM {payment} pm JOIN {invoice} i ON i.invoice_id = pm.invoice_id GROUP BY 1) pay
-  ON pay.project_id = p.project_id""",
+SELECT p.project_id, p.project_name, c.city, p.status, p.total_value, direct_cost, supplier_cost,
+       CAST(p.total_value - direct_cost - supplier_cost AS DECIMAL(22,2)) AS gross_margin, invoiced_to_date, received_to_date
+FROM {project} p JOIN {customer_rec} c USING (customer_id)
+JOIN (
+  SELECT project_id, CAST(sum(CASE k WHEN 'direct' THEN v ELSE 0 END) AS DECIMAL(22,2)) AS direct_cost,
+         CAST(sum(CASE k WHEN 'ordered' THEN v ELSE 0 END) AS DECIMAL(22,2)) AS supplier_cost,
+         CAST(sum(CASE k WHEN 'billed' THEN v ELSE 0 END) AS DECIMAL(22,2)) AS invoiced_to_date,
+         CAST(sum(CASE k WHEN 'paid' THEN v ELSE 0 END) AS DECIMAL(22,2)) AS received_to_date
+  FROM (
+    SELECT project_id, 'direct' AS k, amount AS v FROM {project_cost} JOIN {cost} USING (cost_id)
+    UNION ALL SELECT project_id, 'ordered', total_amount FROM {purchase_order}
+    UNION ALL SELECT project_id, 'billed', amount FROM {invoice}
+    UNION ALL SELECT i.project_id, 'paid', y.amount FROM {payment} y JOIN {invoice} i USING (invoice_id)
+    UNION ALL SELECT project_id, 'none', 0 FROM {project}
+  ) GROUP BY project_id
+) m USING (project_id)""",
 }
 
 
@@ -509,9 +521,9 @@ def _audit_dependencies() -> str:
 
 
 ISA = """
-SELECT c.cost_id, c.cost_category, p.cost_id IS NOT NULL AS has_project_subtype, o.cost_id IS NOT NULL AS has_overhead_subtype
-FROM {cost} c LEFT JOIN {project_cost} p ON p.cost_id = c.cost_id LEFT JOIN {operational_cost} o ON o.cost_id = c.cost_id
-WHERE (p.cost_id IS NULL AND o.cost_id IS NULL) OR (p.cost_id IS NOT NULL AND o.cost_id IS NOT NULL)"""
+SELECT cost_id, cost_category, cost_id IN (SELECT cost_id FROM {project_cost}) AS has_project_subtype,
+       cost_id IN (SELECT cost_id FROM {operational_cost}) AS has_overhead_subtype
+FROM {cost} WHERE (cost_id IN (SELECT cost_id FROM {project_cost})) = (cost_id IN (SELECT cost_id FROM {operational_cost}))"""
 
 DIM_COST = f"""
 SELECT {_hex("cost_category || '|' || cost_subcategory", 15)} AS cost_type_key, cost_category, cost_subcategory, is_indirect
@@ -697,8 +709,8 @@ SELECT project_id, status, CASE WHEN status = 'Completed' THEN '{RUN_TS}' END AS
     "view_customer_data_export": f"""
 SELECT {CUSTOMER}, p.project_id, p.project_name, p.status AS project_status, p.total_value, i.invoice_number, i.invoice_date,
        i.amount AS invoice_amount, i.status AS invoice_status, y.payment_date, y.amount AS payment_amount, y.payment_method
-FROM {{customer_rec}} c LEFT JOIN {{project}} p ON p.customer_id = c.customer_id
-LEFT JOIN {{invoice}} i ON i.project_id = p.project_id LEFT JOIN {{payment}} y ON y.invoice_id = i.invoice_id""",
+FROM {{payment}} y RIGHT JOIN {{invoice}} i USING (invoice_id) RIGHT JOIN {{project}} p ON p.project_id = i.project_id
+RIGHT JOIN {{customer_rec}} c ON c.customer_id = p.customer_id""",
     "view_customer_minimised": """
 SELECT customer_id, city, left(postal_code, 2) AS postal_area, country, pseudonymized_at IS NOT NULL AS is_pseudonymised
 FROM {customer_rec}""",

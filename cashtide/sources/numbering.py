@@ -5,33 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_POSITION = ["_path", "_start"]
-
+from cashtide.session import materialise
 
-def with_file_position(df: DataFrame) -> DataFrame:
-    """Where each row was read: file, start of the split, and its place in the task."""
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_place"),
-    )
+_POSITION = ["_path", "_start"]
 
 
-def number_lines(positioned: DataFrame, column: str, first: int) -> DataFrame:
-    """Number rows in file order, starting at ``first``.
+def number_lines(rows: DataFrame, column: str, first: int) -> DataFrame:
+    """Number the rows of a file scan in file order, starting at ``first``.
 
     Rows of one split are read in order by one task, so the place within the split
-    is known there; only the number of rows per split has to be summed up.  That
-    is one small row per split, not a global sort of the lines.
+    is known there; only the number of rows per split has to be summed up.  That is
+    one small row per split, not a global sort of the lines.
+
+    The rows are stored with their places, because a second scan of the files may
+    cut them into other splits.  The sums are stored too, so that they are broadcast
+    on their true size and the lines are not shuffled.
     """
+    positioned = materialise(
+        rows.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_place"),
+        )
+    )
     splits = positioned.groupBy(*_POSITION).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first_place")
     )
     before = Window.orderBy(*_POSITION).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     return (
-        positioned.join(offsets, _POSITION)
+        positioned.join(materialise(offsets), _POSITION)
         .withColumn(column, F.col("_before") + F.col("_place") - F.col("_first_place") + first)
         .drop(*_POSITION, "_place", "_before", "_first_place")
     )

@@ -11,7 +11,7 @@ from cashtide.functions.numbers import without_spaces
 from cashtide.operators.imports import RAW_FIELDS
 from cashtide.schemas import TABLES
 from cashtide.seeds import reference_domains
-from cashtide.sources.numbering import number_lines, with_file_position
+from cashtide.sources.numbering import number_lines
 
 # The ledger columns that are read, by their name in the file.
 LEDGER_COLUMNS = {
@@ -37,7 +37,7 @@ def read_invoice_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFram
         raise ValueError(f"expected the header {','.join(RAW_FIELDS)}, found {','.join(header)}")
     schema = ", ".join(f"{c} string" for c in RAW_FIELDS)
     rows = spark.read.csv(path, schema=schema, header=True, sep=sep, enforceSchema=True)
-    return number_lines(with_file_position(rows), "row_number", 2)
+    return number_lines(rows, "row_number", 2)
 
 
 def read_invoice_json(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -78,7 +78,7 @@ def read_ledger_csv(spark: SparkSession, path: str, sep: str = ",", skip_lines:
     else:
         rows = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8")
         rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
-        rows = number_lines(with_file_position(rows), "line", 2)
+        rows = number_lines(rows, "line", 2)
     return rows.select(
         "line",
         *[
@@ -91,7 +91,7 @@ def read_ledger_csv(spark: SparkSession, path: str, sep: str = ",", skip_lines:
 def _after_preamble(spark: SparkSession, path: str, sep: str, skip_lines: int) -> DataFrame:
     """Rows of a CSV whose header is not on the first line."""
     text = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    numbered = number_lines(with_file_position(text), "_text_line", 1)
+    numbered = number_lines(text, "_text_line", 1)
     header = numbered.filter(F.col("_text_line") == skip_lines + 1).select("value").first()[0]
     options = {"sep": sep}
     names_schema = spark.range(1).select(F.schema_of_csv(F.lit(header), options).alias("s")).first()[0]

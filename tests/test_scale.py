@@ -9,6 +9,8 @@ from tables import values
 
 import __spark_entry__ as entry_module
 from cashtide.operators import audit, rules, skew
+from cashtide.operators.imports import import_promote
+from cashtide.session import materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,6 +128,29 @@ def test_hot_reference_is_counted_before_the_shuffle(spark, hot, projects):
     assert values(orphans, "project_id", "orphan_rows") == [(1, 24000)]
 
 
+def test_small_batch_does_not_shuffle_the_invoices(spark, hot):
+    """A stored batch is broadcast on its measured size; the table is only scanned."""
+    table = materialise(hot.withColumn("due_date", F.col("invoice_date")).withColumn("created_by", F.lit("x")))
+    staged = materialise(
+        spark.range(40).select(
+            F.lit(1).cast("bigint").alias("run_id"),
+            F.col("id").cast("int").alias("row_number"),
+            F.concat(F.lit("N-"), F.col("id") + 59980).alias("raw_invoice_number"),
+            F.lit("1").alias("raw_project_id"),
+            F.lit("2026-01-01").alias("raw_invoice_date"),
+            F.lit("2026-01-02").alias("raw_due_date"),
+            F.lit("1.00").alias("raw_amount"),
+            F.lit("Issued").alias("raw_status"),
+            F.lit(True).alias("is_valid"),
+        )
+    )
+    promoted = import_promote(table, staged)
+    plan = executed(promoted)
+    final = plan.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in final and "BroadcastHashJoin" in final
+    assert promoted.count() == 60020 and promoted.filter("amount = 1").count() == 40
+
+
 # Operators no plan may contain.
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas"]
 NAMES = sorted(entry_module.queries())
