@@ -191,6 +191,20 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem}""",
 }
 
 
+# Tables of the model and the blocks they come from.
+DOMAIN_TABLES = {
+    "project": "project",
+    "customer": "customer_rec",
+    "invoice": "invoice",
+    "payment": "payment",
+    "supplier": "supplier_dim",
+    "purchase_order": "purchase_order",
+    "cost": "cost",
+    "project_cost": "project_cost",
+    "operational_cost": "operational_cost",
+}
+
+
 def placeholders(sql: str) -> list[str]:
     """The tables a block reads, each once, in the order of first use."""
     return list(dict.fromkeys(name for _, name, _, _ in string.Formatter().parse(sql) if name))
@@ -213,17 +227,8 @@ class Derived:
                 self._frames[name] = self.spark.sql(text, **{n: self[n] for n in placeholders(text)})
         return self._frames[name]
 
-    def tables(self) -> dict[str, DataFrame]:
-        """The domain tables under their model names, with the reference domains."""
-        return {
-            **reference_domains(self.spark),
-            "project": self["project"],
-            "customer": self["customer_rec"],
-            "invoice": self["invoice"],
-            "payment": self["payment"],
-            "supplier": self["supplier_dim"],
-            "purchase_order": self["purchase_order"],
-            "cost": self["cost"],
-            "project_cost": self["project_cost"],
-            "operational_cost": self["operational_cost"],
-        }
+    def tables(self, *names: str) -> dict[str, DataFrame]:
+        """The named tables of the model, or all that can be derived."""
+        domains = [n for n in names if n not in DOMAIN_TABLES] if names else None
+        rows = {} if domains == [] else reference_domains(self.spark, domains)
+        return {**rows, **{n: self[DOMAIN_TABLES[n]] for n in names or DOMAIN_TABLES if n in DOMAIN_TABLES}}

@@ -32,16 +32,21 @@ def query(function: Callable[[Derived], DataFrame]) -> Query:
 # --- shared stages -----------------------------------------------------------
 
 
-def scheduled(d: Derived) -> dict[str, DataFrame]:
+# Tables that single stages read, so that the others are not planned.
+RULED = ("project", "invoice", "ref_milestone_type")
+WATCHED = ("purchase_order", "supplier", "project", "ref_order_status")
+
+
+def scheduled(d: Derived, *names: str) -> dict[str, DataFrame]:
     """Tables with a schedule generated over the one left by an earlier run."""
-    T = d.tables()
+    T = d.tables(*names)
     T["payment_schedule"] = rules.rule_payment_schedule(T["project"], T["ref_milestone_type"], d["schedule_before"])
     return T
 
 
-def ruled(d: Derived) -> dict[str, DataFrame]:
+def ruled(d: Derived, *names: str) -> dict[str, DataFrame]:
     """Tables after classification, linking and advancing."""
-    return rules.apply_milestone_rules(scheduled(d))
+    return rules.apply_milestone_rules(scheduled(d, *names))
 
 
 def with_past(d: Derived, T: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -66,9 +71,9 @@ def starred(d: Derived) -> dict[str, DataFrame]:
     return rule_pipeline({**with_past(d, d.tables()), "payment_schedule": d["schedule_before"]}, AS_OF)
 
 
-def settled(d: Derived) -> dict[str, DataFrame]:
+def settled(d: Derived, *names: str) -> dict[str, DataFrame]:
     """Tables after the rules, with the schedule stored as the forecast finds it."""
-    T = ruled(d)
+    T = ruled(d, *names)
     return {**T, "payment_schedule": materialise(T["payment_schedule"])}
 
 
@@ -95,7 +100,7 @@ def batch(d: Derived, block: str = "staging") -> DataFrame:
 
 
 def validated(d: Derived, block: str = "staging") -> DataFrame:
-    T = d.tables()
+    T = d.tables("project", "ref_invoice_status")
     return imports.import_validate(imports.import_stage(batch(d, block), 1), T["project"], T["ref_invoice_status"])
 
 
@@ -230,7 +235,7 @@ def mutate_stamp_updated(d: Derived) -> DataFrame:
 
 @query
 def rule_payment_schedule(d: Derived) -> DataFrame:
-    return scheduled(d)["payment_schedule"]
+    return scheduled(d, "project", "ref_milestone_type")["payment_schedule"]
 
 
 @query
@@ -241,7 +246,7 @@ def rule_classify_invoices(d: Derived) -> DataFrame:
 
 @query
 def rule_link_schedule(d: Derived) -> DataFrame:
-    T = scheduled(d)
+    T = scheduled(d, *RULED)
     coded = rules.rule_classify_invoices(T["invoice"], T["project"])
     linked = rules.rule_link_schedule(coded, T["payment_schedule"], T["ref_milestone_type"])
     return linked.select("invoice_id", "milestone_code", "schedule_id")
@@ -249,7 +254,7 @@ def rule_link_schedule(d: Derived) -> DataFrame:
 
 @query
 def rule_advance_schedule(d: Derived) -> DataFrame:
-    return ruled(d)["payment_schedule"]
+    return ruled(d, *RULED)["payment_schedule"]
 
 
 @query
@@ -280,17 +285,17 @@ def rule_pipeline_totals(d: Derived) -> DataFrame:
 
 @query
 def forecast_milestones(d: Derived) -> DataFrame:
-    return rules.forecast_milestones(settled(d), AS_OF)
+    return rules.forecast_milestones(settled(d, *RULED), AS_OF)
 
 
 @query
 def forecast_suppliers(d: Derived) -> DataFrame:
-    return rules.forecast_suppliers(d.tables(), AS_OF)
+    return rules.forecast_suppliers(d.tables("purchase_order", "supplier", "ref_order_status"), AS_OF)
 
 
 @query
 def forecast_overhead(d: Derived) -> DataFrame:
-    return rules.forecast_overhead(d.tables(), AS_OF)
+    return rules.forecast_overhead(d.tables("cost", "operational_cost"), AS_OF)
 
 
 # --- star schema -------------------------------------------------------------
@@ -313,7 +318,7 @@ def star_dim_customer(d: Derived) -> DataFrame:
 
 @query
 def star_dim_cost_type(d: Derived) -> DataFrame:
-    T = with_past(d, d.tables())
+    T = with_past(d, d.tables("ref_direct_cost_type", "ref_overhead_category"))
     return star.star_dim_cost_type(T["ref_direct_cost_type"], T["ref_overhead_category"], T["dim_cost_type"])
 
 
@@ -344,17 +349,17 @@ def view_cashflow_30day(d: Derived) -> DataFrame:
 
 @query
 def view_cost_isa_violations(d: Derived) -> DataFrame:
-    return views.view_cost_isa_violations(d.tables())
+    return views.view_cost_isa_violations(d.tables("cost", "project_cost", "operational_cost"))
 
 
 @query
 def view_customer_data_export(d: Derived) -> DataFrame:
-    return views.view_customer_data_export(d.tables())
+    return views.view_customer_data_export(d.tables("customer", "project", "invoice", "payment"))
 
 
 @query
 def view_customer_minimised(d: Derived) -> DataFrame:
-    return views.view_customer_minimised(d.tables())
+    return views.view_customer_minimised(d.tables("customer"))
 
 
 @query
@@ -378,17 +383,19 @@ def view_liquidity_alert(d: Derived) -> DataFrame:
 
 @query
 def view_payment_schedule(d: Derived) -> DataFrame:
-    return views.view_payment_schedule(ruled(d))
+    return views.view_payment_schedule(ruled(d, *RULED))
 
 
 @query
 def view_project_profitability(d: Derived) -> DataFrame:
-    return views.view_project_profitability(d.tables())
+    return views.view_project_profitability(
+        d.tables("customer", "project", "invoice", "payment", "purchase_order", "cost", "project_cost")
+    )
 
 
 @query
 def view_supplier_watch(d: Derived) -> DataFrame:
-    return views.view_supplier_watch(d.tables(), AS_OF)
+    return views.view_supplier_watch(d.tables(*WATCHED), AS_OF)
 
 
 @query
@@ -403,12 +410,12 @@ def dash_cashflow_chart(d: Derived) -> DataFrame:
 
 @query
 def dash_active_projects(d: Derived) -> DataFrame:
-    return views.dash_active_projects(ruled(d))
+    return views.dash_active_projects(ruled(d, *RULED, "customer", "payment", "ref_project_status"))
 
 
 @query
 def dash_supplier_watch(d: Derived) -> DataFrame:
-    return views.dash_supplier_watch(d.tables(), AS_OF)
+    return views.dash_supplier_watch(d.tables(*WATCHED), AS_OF)
 
 
 # --- import ------------------------------------------------------------------
@@ -575,7 +582,7 @@ def pseudonymise_addresses(d: Derived) -> DataFrame:
 
 
 def erasable(d: Derived) -> dict[str, DataFrame]:
-    return {**d.tables(), "invoice": d["settled_invoice"]}
+    return {**d.tables("customer", "project", "ref_invoice_status"), "invoice": d["settled_invoice"]}
 
 
 def verdicts(d: Derived) -> DataFrame:

@@ -6,6 +6,7 @@ its own size check; no hint is needed anywhere.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from decimal import Decimal
 
 import pyarrow as pa
@@ -99,5 +100,7 @@ def local_table(spark: SparkSession, name: str, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=pa.schema(fields)))
 
 
-def reference_domains(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: local_table(spark, name, rows) for name, rows in _rows().items()}
+def reference_domains(spark: SparkSession, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The named reference domains, or all of them."""
+    rows = _rows()
+    return {name: local_table(spark, name, rows[name]) for name in (rows if names is None else names)}

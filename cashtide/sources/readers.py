@@ -33,7 +33,7 @@ def read_invoice_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFram
     A header other than the six names in their order is an error.
     """
     header = spark.read.csv(path, header=True, sep=sep).columns
-    if [h.lstrip("﻿").strip() for h in header] != RAW_FIELDS:
+    if [h.lstrip("\ufeff").strip() for h in header] != RAW_FIELDS:
         raise ValueError(f"expected the header {','.join(RAW_FIELDS)}, found {','.join(header)}")
     schema = ", ".join(f"{c} string" for c in RAW_FIELDS)
     rows = spark.read.csv(path, schema=schema, header=True, sep=sep, enforceSchema=True)
@@ -74,13 +74,16 @@ def read_ledger_csv(spark: SparkSession, path: str, sep: str = ",", skip_lines:
     lines before the header, for exports that start with a description line.
     """
     if skip_lines:
-        rows = _after_preamble(spark, path, sep, skip_lines)
-    else:
-        rows = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8")
-        rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
-        rows = number_lines(rows, "line", 2)
+        return _ledger_columns(_after_preamble(spark, path, sep, skip_lines), "line")
+    rows = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8")
+    rows = rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
+    return number_lines(_ledger_columns(rows), "line", 2).select("line", *LEDGER_COLUMNS)
+
+
+def _ledger_columns(rows: DataFrame, *more: str) -> DataFrame:
+    """The ledger columns under their short names, missing ones as nulls."""
     return rows.select(
-        "line",
+        *more,
         *[
             (F.col(f"`{source}`") if source in rows.columns else F.lit(None).cast("string")).alias(name)
             for name, source in LEDGER_COLUMNS.items()
@@ -101,7 +104,7 @@ def _after_preamble(spark: SparkSession, path: str, sep: str, skip_lines: int) -
     body = numbered.filter(F.col("_text_line") > skip_lines + 1).select(
         (F.col("_text_line") - skip_lines).alias("line"), F.from_csv(F.col("value"), F.lit(cells), options).alias("r")
     )
-    return body.select("line", *[F.col(f"r._c{i}").alias(names[i].lstrip("﻿").strip()) for i in range(width)])
+    return body.select("line", *[F.col(f"r._c{i}").alias(names[i].lstrip("\ufeff").strip()) for i in range(width)])
 
 
 def load_tables(
