@@ -12,7 +12,7 @@ from cashtide.functions.numbers import MONEY, without_spaces
 from cashtide.operators.mutate import timestamp_literal, upsert
 from cashtide.operators.pipeline import rule_pipeline
 from cashtide.operators.rules import HORIZON_DAYS
-from cashtide.operators.skew import join_unique
+from cashtide.operators.skew import join_stored
 from cashtide.operators.views import KPI_COLUMNS, view_dashboard_kpi
 from cashtide.session import materialise
 
@@ -59,7 +59,7 @@ def import_validate(staged: DataFrame, project: DataFrame, invoice_status: DataF
     projects = project.select("project_id").join(asked, "project_id", "left_semi")
     projects = projects.select(F.col("project_id").alias("_project"), F.lit(True).alias("_known_project"))
     statuses = invoice_status.select(F.col("status_code").alias("_known_status"))
-    rows = join_unique(rows, projects, ["_project"], "left", ["run_id", "row_number"]).join(
+    rows = join_stored(rows, projects, ["_project"], "left").join(
         statuses, raw["status"] == F.col("_known_status"), "left"
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cashtide.functions.numbers import ddmm_date, document_number, german_decimal, trimmed
 from cashtide.functions.pseudonyms import COMPANY_FORMS, transliterated, with_address, with_shown_name
-from cashtide.operators.skew import join_unique
+from cashtide.operators.skew import join_stored
 from cashtide.operators.storno import INVOICE_FLAG, ledger_live_invoices, ledger_storno_match
 
 # Account ranges, overhead accounts and terms.
@@ -124,7 +124,7 @@ def ledger_invoices_out(live: DataFrame, payments: DataFrame) -> DataFrame:
     """
     paid = payments.select("doc").distinct().withColumn("_paid", F.lit(True))
     return (
-        join_unique(live, paid, ["doc"], "left", ["line"])
+        join_stored(live, paid, ["doc"], "left")
         .orderBy("date", "doc", "line")
         .select(
             F.col("doc").alias("invoice_number"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from cashtide.functions.hashing import short_key
 from cashtide.functions.numbers import MONEY
 from cashtide.operators.mutate import replace_from_date, stamp_updated, update_where_distinct, upsert
-from cashtide.operators.skew import hot_keys, join_unique
+from cashtide.operators.skew import join_stored
+from cashtide.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -152,7 +153,7 @@ def rule_classify_invoices(
     """Set ``milestone_code`` on every invoice of a known project."""
     invoice = _with_columns(invoice, milestone_code="string")
     scope = _scope(invoice, project, project_id)
-    joined = join_unique(invoice, scope, ["project_id"], "left", ["invoice_id"])
+    joined = join_stored(invoice, scope, ["project_id"], "left")
     code = _milestone(threshold)
     changed = ~F.col("milestone_code").eqNullSafe(code)
     return stamp_updated(joined, changed, run_ts).withColumn("milestone_code", code).select(*invoice.columns)
@@ -177,11 +178,8 @@ def rule_link_schedule(
     A link is never cleared, even if the invoice is reclassified.
     """
     invoice = _with_columns(invoice, schedule_id="bigint")
-    slots = _slots(schedule, milestone_type, project_id)
-    hot = hot_keys(invoice, ["project_id"])
-    return update_where_distinct(
-        invoice, slots, ["project_id", "milestone_code"], "schedule_id", run_ts, hot=hot, by=["invoice_id"]
-    )
+    slots = materialise(_slots(schedule, milestone_type, project_id))
+    return update_where_distinct(invoice, slots, ["project_id", "milestone_code"], "schedule_id", run_ts)
 
 
 def classify_and_link(
@@ -205,7 +203,7 @@ def classify_and_link(
         .agg(F.map_from_entries(F.collect_list(F.struct("milestone_code", "schedule_id"))).alias("_slots"))
     )
     scope = _scope(invoice, project, project_id).join(slots, "project_id", "full_outer")
-    joined = join_unique(invoice, scope, ["project_id"], "left", ["invoice_id"])
+    joined = join_stored(invoice, scope, ["project_id"], "left")
     coded = joined.withColumn("_code", _milestone(threshold))
     coded = coded.withColumn("_slot", F.coalesce(F.try_element_at("_slots", F.col("_code")), F.col("schedule_id")))
     changed = ~(F.col("milestone_code").eqNullSafe(F.col("_code")) & F.col("schedule_id").eqNullSafe(F.col("_slot")))

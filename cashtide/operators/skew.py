@@ -3,75 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.session import materialise
 
-# A key is hot from one thousandth of the rows on, so there are fewer than a
-# thousand hot keys whatever the data; each is spread over this many salts.  Keys
-# with few rows are no burden to a task, whatever their share.
-HOT_SHARE = 1000
-HOT_ROWS = 100_000
-SALTS = 256
-SALT = "_salt"
-_HOT = "_hot"
 
+def join_stored(many: DataFrame, one: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Join rows to a side that is unique on the key and the result of a grouping or
+    of another join on it.
 
-def hot_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The values that hold more than a thousandth of the rows: at most 1,000.
-
-    Counting combines map-side, and only the key columns are read.
-    """
-    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.select(F.sum("_rows")).scalar()
-    hot = (F.col("_rows") >= HOT_ROWS) & (F.col("_rows") * HOT_SHARE > total)
-    return counts.filter(hot).select(*columns, F.lit(True).alias(_HOT))
-
-
-def join_unique(
-    many: DataFrame,
-    one: DataFrame,
-    key: Sequence[str],
-    how: str,
-    by: Sequence[str],
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Join rows to a side that is unique on the key, hot keys spread over tasks.
-
-    Rows of a hot key get one of the salts, from a hash of the ``by`` columns that
-    identify them; the one matching row is repeated for every salt.  At most 1,000
-    keys are hot, so that is a bounded number of extra rows, and the list of hot
-    keys is small enough to broadcast whatever the data.  Rows without a key, which
-    match nothing, are spread as well.
-
-    The planner splits a hot partition by itself only where both inputs of a join
-    come straight from a shuffle, so this is for joins whose unique side is the
-    result of a grouping or of another join on the same key.  ``hot`` may be given
-    where the hot values of some of the key columns are known already.
+    Left in one plan, both sides would be read in one stage, and a partition with a
+    hot key, or with all the rows that have none, could not be split.  Stored first,
+    the unique side is broadcast if its measured size allows, and otherwise both
+    sides come straight from a shuffle, where the planner splits hot partitions.
     """
-    key = list(key)
-    if hot is None:
-        hot = hot_keys(many, key)
-    hot_columns = [c for c in hot.columns if c != _HOT]
-    listed = F.broadcast(hot)
-    is_hot = F.col(_HOT).isNotNull()
-    spread = F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    keyless = reduce(or_, [F.col(k).isNull() for k in key])
-    salt = F.when(is_hot | keyless, spread).otherwise(0)
-    salted = many.join(listed, hot_columns, "left").withColumn(SALT, salt).drop(_HOT)
-    repeated = (
-        one.join(listed, hot_columns, "left")
-        .withColumn(SALT, F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-        .drop(_HOT)
-    )
-    joined = salted.join(repeated, [*key, SALT], how).drop(SALT)
-    added = [c for c in joined.columns if c not in many.columns]
-    return joined.select(*many.columns, *added)
+    return many.join(materialise(one), list(key), how)
 
 
 def keep_all_left(

@@ -71,20 +71,14 @@ def projects(spark):
     )
 
 
-def largest_share(df):
-    """The largest part of the rows that one task of the last stage holds."""
-    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
-    return max(sizes) / sum(sizes)
-
-
-def test_hot_project_is_ranked_before_the_shuffle_and_salted_in_the_join(spark, hot, projects, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 1000)
+def test_hot_project_is_ranked_before_the_shuffle_and_split_in_the_join(spark, hot, projects):
+    ranked = rules._scope(hot, projects, None)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit .*Partial", ranked)
     with tiny(spark):
         coded = rules.rule_classify_invoices(hot, projects)
         plan = executed(coded)
         got = {r.invoice_id: r.milestone_code for r in coded.collect()}
-        assert largest_share(coded.withColumn("salted", F.col("milestone_code"))) < 0.2
-    assert re.search(r"WindowGroupLimit .*Partial", plan)
+    assert "skew=true" in plan
     by_project = {}
     for r in hot.collect():
         by_project.setdefault(r.project_id, []).append((r.invoice_date, r.invoice_number, r.invoice_id))
@@ -96,21 +90,24 @@ def test_hot_project_is_ranked_before_the_shuffle_and_salted_in_the_join(spark,
     assert got == want
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, hot, projects, monkeypatch, how):
-    monkeypatch.setattr(skew, "HOT_ROWS", 1000)
-    many = hot.select("invoice_id", F.when(F.col("invoice_id") % 11 > 2, F.col("project_id")).alias("project_id"))
-    one = projects.filter("project_id % 7 <> 0")
-    with tiny(spark):
-        salted = skew.join_unique(many, one, ["project_id"], how, ["invoice_id"])
-        plain = many.join(one, ["project_id"], how).select(*salted.columns)
-        assert sorted(salted.collect(), key=str) == sorted(plain.collect(), key=str)
-        assert largest_share(salted) < 0.25
+def test_a_small_unique_side_spares_the_shuffle(spark, hot, projects):
+    final = executed(rules.rule_classify_invoices(hot, projects)).split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final and "Exchange hashpartitioning" not in final
 
 
-def test_at_most_a_thousand_keys_are_hot(spark, hot, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 1)
-    assert values(skew.hot_keys(hot, ["project_id"]), "project_id") == [(1,)]
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_hot_and_missing_keys_are_split(spark, hot, projects, how):
+    """Hot keys, and a third of the rows without a key, against a grouped side."""
+    many = hot.select(
+        "invoice_id", "invoice_number", F.when(F.col("invoice_id") % 9 > 2, F.col("project_id")).alias("project_id")
+    )
+    one = projects.filter("project_id % 7 <> 0").groupBy("project_id").agg(F.max("total_value").alias("v"))
+    with tiny(spark):
+        joined = skew.join_stored(many, one, ["project_id"], how)
+        plan = executed(joined)
+        plain = many.join(one, ["project_id"], how).select(*joined.columns)
+        assert sorted(joined.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert "skew=true" in plan
 
 
 def test_hot_key_of_a_left_join_is_split(spark, hot, projects):
