@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from cashtide.llm.common import hex_digest
 from cashtide.llm.decontaminate import find_contamination
 from cashtide.llm.token_counts import token_counts
+from cashtide.llm.token_files import read_token_files, write_token_files
+from cashtide.session import scratch_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +38,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, WORDS, end_id=1)
+    return read_token_files(spark, folder)
+
+
 #: Words as one operator reads them, in DuckDB: lower-case A-Z, digits and all beyond ASCII.
 _OP4_WORDS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
@@ -71,6 +79,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
