@@ -12,6 +12,7 @@ from cashtide.llm.common import hex_digest
 from cashtide.llm.decontaminate import find_contamination
 from cashtide.llm.token_counts import token_counts
 from cashtide.llm.token_files import read_token_files, write_token_files
+from cashtide.llm.web_archive import read_archives, write_archives
 from cashtide.session import scratch_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,6 +39,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return read_archives(spark, folder)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), folder, WORDS, end_id=1)
@@ -76,10 +83,26 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+#: Base 32 in SQL: five hex digits at a time are twenty bits, four digits of base 32.
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS x FROM p),
+f AS (SELECT x, min(page_id) AS first FROM h GROUP BY x)
+SELECT page_id, payload_bytes,
+  list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_transform(range(0, 4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + CAST((CAST('0x' || substr(x, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * j AS BIGINT)) & 31 AS BIGINT), 1)
+  ), lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM h JOIN f USING (x)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op8_web_archives": op8_web_archives,
     "op9_token_files": op9_token_files,
 }
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_web_archives": OP8_SQL}
