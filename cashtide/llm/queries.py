@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cashtide.llm.common import hex_digest
 from cashtide.llm.decontaminate import find_contamination
+from cashtide.llm.personal_data import personal_data_digest
 from cashtide.llm.token_counts import token_counts
 from cashtide.llm.token_files import read_token_files, write_token_files
 from cashtide.llm.web_archive import read_archives, write_archives
@@ -51,6 +52,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(table(spark, sf_dir, "documents"))
+
+
 #: Words as one operator reads them, in DuckDB: lower-case A-Z, digits and all beyond ASCII.
 _OP4_WORDS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op8_web_archives": op8_web_archives,
     "op9_token_files": op9_token_files,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_web_archives": OP8_SQL}
