@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cashtide.llm.common import hex_digest
 from cashtide.llm.decontaminate import find_contamination
 from cashtide.llm.personal_data import personal_data_digest
+from cashtide.llm.quality_rules import quality_digest
 from cashtide.llm.token_counts import token_counts
 from cashtide.llm.token_files import read_token_files, write_token_files
 from cashtide.llm.web_archive import read_archives, write_archives
@@ -40,6 +41,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), folder, min_bytes=0)
@@ -106,6 +111,7 @@ FROM h JOIN f USING (x)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op7_quality_rules": op7_quality_rules,
     "op8_web_archives": op8_web_archives,
     "op9_token_files": op9_token_files,
     "op10_personal_data": op10_personal_data,
