@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -184,48 +185,66 @@ class WordTokens:
     _ODD = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f]")
     _PLAIN = re.compile(r"[!-~]+")
     _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    WORDS, PIECES = 500_000, 800_000  # remembered at a time
+    REMEMBERED = 1_200_000  # words and pieces at a time
 
     def __init__(self, file: str, end_id: int | None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.library.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
+        """A plain lower-case piece is a word itself; other pieces are known under a mark."""
+        if len(self.known) >= self.REMEMBERED:
+            self.known.clear()
         if self._PLAIN.fullmatch(word):
-            parts = self._SPLIT.findall(word.lower())
+            parts, mark = self._SPLIT.findall(word.lower()), ""
+            if parts == [word]:
+                return self._piece(word)
         else:
             plain = self.library.normalizer.normalize_str(word)
-            parts = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+            parts, mark = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)], "\0"
         out = []
         for part in parts:
-            known = self.pieces.get(part)
-            if known is None:
-                if len(self.pieces) >= self.PIECES:
-                    self.pieces.clear()
-                ids = [t.id for t in self.library.model.tokenize(part)]
-                known = self.pieces[part] = struct.pack(f"<{len(ids)}I", *ids)
-            out.append(known)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        if self._ODD.search(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids) + self.end
-        words, out = self.words, []
-        for word in text.split():
-            ids = words.get(word)
+            ids = self.known.get(mark + part)
             if ids is None:
-                if len(words) >= self.WORDS:
-                    words.clear()
-                ids = words[word] = self._word(word)
+                ids = self.known[mark + part] = self._piece(part)
             out.append(ids)
-        out.append(self.end)
         return b"".join(out)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each distinct word of the texts is looked up once; ids are then gathered by word."""
+        whole = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if self._ODD.search(t)}
+        words = pc.ascii_split_whitespace(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.large_string()))
+        edges = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        found = []
+        for word in coded.dictionary.to_pylist():
+            ids = self.known.get(word)
+            if ids is None:
+                ids = self._word(word)
+                self.known[word] = ids
+            found.append(ids)
+        size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        code = coded.indices.to_numpy()
+        sizes = size[code]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        gathered = flat[np.repeat(begin[code] - total[:-1], sizes) + np.arange(total[-1])]
+        cuts = total[edges].tolist()
+        out = []
+        for i in range(len(texts)):
+            ids = gathered[cuts[i] : cuts[i + 1]].tobytes()
+            if i in whole:
+                ids = struct.pack(f"<{len(whole[i])}I", *whole[i])
+            out.append(ids + self.end)
+        return out
+
 
 _BLOCK_SCHEMA = "part int, block int, n_ids bigint, doc_ids binary, valid binary, sizes binary, ids binary"
 
@@ -252,8 +271,9 @@ def _blocks(docs: DataFrame, tokenizer_file: str, end_id: int | None) -> DataFra
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = encoder.encode(text)
+            texts = batch.column(1)
+            encoded = (x for i in range(0, len(texts), 1024) for x in encoder.encode(texts.slice(i, 1024).to_pylist()))
+            for doc, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if held and held + len(raw) // 4 > BLOCK_IDS:
                     yield cut()
                     doc_ids, valid, sizes, ids, held, block = [], [], [], [], 0, block + 1
@@ -439,4 +459,5 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
 
     places = listed(spark, folder, "*.tokens").mapInArrow(directory, "path string, offset bigint, size bigint, crc bigint")
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return places.repartition("path", "offset").mapInArrow(decode, schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few bytes a block would be coalesced
+    return places.repartition(tasks, "path", "offset").mapInArrow(decode, schema)

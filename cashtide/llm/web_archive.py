@@ -245,4 +245,5 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
 
     places = listed(spark, folder, "*.wacz").mapInArrow(runs, "path string, offset bigint, length bigint")
     schema = READ + ", url string, payload binary" * with_payload
-    return places.repartition("path", "offset").mapInArrow(parse, schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few bytes a run would be coalesced
+    return places.repartition(tasks, "path", "offset").mapInArrow(parse, schema)
