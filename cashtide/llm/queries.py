@@ -12,6 +12,7 @@ from cashtide.llm.common import hex_digest
 from cashtide.llm.decontaminate import find_contamination
 from cashtide.llm.personal_data import personal_data_digest
 from cashtide.llm.quality_rules import quality_digest
+from cashtide.llm.recompression import remove_repeats
 from cashtide.llm.token_counts import token_counts
 from cashtide.llm.token_files import read_token_files, write_token_files
 from cashtide.llm.web_archive import read_archives, write_archives
@@ -41,6 +42,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", hex_digest(F.col("kept")).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -93,6 +99,26 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+p AS (
+  SELECT doc_id, k, md5(array_to_string(list_slice(w, k, k + 19), ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)
+),
+f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS r FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS i FROM f WHERE r > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 #: Base 32 in SQL: five hex digits at a time are twenty bits, four digits of base 32.
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -111,10 +137,11 @@ FROM h JOIN f USING (x)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op6_recompression": op6_recompression,
     "op7_quality_rules": op7_quality_rules,
     "op8_web_archives": op8_web_archives,
     "op9_token_files": op9_token_files,
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_web_archives": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_recompression": OP6_SQL, "op8_web_archives": OP8_SQL}
