@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cashtide.llm.common import hex_digest
 from cashtide.llm.decontaminate import find_contamination
+from cashtide.llm.near_dedup import near_duplicates
 from cashtide.llm.personal_data import personal_data_digest
 from cashtide.llm.quality_rules import quality_digest
 from cashtide.llm.recompression import remove_repeats
@@ -30,6 +31,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -136,6 +141,7 @@ FROM h JOIN f USING (x)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_near_dedup": op3_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_recompression": op6_recompression,
     "op7_quality_rules": op7_quality_rules,
