@@ -45,15 +45,21 @@ MIN_PRECISION = 0.9  # of a rule on the rows kept for pruning
 MIN_COVER = 0.01  # of the rows to reject, for a rule to be worth having
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of every whole text; arrays stay within their row."""
+def text_statistics(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Counts of every whole text; arrays stay within their row.  ``carry`` names more columns
+    to keep."""
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        *[F.col(f"`{c}`") for c in carry],
     )
     words = F.filter(F.split("text", SPACES, -1), lambda w: w != "")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
         "doc_id",
+        *carry,
         words.alias("words"),
         lines.alias("lines"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
@@ -62,6 +68,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rows = rows.select(
         "doc_id",
+        *carry,
         "n_symbols",
         "n_capitals",
         "n_digits",
@@ -99,7 +106,12 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = F.expr(
         "aggregate(transform(places, (p, k) -> least(5, coalesce(get(places, k + 1), p + 5) - p)), 0L, (a, x) -> a + x)"
     )
-    return rows.withColumn("n_repeat_words", repeated).drop("places")
+    rows = rows.withColumn("n_repeat_words", repeated).drop("places")
+    # One row out of one: the generator keeps a filter on the counts above their computation,
+    # where the planner would otherwise repeat it, arrays and all, once per use of a count.
+    counts = [c for c in rows.columns if c != "doc_id" and c not in carry]
+    packed = rows.select("doc_id", *carry, F.explode(F.array(F.struct(*counts))).alias("_counts"))
+    return packed.select("doc_id", *carry, "_counts.*")
 
 
 def base_failed() -> Column:
@@ -254,38 +266,36 @@ def _pruned(held: DataFrame, rule: list[Condition]) -> Rule | None:
     return None if best is None else Rule(tuple(rule[: best[1]]))
 
 
-def judge_quality(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "quality",
-    fitted: DecisionList | None = None,
-) -> tuple[DataFrame, DecisionList]:
-    """Statistics, ``base_failed``, ``rule`` and ``kept`` of every row, and the rules.
-
-    ``label_col`` is 1 for texts to keep and 0 for those to reject.  The statistics are
-    stored, so the texts are read once for learning and judging.
+def fit_rules(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> DecisionList:
+    """The decision list of all labelled rows that the base rules don't already reject.
+
+    ``label_col`` is 1 for texts to keep and 0 for those to reject.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.store(text_statistics(docs, id_col, text_col).withColumn("base_failed", base_failed()))
-    if fitted is None:
-        known = (
-            labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label"))
-            .filter("_id is not null and _label is not null")
-            .groupBy("_id")
-            .agg((1 - F.min("_label")).cast("bigint").alias("bad"))
-        )
-        known = scratch.store(known)
-        fitted = learn_rules(
-            stats.filter("not base_failed").join(known, F.col("doc_id") == F.col("_id")).drop("_id"), scratch
-        )
-    judged = stats.withColumn("rule", fitted.covering())
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), fitted
+    known = scratch.store(
+        labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label"))
+        .filter("_id is not null and _label is not null")
+        .groupBy("_id")
+        .agg((1 - F.min("_label")).cast("bigint").alias("bad"))
+    )
+    labelled = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    labelled = labelled.join(known, F.col("doc_id") == F.col("_id"))
+    stats = scratch.store(text_statistics(labelled, carry=["bad"]).filter(~base_failed()))
+    return learn_rules(stats, scratch)
+
+
+def judge_quality(
+    docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Statistics, ``base_failed``, ``rule`` (the one that rejects, from 1) and ``kept`` of
+    every row, and the columns to ``carry``; one pass, no shuffle."""
+    stats = text_statistics(docs, id_col, text_col, carry).withColumn("base_failed", base_failed())
+    return stats.withColumn("rule", rules.covering()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    judged, _ = judge_quality(docs.select("doc_id", "text"), labels)
-    return judged.select(
+    return judge_quality(docs, fit_rules(docs, labels)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )

@@ -12,6 +12,7 @@ from cashtide.llm.common import hex_digest
 from cashtide.llm.decontaminate import find_contamination
 from cashtide.llm.near_dedup import near_duplicates
 from cashtide.llm.personal_data import personal_data_digest
+from cashtide.llm.piece_segmentation import encode_pieces
 from cashtide.llm.quality_rules import quality_digest
 from cashtide.llm.recompression import remove_repeats
 from cashtide.llm.token_counts import token_counts
@@ -47,6 +48,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_pieces(table(spark, sf_dir, "documents"), PIECES)
+    scores = F.array_join(F.transform("n_best", lambda x: x["score"].cast("string")), ",")
+    return found.select("doc_id", "n_pieces", "score", scores.alias("n_best_scores"), "ids_crc32", "round_trip")
+
+
 def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", hex_digest(F.col("kept")).alias("kept_sha256"))
@@ -143,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_near_dedup": op3_near_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_piece_segmentation": op5_piece_segmentation,
     "op6_recompression": op6_recompression,
     "op7_quality_rules": op7_quality_rules,
     "op8_web_archives": op8_web_archives,
