@@ -28,6 +28,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from cashtide.llm.common import id_and_text
 MARK = "▁"
 N_BEST = 4
 UNKNOWN_PENALTY = 10  # a letter without a piece scores this much below the worst piece
-REMEMBERED = 400_000  # segments a task knows at a time
+REMEMBERED = 800_000  # segments a task knows at a time
 _SEGMENT = re.compile(r"[\n\t\r\f\v]+| *[^ \n\t\r\f\v]+| +")
 _NEVER = -(10**15)
 
@@ -249,6 +250,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(model_file: str, n: int) -> Encoder:
+    """One for all tasks of a worker process, with the segments it knows."""
+    return Encoder(model_file, n)
+
+
 SCHEMA = (
     "doc_id bigint, n_pieces bigint, score bigint, ids array<int>, "
     "n_best array<struct<score:bigint,changes:array<struct<segment:int,ids:array<int>>>>>, "
@@ -266,7 +273,7 @@ def encode_pieces(
     best = pa.list_(pa.struct([("score", pa.int64()), ("changes", pa.list_(change))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_file, n_best)
+        encoder = _encoder(model_file, n_best)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

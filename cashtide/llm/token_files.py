@@ -19,7 +19,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,6 @@ TABLE, FILE, END = b"RTABLE01", b"RTOKEN01", b"RTOKDIR1"
 HEAD = "<QQQIIIII"  # start, ids, documents, lanes, steps, checkpoints, words, crc of the ids
 ENTRY = "<QQQQI"  # offset, bytes, start, ids, crc of the block's bytes
 
-Encoder = Callable[[list[str]], list[np.ndarray]]
-
 
 class Frequencies:
     """Counts scaled so that they add up to a power of two, each at least one."""
@@ -246,6 +245,12 @@ class WordTokens:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(file: str, end_id: int | None) -> WordTokens:
+    """One for all tasks of a worker process, with what it remembers."""
+    return WordTokens(file, end_id)
+
+
 _BLOCK_SCHEMA = "part int, block int, n_ids bigint, doc_ids binary, valid binary, sizes binary, ids binary"
 
 
@@ -253,7 +258,7 @@ def _blocks(docs: DataFrame, tokenizer_file: str, end_id: int | None) -> DataFra
     """Blocks of ids in the order of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokens(tokenizer_file, end_id)
+        encoder = _encoder(tokenizer_file, end_id)
         part, block = TaskContext.get().partitionId(), 0
         doc_ids, valid, sizes, ids, held = [], [], [], [], 0
 
