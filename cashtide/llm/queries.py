@@ -15,6 +15,7 @@ from cashtide.llm.personal_data import personal_data_digest
 from cashtide.llm.piece_segmentation import encode_pieces
 from cashtide.llm.quality_rules import quality_digest
 from cashtide.llm.recompression import remove_repeats
+from cashtide.llm.suffix_dedup import remove_repeated_bytes
 from cashtide.llm.token_counts import token_counts
 from cashtide.llm.token_files import read_token_files, write_token_files
 from cashtide.llm.web_archive import read_archives, write_archives
@@ -32,6 +33,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    spans, digest = F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", spans, digest)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -148,6 +155,7 @@ FROM h JOIN f USING (x)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_piece_segmentation": op5_piece_segmentation,
