@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import cashtide
+from cashtide.llm.files import new_file
 from cashtide.session import scratch_path
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LAST_ID = 2**63 - 1  # the place of a null id in the order of ids
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable where tasks run, once per context.
+
+    The code goes as an archive through the shared folder, as any job with Python in its
+    tasks sends its modules.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cashtide_shipped", False):
+        return
+    root = Path(cashtide.__file__).resolve().parent
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    path = f"{scratch_path(spark, 'code')}.zip"
+    with new_file(path) as out:
+        out.write(raw.getvalue())
+    context.addPyFile(path)
+    context._cashtide_shipped = True
+
+
 class Scratch:
     """Tables of one run below the folder that ``spark.checkpoint.dir`` names.
 
@@ -22,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark, self.root, self.count = spark, scratch_path(spark, label), 0
 
     def store(self, df: DataFrame) -> DataFrame:
@@ -45,6 +73,7 @@ class Scratch:
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` as bigint and ``text`` with null as the empty text; other columns go."""
+    ship(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )
