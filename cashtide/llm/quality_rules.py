@@ -267,35 +267,34 @@ def _pruned(held: DataFrame, rule: list[Condition]) -> Rule | None:
 
 
 def fit_rules(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality"
 ) -> DecisionList:
     """The decision list of all labelled rows that the base rules don't already reject.
 
-    ``label_col`` is 1 for texts to keep and 0 for those to reject.
+    ``statistics`` are those of ``text_statistics``, best stored: they are small, and the
+    labels meet them without the texts.  ``label_col`` is 1 for texts to keep and 0 for
+    those to reject.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = Scratch(statistics.sparkSession, "quality")
     known = scratch.store(
         labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label"))
         .filter("_id is not null and _label is not null")
         .groupBy("_id")
         .agg((1 - F.min("_label")).cast("bigint").alias("bad"))
     )
-    labelled = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    labelled = labelled.join(known, F.col("doc_id") == F.col("_id"))
-    stats = scratch.store(text_statistics(labelled, carry=["bad"]).filter(~base_failed()))
-    return learn_rules(stats, scratch)
+    labelled = statistics.filter(~base_failed()).join(known, F.col("doc_id") == F.col("_id")).drop("_id")
+    return learn_rules(scratch.store(labelled), scratch)
 
 
-def judge_quality(
-    docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
-) -> DataFrame:
-    """Statistics, ``base_failed``, ``rule`` (the one that rejects, from 1) and ``kept`` of
-    every row, and the columns to ``carry``; one pass, no shuffle."""
-    stats = text_statistics(docs, id_col, text_col, carry).withColumn("base_failed", base_failed())
-    return stats.withColumn("rule", rules.covering()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+def judge_quality(statistics: DataFrame, rules: DecisionList) -> DataFrame:
+    """``statistics`` with ``base_failed``, ``rule`` (the one that rejects, from 1) and ``kept``."""
+    judged = statistics.withColumn("base_failed", base_failed()).withColumn("rule", rules.covering())
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge_quality(docs, fit_rules(docs, labels)).select(
+    """Statistics and verdicts of every text; each is read once."""
+    stats = Scratch(docs.sparkSession, "quality").store(text_statistics(docs))
+    return judge_quality(stats, fit_rules(stats, labels)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )

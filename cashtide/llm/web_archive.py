@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashtide.llm.common import Scratch
+from cashtide.llm.common import LAST_ID, Scratch
 from cashtide.llm.files import listed, new_file, open_range
 
 #: Fixed values of the formats.
@@ -96,7 +96,7 @@ def stored_members(file, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 22 - 65535)
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(EOCD)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(EOCD, 0, at)
     if at < 0:
         raise ValueError("no end of a central directory")
@@ -154,18 +154,17 @@ def write_archives(
         F.col(f"`{url_col}`").cast("string").alias("url"),
         F.encode(F.coalesce(F.col(f"`{payload_col}`"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("sha1", F.sha1("payload"))
-    keyed = rows.filter(F.length("payload") >= min_bytes).select("page_id", "sha1")
+    rows = rows.withColumn("place", F.coalesce("page_id", F.lit(LAST_ID)))
+    keyed = rows.filter(F.length("payload") >= min_bytes).select("place", "sha1")
     shared = scratch.store(
-        keyed.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        keyed.groupBy("sha1").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
-    later = scratch.store(
-        keyed.join(shared, "sha1").select("page_id", "sha1", "first").distinct()
+    later = scratch.store(keyed.join(shared, "sha1").select("place", "sha1", "first").distinct())
+    # Rows that agree in id and payload meet in one task, however the join is done.
+    joined = rows.repartition("place", "sha1").join(later, ["place", "sha1"], "left")
+    joined = joined.select(
+        "page_id", "url", "payload", "sha1", F.nullif("first", F.lit(LAST_ID)).alias("first"), F.col("first").isNotNull().alias("shared")
     )
-    # One side has each pair once and both come straight from the exchange on it.
-    left, right = rows.alias("r"), later.alias("l")
-    joined = left.join(
-        right, F.col("r.page_id").eqNullSafe(F.col("l.page_id")) & (F.col("r.sha1") == F.col("l.sha1")), "left"
-    ).select("r.page_id", "r.url", "r.payload", "r.sha1", "l.first", F.col("l.sha1").isNotNull().alias("shared"))
     joined = joined.sortWithinPartitions("page_id", "sha1", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

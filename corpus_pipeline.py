@@ -28,7 +28,7 @@ from cashtide.llm.decontaminate import find_contamination
 from cashtide.llm.near_dedup import near_duplicates
 from cashtide.llm.personal_data import find_personal_data, redacted
 from cashtide.llm.piece_segmentation import encode_pieces
-from cashtide.llm.quality_rules import fit_rules, judge_quality
+from cashtide.llm.quality_rules import fit_rules, judge_quality, text_statistics
 from cashtide.session import configure
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -47,10 +47,15 @@ def _as_row(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that neither the base rules nor the learned decision list rejects."""
+    """Texts that neither the base rules nor the learned decision list rejects.
+
+    The rules are learned from stored statistics; the verdict is then computed beside each
+    row, so no text is shuffled.
+    """
     spark = configure(spark)
-    rules = fit_rules(docs, _table(spark, sf_dir, "labels"))
-    judged = judge_quality(_as_row(docs), rules, carry=["_row"])
+    stats = Scratch(spark, "pipeline").store(text_statistics(docs))
+    rules = fit_rules(stats, _table(spark, sf_dir, "labels"))
+    judged = judge_quality(text_statistics(_as_row(docs), carry=["_row"]), rules)
     return judged.filter("kept").select("_row.*")
 
 
