@@ -20,13 +20,19 @@ LAST_NAMES = [
 ]
 COMPANY_TRADES = ["Energie", "Solar", "Technik", "Bau", "Handel"]
 COMPANY_FORMS = ["GmbH", "GmbH & Co. KG", "e.K.", "AG", "UG (haftungsbeschränkt)"]
-CITIES = [
-    "Köln", "Stuttgart", "Hannover", "Dresden", "Dortmund", "Freiburg",
-    "Nürnberg", "Hamburg", "Leipzig", "Bremen", "Essen", "Bonn",
-]
-POSTAL_CODES = [
-    "50931", "70178", "30177", "01099", "44139", "79104",
-    "90429", "20259", "04277", "28195", "45127", "53111",
+PLACES = [
+    ("Köln", "50931"),
+    ("Stuttgart", "70178"),
+    ("Hannover", "30177"),
+    ("Dresden", "01099"),
+    ("Dortmund", "44139"),
+    ("Freiburg", "79104"),
+    ("Nürnberg", "90429"),
+    ("Hamburg", "20259"),
+    ("Leipzig", "04277"),
+    ("Bremen", "28195"),
+    ("Essen", "45127"),
+    ("Bonn", "53111"),
 ]
 STREETS = [
     "Ahornweg", "Birkenallee", "Comeniusstraße", "Domplatz", "Erlenkamp",
@@ -35,6 +41,9 @@ STREETS = [
 COMPANY_PATTERN = r"(?U)\b(GmbH|AG|KG|e\.K\.|UG|Inc|Ltd|SE)\b"
 HOUSE_NUMBERS = 180
 
+CITIES = [city for city, _ in PLACES]
+POSTAL_CODES = [code for _, code in PLACES]
+
 
 # What is drawn from one digest: (pool, divisor) of each part.
 COMPANY_PARTS = [(LAST_NAMES, 1), (COMPANY_TRADES, 7), (COMPANY_FORMS, 11)]

@@ -50,38 +50,19 @@ REVENUE, CUSTOMER_PAYMENT, EXPENSE, SUPPLIER_PAYMENT, SKIPPED = (
 )
 
 
-# The party behind each ten thousand of contra accounts, and what a posting is by
-# its account (the bank account, or else the first digit) and its party.
-PARTY_BY_TEN_THOUSAND = [
-    "DEB" if DEBTORS[0] <= n <= DEBTORS[1] else "KRED" if CREDITORS[0] <= n <= CREDITORS[1] else "GL"
-    for n in range(0, CREDITORS[1], 10000)
-]
-POSTING_CLASSES = {
-    REVENUE_PREFIX + "DEB": REVENUE,
-    BANK_ACCOUNT + "DEB": CUSTOMER_PAYMENT,
-    MATERIAL_PREFIX + "KRED": EXPENSE,
-    OVERHEAD_PREFIX + "KRED": EXPENSE,
-    BANK_ACCOUNT + "KRED": SUPPLIER_PAYMENT,
-}
-
-
 def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])
 
 
 def account_class(contra: Column) -> Column:
-    """DEB for a customer account, KRED for a supplier account, else GL.
-
-    A lookup reads the account once; a chain of ranges would repeat its parsing in
-    every filter on the class.
-    """
-    parties = F.array(*[F.lit(p) for p in PARTY_BY_TEN_THOUSAND])
-    ten_thousand = F.floor(contra.try_cast("int") / 10000).cast("int")
-    return F.coalesce(F.get(parties, ten_thousand), F.lit("GL"))
+    """DEB for a customer account, KRED for a supplier account, else GL; ``contra`` is the
+    account as a number, null if it is none."""
+    return F.when(contra.between(*DEBTORS), "DEB").when(contra.between(*CREDITORS), "KRED").otherwise("GL")
 
 
 def ledger_account_class(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("account_class", account_class(trimmed(F.col("gegenkonto"))))
+    number = trimmed(F.col("gegenkonto")).try_cast("int")
+    return raw.withColumn("_contra", number).withColumn("account_class", account_class(F.col("_contra"))).drop("_contra")
 
 
 def ledger_date(raw: DataFrame, year: int) -> DataFrame:
@@ -94,22 +75,29 @@ def ledger_parse(raw: DataFrame, year: int) -> DataFrame:
     text = {"konto": "konto", "geg": "gegenkonto", "sh": "soll_haben", "doc": "belegfeld1", "text": "buchungstext", "name": "name"}
     amount = german_decimal(F.col("umsatz"))
     vat = trimmed(F.col("vat")) if "vat" in raw.columns else F.lit("")
-    return raw.select(
+    return raw.withColumn("_contra", trimmed(F.col("gegenkonto")).try_cast("int")).select(
         "line",
         *[trimmed(F.col(source)).alias(name) for name, source in text.items()],
         vat.alias("vat"),
         amount.alias("amount"),
         ddmm_date(F.col("belegdatum"), year).alias("date"),
-        account_class(trimmed(F.col("gegenkonto"))).alias("account_class"),
+        account_class(F.col("_contra")).alias("account_class"),
         amount.isNull().alias("quarantined"),
     )
 
 
 def ledger_classify(parsed: DataFrame) -> DataFrame:
-    """What each posting is; the accounts of the classes do not overlap."""
-    account = F.when(F.col("konto") == BANK_ACCOUNT, BANK_ACCOUNT).otherwise(F.substring("konto", 1, 1))
-    known = F.try_element_at(literal_map(POSTING_CLASSES), F.concat(account, F.col("account_class")))
-    return parsed.withColumn("posting_class", F.coalesce(known, F.lit(SKIPPED)))
+    """What each posting is, by its account and the party of the contra account."""
+    konto, party = F.col("konto"), F.col("account_class")
+    bought = konto.startswith(MATERIAL_PREFIX) | konto.startswith(OVERHEAD_PREFIX)
+    posting = (
+        F.when(konto.startswith(REVENUE_PREFIX) & (party == "DEB"), REVENUE)
+        .when((konto == BANK_ACCOUNT) & (party == "DEB"), CUSTOMER_PAYMENT)
+        .when(bought & (party == "KRED"), EXPENSE)
+        .when((konto == BANK_ACCOUNT) & (party == "KRED"), SUPPLIER_PAYMENT)
+        .otherwise(SKIPPED)
+    )
+    return parsed.withColumn("posting_class", posting)
 
 
 def of_class(classified: DataFrame, name: str) -> DataFrame:

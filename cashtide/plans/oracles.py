@@ -94,11 +94,12 @@ SELECT c.*, n.schedule_id FROM {{coded{s}}} c
 LEFT JOIN {{schedule{s}}} n ON n.project_id = c.project_id AND n.milestone_code = c.milestone_code
       AND n.milestone_code IN (SELECT milestone_code FROM {{ref_milestone_type}} WHERE is_milestone)""",
         f"advanced{s}": f"""
-SELECT schedule_id, project_id, milestone_code, due_offset_days, expected_amount,
-       CASE WHEN EXISTS (SELECT 1 FROM {{linked{s}}} l WHERE l.schedule_id = n.schedule_id AND l.status = 'Paid') THEN 'Paid'
-            WHEN status = 'Pending' AND EXISTS (SELECT 1 FROM {{linked{s}}} l WHERE l.schedule_id = n.schedule_id)
-            THEN 'Invoiced' ELSE status END AS status, created_by
-FROM {{schedule{s}}} n""",
+SELECT n.schedule_id, n.project_id, n.milestone_code, n.due_offset_days, n.expected_amount,
+       CASE WHEN l.any_paid THEN 'Paid' WHEN n.status = 'Pending' AND l.schedule_id IS NOT NULL THEN 'Invoiced'
+            ELSE n.status END AS status, n.created_by
+FROM {{schedule{s}}} n LEFT JOIN (
+  SELECT schedule_id, bool_or(status = 'Paid') AS any_paid FROM {{linked{s}}} WHERE schedule_id IS NOT NULL GROUP BY schedule_id
+) l ON l.schedule_id = n.schedule_id""",
         f"flow_in{s}": f"""
 SELECT n.project_id, p.start_date + n.due_offset_days AS forecast_date, n.expected_amount AS expected_cash_in,
        CAST(0 AS DECIMAL(12,2)) AS expected_cash_out, n.expected_amount AS net_cashflow,

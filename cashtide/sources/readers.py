@@ -27,16 +27,41 @@ LEDGER_COLUMNS = {
 }
 
 
-def read_invoice_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+# A quote inside a quoted field is doubled; a backslash is a letter like any other.
+DIALECT = {"quote": '"', "escape": '"'}
+
+
+def _file_headers(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[tuple[str, list[str]]]:
+    """The header fields of every file of a path, one row per file."""
+    first = spark.read.option("wholetext", True) if multi_line else spark.read
+    lines = first.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    if multi_line:
+        lines = lines.withColumn("value", F.substring_index(F.regexp_replace("value", "\r\n?", "\n"), "\n", 1))
+    else:
+        start = F.col("_metadata.file_block_start")
+        lines = first.text(path).filter(start == 0).select(F.col("_metadata.file_path").alias("path"), "value")
+        lines = lines.withColumn("_n", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "_n").alias("value"))
+    cells = ", ".join(f"c{i} string" for i in range(64))
+    fields = F.from_csv(F.col("value"), F.lit(cells), {"sep": sep, **DIALECT})
+    return [
+        (r.path, [c for c in r.h if c is not None])
+        for r in lines.select("path", fields.alias("h")).collect()
+    ]
+
+
+def read_invoice_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """The six columns of a batch as text, with ``row_number``; the header is row 1.
 
-    A header other than the six names in their order is an error.
+    A header other than the six names in their order is an error, in any file of a folder.
+    ``multi_line`` allows line breaks inside quoted fields; each file is one task then.
     """
-    header = spark.read.csv(path, header=True, sep=sep).columns
-    if [h.lstrip("\ufeff").strip() for h in header] != RAW_FIELDS:
-        raise ValueError(f"expected the header {','.join(RAW_FIELDS)}, found {','.join(header)}")
+    for file, header in _file_headers(spark, path, sep, multi_line):
+        if [h.lstrip("\ufeff").strip() for h in header] != RAW_FIELDS:
+            raise ValueError(f"expected the header {','.join(RAW_FIELDS)}, found {','.join(header)} in {file}")
     schema = ", ".join(f"{c} string" for c in RAW_FIELDS)
-    rows = spark.read.csv(path, schema=schema, header=True, sep=sep, enforceSchema=True)
+    rows = spark.read.options(**DIALECT).csv(
+        path, schema=schema, header=True, sep=sep, enforceSchema=True, multiLine=multi_line
+    )
     return number_lines(rows, "row_number", 2)
 
 
@@ -66,16 +91,25 @@ def read_invoice_json(payloads: DataFrame, column: str = "payload") -> DataFrame
     return elements.select(*others, (F.col("pos") + 2).alias("row_number"), *fields)
 
 
-def read_ledger_csv(spark: SparkSession, path: str, sep: str = ",", skip_lines: int = 0) -> DataFrame:
+def read_ledger_csv(
+    spark: SparkSession, path: str, sep: str = ",", skip_lines: int = 0, multi_line: bool = False
+) -> DataFrame:
     """The nine ledger columns as text under short names, with ``line``.
 
     Columns are found by their header; those the file lacks are null.  Postings are
     numbered from 2, the header being line 1.  ``skip_lines`` ignores that many
     lines before the header, for exports that start with a description line.
+    ``multi_line`` allows line breaks inside quoted fields; each file is one task then.
+    Files of a folder must have one header.
     """
     if skip_lines:
+        if multi_line:
+            raise ValueError("lines can't be skipped in files whose fields have line breaks")
         return _ledger_columns(_after_preamble(spark, path, sep, skip_lines), "line")
-    rows = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8")
+    headers = _file_headers(spark, path, sep, multi_line)
+    if len({tuple(h) for _, h in headers}) > 1:
+        raise ValueError(f"the files of {path} have different headers")
+    rows = spark.read.options(**DIALECT).csv(path, header=True, sep=sep, encoding="UTF-8", multiLine=multi_line)
     rows = rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
     return number_lines(_ledger_columns(rows), "line", 2).select("line", *LEDGER_COLUMNS)
 
@@ -96,7 +130,7 @@ def _after_preamble(spark: SparkSession, path: str, sep: str, skip_lines: int) -
     text = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     numbered = number_lines(text, "_text_line", 1)
     header = numbered.filter(F.col("_text_line") == skip_lines + 1).select("value").first()[0]
-    options = {"sep": sep}
+    options = {"sep": sep, **DIALECT}
     names_schema = spark.range(1).select(F.schema_of_csv(F.lit(header), options).alias("s")).first()[0]
     width = len(spark.createDataFrame([], names_schema).columns)
     cells = ", ".join(f"_c{i} string" for i in range(width))

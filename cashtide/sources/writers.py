@@ -16,11 +16,11 @@ VERSIONS = "_versions"
 
 
 def write_csv_outputs(outputs: Mapping[str, DataFrame], directory: str) -> None:
-    """Each output as a CSV folder with header; missing values are empty fields."""
+    """Each output as a CSV folder with header; missing values are empty fields, and a quote
+    inside a field is doubled."""
+    options = {"header": True, "emptyValue": "", "nullValue": "", "quote": '"', "escape": '"'}
     for name, df in outputs.items():
-        df.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(
-            f"{directory.rstrip('/')}/{name}"
-        )
+        df.write.options(**options).csv(f"{directory.rstrip('/')}/{name}")
 
 
 def write_text_lines(lines: DataFrame, path: str, column: str = "text") -> None:
@@ -39,6 +39,7 @@ def write_snapshot(
     version: int,
     run_ts: dt.datetime,
     partition_by: Mapping[str, Sequence[str]] | None = None,
+    source: str | None = None,
 ) -> None:
     """Write changed tables as a new version and only then record it.
 
@@ -46,10 +47,11 @@ def write_snapshot(
     is complete.  Every attempt writes to a path of its own, so a failed one can be
     repeated; a version that is already recorded is an error.  ``partition_by``
     names partition columns per table, such as the date key of a long history.
+    ``source`` names the input a version was made from.
     """
     root = directory.rstrip("/")
     spark = next(iter(tables.values())).sparkSession
-    if version in recorded_versions(spark, root):
+    if is_recorded(spark, root, version):
         raise ValueError(f"version {version} is already recorded in {root}")
     attempt = f"{root}/v{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
@@ -61,11 +63,11 @@ def write_snapshot(
         F.lit(version).cast("bigint").alias("version"),
         timestamp_literal(run_ts).alias("written_at"),
         F.inline(F.array(*entries)),
-    )
+    ).withColumn("source", F.lit(source).cast("string"))
     append_log(record, f"{root}/{VERSIONS}")
 
 
-RECORD = "version bigint, written_at timestamp, table_name string, path string"
+RECORD = "version bigint, written_at timestamp, table_name string, path string, source string"
 
 
 def _records(spark: SparkSession, directory: str) -> DataFrame | None:
@@ -78,9 +80,33 @@ def _records(spark: SparkSession, directory: str) -> DataFrame | None:
         raise
 
 
-def recorded_versions(spark: SparkSession, directory: str) -> set[int]:
+def is_recorded(spark: SparkSession, directory: str, version: int) -> bool:
     records = _records(spark, directory)
-    return set() if records is None else {r.version for r in records.select("version").distinct().collect()}
+    return records is not None and not records.filter(F.col("version") == version).isEmpty()
+
+
+def is_imported(spark: SparkSession, directory: str, source: str) -> bool:
+    """Whether a version was made from this input."""
+    records = _records(spark, directory)
+    return records is not None and not records.filter(F.col("source") == source).isEmpty()
+
+
+def next_version(spark: SparkSession, directory: str) -> int:
+    """One more than the last recorded version, from 1."""
+    records = _records(spark, directory)
+    last = None if records is None else records.agg(F.max("version")).first()[0]
+    return 1 if last is None else last + 1
+
+
+def read_history(spark: SparkSession, directory: str, table: str) -> DataFrame | None:
+    """A table in all recorded versions that have it, with ``version``."""
+    records = _records(spark, directory)
+    rows = [] if records is None else records.filter(F.col("table_name") == table).select("version", "path").collect()
+    parts = [spark.read.parquet(r.path).withColumn("version", F.lit(r.version)) for r in sorted(rows)]
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def read_snapshot(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
