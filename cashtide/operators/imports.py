@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.functions.numbers import MONEY, without_spaces
-from cashtide.operators.mutate import timestamp_literal, upsert
+from cashtide.operators.mutate import one_row_per_key, timestamp_literal, upsert
 from cashtide.operators.pipeline import rule_pipeline
 from cashtide.operators.rules import HORIZON_DAYS
 from cashtide.operators.skew import join_stored
@@ -109,13 +109,14 @@ def import_promote(
         F.col("raw_status").alias("status"),
         F.lit(CREATED_BY).alias("created_by"),
     )
+    # The batch meets the table three times; it is grouped by number and stored once.
+    incoming = materialise(one_row_per_key(incoming, ["invoice_number"], "invoice_id" if on_duplicate == "last" else None))
     return upsert(
         invoice,
         incoming,
         ["invoice_number"],
         ["project_id", "invoice_date", "due_date", "amount", "status"],
-        on_duplicate=on_duplicate,
-        order="invoice_id",
+        unique=True,
         small_batch=True,
         run_ts=run_ts,
     )

@@ -35,6 +35,8 @@ def rule_pipeline(
     scheduled = rule_payment_schedule(
         T["project"], T["ref_milestone_type"], T.get("payment_schedule"), run_ts=run_ts
     )
+    if "payment_schedule" in pin:
+        scheduled = materialise(scheduled)  # read for the slots of invoices and to advance it
     T = apply_milestone_rules({**T, "payment_schedule": scheduled}, run_ts=run_ts)
     if "invoice" in pin:
         T["invoice"] = materialise(T["invoice"])

@@ -31,7 +31,7 @@ SUPPLIER_FLOW = "supplier_order"
 OVERHEAD_FLOW = "operational_overhead"
 
 # A schedule id is the project id followed by 16 bits taken from the milestone
-# code, so two projects never share one.
+# code, so two projects never share one.  Codes that agree in those bits are refused.
 SLOT_BITS = 16
 
 SCHEDULE_COLUMNS = [
@@ -54,6 +54,12 @@ FORECAST_COLUMNS = [
 ]
 
 
+def unshared(key: Column, message: Column) -> Column:
+    """A short key of the rows of a small reference table; an error if two rows share it."""
+    times = F.count(F.lit(1)).over(Window.partitionBy(key))
+    return F.when(times > 1, F.raise_error(message).cast("bigint")).otherwise(key)
+
+
 def milestone_slot(milestone_code: Column) -> Column:
     return short_key(milestone_code, SLOT_BITS // 4)
 
@@ -80,7 +86,7 @@ def rule_payment_schedule(
         "percentage",
         "part_of_split",
         F.col("default_due_offset_days").alias("due_offset_days"),
-        milestone_slot(F.col("milestone_code")).alias("slot"),
+        unshared(milestone_slot(F.col("milestone_code")), F.lit("milestone codes share a slot")).alias("slot"),
     )
     due = (
         project.select("project_id", "total_value", (F.col("total_value") >= threshold).alias("part_of_split"))
@@ -241,15 +247,16 @@ def rule_advance_schedule(
 def _within(dates: DataFrame, column: str, offsets: DataFrame, offset: str, as_of: dt.date, horizon: int) -> DataFrame:
     """Keep base dates that some offset can carry into the window.
 
-    The window is on date plus offset, which spans two tables and cannot reach a
-    scan; these two bounds on the date alone can.
+    The window is on date plus offset, which spans two tables and cannot reach a scan.
+    The least and the largest offset are read first, so these two bounds on the date alone
+    are literals and do reach it.
     """
-    start, end = F.lit(as_of), F.lit(as_of + dt.timedelta(days=horizon))
-    longest = offsets.select(F.max(offset)).scalar()
-    shortest = offsets.select(F.min(offset)).scalar()
-    return dates.filter(
-        (F.col(column) >= F.date_sub(start, longest)) & (F.col(column) <= F.date_sub(end, shortest))
-    )
+    found = offsets.agg(F.min(offset).alias("shortest"), F.max(offset).alias("longest")).first()
+    if found.shortest is None:
+        return dates.filter(F.lit(False))
+    first = as_of - dt.timedelta(days=found.longest)
+    last = as_of + dt.timedelta(days=horizon - found.shortest)
+    return dates.filter(F.col(column).between(F.lit(first), F.lit(last)))
 
 
 def _flow(df: DataFrame, project: Column, cash_in: Column, cash_out: Column, source: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cashtide.functions.hashing import short_key
 from cashtide.functions.numbers import MONEY, date_key
 from cashtide.operators.mutate import replace_from_date, upsert
-from cashtide.operators.rules import HORIZON_DAYS, MILESTONE_FLOW, SUPPLIER_FLOW
+from cashtide.operators.rules import HORIZON_DAYS, MILESTONE_FLOW, SUPPLIER_FLOW, unshared
 
 Tables = Mapping[str, DataFrame]
 
@@ -96,6 +96,7 @@ def star_dim_cost_type(
     fresh = rows(direct_cost_type, "type_code", DIRECT_CATEGORY, False).unionByName(
         rows(overhead_category, "category_code", OVERHEAD_CATEGORY, True)
     )
+    fresh = fresh.withColumn("cost_type_key", unshared(F.col("cost_type_key"), F.lit("cost types share a key")))
     if dim is None:
         return fresh
     return upsert(dim, fresh, ["cost_category", "cost_subcategory"], insert_only=True, unique=True)

@@ -196,15 +196,16 @@ def _sum_by_project(df: DataFrame, amount: str, name: str) -> DataFrame:
     return df.groupBy("project_id").agg(F.sum(amount).alias(name))
 
 
-def billing_by_project(T: Tables) -> tuple[DataFrame, DataFrame]:
-    """Invoiced and received totals per project; payments are summed per invoice
-    before they meet it."""
-    invoiced = _sum_by_project(T["invoice"], "amount", "invoiced_to_date")
-    paid = T["payment"].groupBy("invoice_id").agg(F.sum("amount").alias("_paid"))
-    received = _sum_by_project(
-        paid.join(T["invoice"].select("invoice_id", "project_id"), "invoice_id"), "_paid", "received_to_date"
+def billing_by_project(invoice: DataFrame, payment: DataFrame) -> DataFrame:
+    """Invoiced and received totals per project, in one grouping: payments are summed per
+    invoice and join its row."""
+    paid = payment.groupBy("invoice_id").agg(F.sum("amount").alias("_paid"))
+    return (
+        invoice.select("invoice_id", "project_id", "amount")
+        .join(paid, "invoice_id", "left")
+        .groupBy("project_id")
+        .agg(F.sum("amount").alias("invoiced_to_date"), F.sum("_paid").alias("received_to_date"))
     )
-    return invoiced, received
 
 
 def view_project_profitability(T: Tables) -> DataFrame:
@@ -215,9 +216,9 @@ def view_project_profitability(T: Tables) -> DataFrame:
         "direct_cost",
     )
     supplied = _sum_by_project(T["purchase_order"], "total_amount", "supplier_cost")
-    invoiced, received = billing_by_project(T)
+    billing = billing_by_project(T["invoice"], T["payment"])
     joined = T["project"].select("project_id", "customer_id", "project_name", "status", "total_value")
-    for totals in (direct, supplied, invoiced, received):
+    for totals in (direct, supplied, billing):
         joined = joined.join(totals, "project_id", "left")
     joined = joined.join(T["customer"].select("customer_id", "city"), "customer_id")
 
@@ -343,11 +344,12 @@ def dash_cashflow_chart(T: Tables, as_of: dt.date) -> DataFrame:
 def dash_active_projects(T: Tables) -> DataFrame:
     """Running projects with billing totals and milestone progress.
 
-    Billing comes from its two totals directly; the other columns of the
-    profitability view are not computed.
+    Billing comes from its totals directly; the other columns of the profitability view
+    are not computed, and only invoices of running projects are summed.
     """
     order = T["ref_project_status"].filter("NOT is_terminal").select(F.col("status_code").alias("status"), "sort_order")
-    invoiced, received = billing_by_project(T)
+    running = T["project"].join(order.select("status"), "status", "left_semi").select("project_id")
+    billing = billing_by_project(T["invoice"].join(running, "project_id", "left_semi"), T["payment"])
     # The profitability view only knows projects of a known customer.
     known = T["customer"].select("customer_id", F.lit(True).alias("_known"))
     progress = (
@@ -365,8 +367,7 @@ def dash_active_projects(T: Tables) -> DataFrame:
     return (
         T["project"]
         .join(order, "status")
-        .join(invoiced, "project_id", "left")
-        .join(received, "project_id", "left")
+        .join(billing, "project_id", "left")
         .join(progress, "project_id", "left")
         .join(known, "customer_id", "left")
         .orderBy("sort_order", "start_date", "project_id")

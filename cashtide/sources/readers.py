@@ -33,14 +33,20 @@ DIALECT = {"quote": '"', "escape": '"'}
 
 def _file_headers(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[tuple[str, list[str]]]:
     """The header fields of every file of a path, one row per file."""
-    first = spark.read.option("wholetext", True) if multi_line else spark.read
-    lines = first.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = spark.read.text(path, wholetext=multi_line)
     if multi_line:
-        lines = lines.withColumn("value", F.substring_index(F.regexp_replace("value", "\r\n?", "\n"), "\n", 1))
+        lines = lines.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.substring_index(F.regexp_replace("value", "\r\n?", "\n"), "\n", 1).alias("value"),
+        )
     else:
-        start = F.col("_metadata.file_block_start")
-        lines = first.text(path).filter(start == 0).select(F.col("_metadata.file_path").alias("path"), "value")
-        lines = lines.withColumn("_n", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "_n").alias("value"))
+        # The first line is in the first block of a file, and in front of its other lines.
+        lines = (
+            lines.filter(F.col("_metadata.file_block_start") == 0)
+            .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("_n"))
+            .groupBy("path")
+            .agg(F.min_by("value", "_n").alias("value"))
+        )
     cells = ", ".join(f"c{i} string" for i in range(64))
     fields = F.from_csv(F.col("value"), F.lit(cells), {"sep": sep, **DIALECT})
     return [

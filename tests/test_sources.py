@@ -200,3 +200,41 @@ def test_model_size():
     assert sum(len(t.references) for t in TABLES.values()) == 29
     assert sum(len(t.checks) for t in TABLES.values()) == 22
     assert sum(len(t.functional_dependencies) for t in TABLES.values()) == 45
+
+
+TRICKY = ['Dach "Sued" neu', 'ends in \\', 'a, "b" c', '""', "plain", 'tab\there']
+
+
+def test_quoted_fields_read_as_a_standard_reader_does(spark, tmp_path):
+    rows = [["4400", "10001", "H", "1,00", "0101", f"R-{i}", text, "19", text] for i, text in enumerate(TRICKY)]
+    path = ledger_file(tmp_path / "l.csv", rows)
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        want = [(r[5], r[6].strip(), r[8].strip()) for r in list(csv.reader(f))[1:]]
+    found = readers.read_ledger_csv(spark, path).select("belegfeld1", "buchungstext", "name").collect()
+    assert [(a, b.strip(), c.strip()) for a, b, c in found] == want
+
+
+def test_line_breaks_inside_fields_need_the_option(spark, tmp_path):
+    rows = [["4400", "10001", "H", "1,00", "0101", "R-1", "two\nlines", "19", "x"], ROWS[0]]
+    path = ledger_file(tmp_path / "l.csv", rows)
+    found = readers.read_ledger_csv(spark, path, multi_line=True).orderBy("line").collect()
+    assert [(r.line, r.buchungstext) for r in found] == [(2, "two\nlines"), (3, "Sale")]
+
+
+def test_every_file_of_a_folder_has_its_header_checked(spark, tmp_path):
+    good = ",".join(readers.RAW_FIELDS)
+    other = ",".join(readers.RAW_FIELDS[::-1])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(good + "\nA,1,2026-01-01,2026-01-02,1.00,Paid\n")
+    (tmp_path / "in" / "b.csv").write_text(other + "\nPaid,1.00,2026-01-02,2026-01-01,1,B\n")
+    with pytest.raises(ValueError, match="b.csv"):
+        readers.read_invoice_csv(spark, str(tmp_path / "in"))
+
+
+def test_written_quotes_are_doubled(spark, tmp_path):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY)], "n int, text string")
+    writers.write_csv_outputs({"out": frame.orderBy("n").coalesce(1)}, str(tmp_path))
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    with open(part, newline="") as f:
+        back = list(csv.reader(f))
+    assert back[0] == ["n", "text"] and [r[1] for r in back[1:]] == TRICKY
