@@ -65,14 +65,23 @@ def audit_checks(df: DataFrame, predicates: Mapping[str, str]) -> DataFrame:
 def audit_functional_dependency(df: DataFrame, determinant: Sequence[str], dependents: Sequence[str]) -> DataFrame:
     """Determinant values that come with more than one combination of dependents.
 
-    Repeated combinations collapse before the determinant is shuffled.
+    The least and the greatest combination of a value combine map-side; only values where
+    they differ, none in sound data, have their combinations counted.
     """
+    combination = F.struct(*dependents)
+    suspects = (
+        df.groupBy(*determinant)
+        .agg(F.min(combination).alias("_a"), F.max(combination).alias("_z"))
+        .filter(~F.col("_a").eqNullSafe(F.col("_z")))
+        .select(*[F.col(c).alias(f"_{c}") for c in determinant])
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in determinant]
     return (
         df.select(*determinant, *dependents)
+        .join(suspects, same, "left_semi")
         .distinct()
         .groupBy(*determinant)
         .agg(F.count(F.lit(1)).alias("combinations"))
-        .filter("combinations > 1")
     )
 
 
@@ -100,9 +109,29 @@ def audit_tables(T: Mapping[str, DataFrame]) -> DataFrame:
             continue
         df = T[name]
         columns = set(df.columns)
-        for key in table.keys:
-            if columns.issuperset(key):
-                add(name, "key", ", ".join(key), audit_keys(df, key))
+        # A key and a dependency on the same columns share one grouping.
+        dependencies = {
+            tuple(determinant): [c for c in dependents if c in columns and c not in determinant]
+            for determinant, dependents in table.functional_dependencies
+            if columns.issuperset(determinant)
+        }
+        for key in dict.fromkeys([*map(tuple, table.keys), *dependencies]):
+            if not columns.issuperset(key):
+                continue
+            dependents = dependencies.get(key)
+            rest = F.struct(*dependents) if dependents else F.lit(None).cast("int")
+            grouped = df.groupBy(*key).agg(
+                F.count(F.lit(1)).alias("_n"), F.min(rest).alias("_a"), F.max(rest).alias("_z")
+            )
+            rules = []
+            if key in map(tuple, table.keys):
+                rules.append(("key", ", ".join(key), F.col("_n") > 1))
+            if dependents:
+                rules.append(("dependency", f"{', '.join(key)} -> rest", ~F.col("_a").eqNullSafe(F.col("_z"))))
+            counts = F.array(
+                *[F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rule"), F.count_if(w).alias("offenders")) for k, r, w in rules]
+            )
+            findings.append(grouped.agg(counts.alias("_f")).select(F.lit(name).alias("table_name"), F.inline("_f")))
         for reference in table.references:
             parent = T.get(reference.parent)
             if parent is not None and columns.issuperset(reference.columns):
@@ -120,15 +149,6 @@ def audit_tables(T: Mapping[str, DataFrame]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("offenders"))
             .select(F.lit(name).alias("table_name"), F.lit("check").alias("kind"), "rule", "offenders")
         )
-        for determinant, dependents in table.functional_dependencies:
-            present = [c for c in dependents if c in columns]
-            if columns.issuperset(determinant) and present:
-                add(
-                    name,
-                    "dependency",
-                    f"{', '.join(determinant)} -> rest",
-                    audit_functional_dependency(df, determinant, present),
-                )
     result = findings[0]
     for finding in findings[1:]:
         result = result.unionByName(finding)

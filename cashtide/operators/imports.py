@@ -28,9 +28,14 @@ DAY_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 AMOUNT_PATTERN = r"^[0-9]+(\.[0-9]{1,2})?\z"
 
 
+# Row numbers take the lower bits of a staging id, the run id those above.
+ROW_BITS = 40
+
+
 def import_stage(raw: DataFrame, run_id: int) -> DataFrame:
     """Land the six fields as trimmed text under a run id; nothing is cast here."""
     return raw.select(
+        (F.lit(run_id << ROW_BITS) + F.col("row_number")).cast("bigint").alias("stg_id"),
         F.lit(run_id).cast("bigint").alias("run_id"),
         F.col("row_number").cast("int").alias("row_number"),
         *[without_spaces(F.col(c)).alias(f"raw_{c}") for c in RAW_FIELDS],

@@ -750,7 +750,7 @@ WHERE NOT r.is_terminal GROUP BY 1, 2, 3, 4, 5, 6""",
     "dash_supplier_watch": "SELECT * EXCLUDE (credit_limit, payment_terms_days, expected_delivery_date) FROM {watch}",
     # import
     "import_stage": f"""
-SELECT run_id, row_number, {_text_list(RAW)}, false AS is_valid, CAST(NULL AS VARCHAR) AS rejection_reason,
+SELECT run_id * 1099511627776 + row_number AS stg_id, run_id, row_number, {_text_list(RAW)}, false AS is_valid, CAST(NULL AS VARCHAR) AS rejection_reason,
        CAST(NULL AS VARCHAR) AS promoted_at FROM {{staging}}""",
     "import_validate": "SELECT run_id, row_number, rejection_reason IS NULL AS is_valid, rejection_reason FROM {checked}",
     "import_promote": """
@@ -831,7 +831,7 @@ SELECT customer_id, country, {_erased(ERASED, IN_ERASED)},
        CASE WHEN {IN_ERASED} THEN '{RUN_TS}' ELSE strftime(pseudonymized_at, '%Y-%m-%d %H:%M:%S') END AS pseudonymized_at
 FROM {{customer_rec}}""",
     "erasure_log": f"""
-SELECT 'customer' AS subject_table, customer_id AS subject_id, '{RUN_TS}' AS requested_at, '{RUN_TS}' AS executed_at,
+SELECT customer_id AS erasure_id, 'customer' AS subject_table, customer_id AS subject_id, '{RUN_TS}' AS requested_at, '{RUN_TS}' AS executed_at,
        'tester' AS executed_by,
        'Art. 17 erasure honoured by pseudonymisation; financial records retained under Section 147 AO (7 years).' AS legal_basis_note,
        'first_name, last_name, company_name, email, phone, street_name, house_number, postal_code, city; dim_customer.customer_name, dim_customer.city, dim_customer.postal_code' AS columns_affected
