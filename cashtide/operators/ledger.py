@@ -10,6 +10,7 @@ from cashtide.functions.numbers import ddmm_date, document_number, german_decima
 from cashtide.functions.pseudonyms import COMPANY_FORMS, transliterated, with_address, with_shown_name
 from cashtide.operators.skew import join_stored
 from cashtide.operators.storno import INVOICE_FLAG, ledger_live_invoices, ledger_storno_match
+from cashtide.session import materialise
 
 # Account ranges, overhead accounts and terms.
 DEBTORS = (10000, 69999)
@@ -100,6 +101,12 @@ def ledger_classify(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("posting_class", posting)
 
 
+def ledger_stored(classified: DataFrame) -> DataFrame:
+    """Classified postings stored by class: the export is parsed once, and each output reads
+    the postings of its own class."""
+    return materialise(classified, "posting_class")
+
+
 def of_class(classified: DataFrame, name: str) -> DataFrame:
     return classified.filter(F.col("posting_class") == name)
 
@@ -404,7 +411,7 @@ def ledger_transform(
     raw: DataFrame, year: int, salt: str | None = None, keep_names: bool = False, docnum_pattern: str = r"(\d+)"
 ) -> dict[str, DataFrame]:
     """The whole transform: six output tables, and the report as figures and as text."""
-    classified = ledger_classify(ledger_parse(raw, year))
+    classified = ledger_stored(ledger_classify(ledger_parse(raw, year)))
     revenue, payments = of_class(classified, REVENUE), of_class(classified, CUSTOMER_PAYMENT)
     matches = ledger_storno_match(revenue, docnum_pattern)
     live = ledger_live_invoices(revenue, matches)

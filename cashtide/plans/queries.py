@@ -546,20 +546,24 @@ def ledger_unmatched_payments(d: Derived) -> DataFrame:
     return ledger.ledger_unmatched_payments(customer_payments(d), live_invoices(d))
 
 
+def report_parts(d: Derived) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings stored once, credit matches and live invoices."""
+    stored = ledger.ledger_stored(classified(d))
+    rows = ledger.of_class(stored, ledger.REVENUE)
+    matches = storno.ledger_storno_match(rows)
+    return stored, matches, storno.ledger_live_invoices(rows, matches)
+
+
 @query
 def ledger_report(d: Derived) -> DataFrame:
-    rows = revenue(d)
-    matches = storno.ledger_storno_match(rows)
-    return ledger.ledger_report(classified(d), matches, storno.ledger_live_invoices(rows, matches))
+    return ledger.ledger_report(*report_parts(d))
 
 
 @query
 def ledger_report_lines(d: Derived) -> DataFrame:
-    rows, payments = revenue(d), customer_payments(d)
-    matches = storno.ledger_storno_match(rows)
-    live = storno.ledger_live_invoices(rows, matches)
-    report = ledger.ledger_report(classified(d), matches, live)
-    lines = ledger.ledger_report_lines(report, matches, ledger.ledger_unmatched_payments(payments, live))
+    stored, matches, live = report_parts(d)
+    unmatched = ledger.ledger_unmatched_payments(ledger.of_class(stored, ledger.CUSTOMER_PAYMENT), live)
+    lines = ledger.ledger_report_lines(ledger.ledger_report(stored, matches, live), matches, unmatched)
     return lines.select("section", "text")
 
 

@@ -64,13 +64,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/cashtide/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Store a result once in the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives the planner the
     true size of the result, so that a small one is broadcast on its measured size
-    and a reader takes only the columns it needs.
+    and a reader takes only the columns it needs, and only the values of
+    ``partition_by`` it asks for.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
