@@ -108,11 +108,6 @@ def answer(questions: DataFrame, reply: Callable) -> DataFrame:
     return questions.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def per_chunk(chunked: DataFrame, work: Callable, schema: str, known: DataFrame | None = None) -> DataFrame:
-    """``work(texts, answers)`` gives a table for every chunk."""
-    return _per_chunk(chunked, work, schema, known)
-
-
 def _per_chunk(chunked: DataFrame, work: Callable, schema: str, known: DataFrame | None) -> DataFrame:
     empty = pa.table({n.split()[0]: pa.array([]) for n in schema.split(", ")})
 
