@@ -155,3 +155,25 @@ def test_pipeline_twice_is_pipeline_once(spark):
     for name in ("payment_schedule", "invoice", "cashflow_forecast", "fact_daily_cashflow", "dim_date", "dim_project", "dim_customer", "dim_cost_type"):
         columns = once[name].columns
         assert values(twice[name], *columns) == values(once[name], *columns), name
+
+
+def test_forecast_bounds_reach_the_scans(spark, tmp_path):
+    T = tables(spark, project=[project(1, 10000, 0), project(2, 10000, -400)], purchase_order=[order(1, 5, 0), order(2, 5, 90)])
+    T["payment_schedule"] = rules.rule_payment_schedule(T["project"], T["ref_milestone_type"])
+    for name in ("project", "purchase_order"):
+        T[name].write.parquet(str(tmp_path / name))
+        T[name] = spark.read.parquet(str(tmp_path / name))
+    flows = {"start_date": rules.forecast_milestones(T, DAY), "order_date": rules.forecast_suppliers(T, DAY)}
+    for column, flow in flows.items():
+        flow.collect()
+        plan = flow._jdf.queryExecution().executedPlan().toString()
+        pushed = next(line for line in plan.splitlines() if "PushedFilters" in line and f"({column}," in line)
+        assert f"GreaterThanOrEqual({column}," in pushed and f"LessThanOrEqual({column}," in pushed
+
+
+def test_milestone_codes_that_share_a_slot_are_refused(spark):
+    T = tables(spark, project=[project(1, 10000)])
+    types = T["ref_milestone_type"].filter("is_milestone")
+    again = types.unionByName(types.withColumn("milestone_code", F.col("milestone_code")))
+    with pytest.raises(Exception, match="share a slot"):
+        rules.rule_payment_schedule(T["project"], again).collect()
