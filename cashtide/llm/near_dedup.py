@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.llm.common import Scratch, Words, digest_of_runs, id_and_text, mix, pair
-from cashtide.llm.components import components
+from cashtide.llm.components import components, joined
 from cashtide.llm.exchange import Texts, answer, ask, chunks_of, lookup, merged_counts, shared_counts, unpack
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4  # a pair at 0.8 shares a band with probability 0.9998, one at 0.9 with 1 - 3e-8
 IDF_SPAN = 0.25  # the rarest shingle weighs this much more than one that all documents have
-BLOCK_BYTES = 8 << 20  # of weights that are compared with another block in one task
+BLOCK_BYTES, BLOCK_TEXTS = 8 << 20, 512  # that are compared with another block in one task, at most
 SLACK = 1e-6  # weights are stored as 32-bit numbers
 
 UNIT = "doc_id bigint, bands array<bigint>, keys binary, weights binary, total double, shared double"
@@ -291,7 +291,10 @@ def near_duplicates(
         # Buckets with the same texts need one comparison.
         .groupBy("same", "m")
         .agg(F.min("band").alias("band"), F.first("bytes").alias("bytes"))
-        .select("band", F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
+        .select(
+            "band",
+            F.ceil(F.greatest(F.col("bytes") / F.lit(BLOCK_BYTES), F.col("m") / F.lit(BLOCK_TEXTS))).cast("int").alias("blocks"),
+        )
     )
     grouped = labelled.filter("doc_id <> leader").join(open_bands, "band").withColumn(
         "block", F.pmod(F.xxhash64("doc_id"), F.greatest("blocks", F.lit(1))).cast("int")
@@ -307,7 +310,7 @@ def near_duplicates(
         .applyInArrow(_compare_blocks(threshold), "a bigint, b bigint")
     )
     if not found.isEmpty():
-        labels = components(links.unionAll(found), scratch)
+        labels = joined(labels, found, scratch)
 
     # Every row: the class of the text that stands for its own.
     classes = standing.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
