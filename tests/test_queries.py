@@ -4,10 +4,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_module
+from cashtide.plans.oracles import ORACLES
+from cashtide.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +17,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 def test_entry_has_rows(spark):
