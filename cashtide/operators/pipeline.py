@@ -27,8 +27,8 @@ def rule_pipeline(
 ) -> dict[str, DataFrame]:
     """Schedules, milestone rules, forecast and star schema, as new tables.
 
-    The tables named by ``pin`` are stored after the milestone rules.  The
-    forecast reads the schedule several times, so it is pinned unless told
+    The tables named by ``pin`` are stored after the milestone rules, the forecast
+    once it is made.  The forecast reads the schedule several times, so it is pinned unless told
     otherwise; callers that also read the invoices repeatedly add those.
     """
     T = dict(T)
@@ -44,4 +44,6 @@ def rule_pipeline(
     if "payment_schedule" in pin:
         T["payment_schedule"] = materialise(T["payment_schedule"])
     T["cashflow_forecast"] = rule_forecast(T, as_of, horizon, run_ts)
+    if "cashflow_forecast" in pin:
+        T["cashflow_forecast"] = materialise(T["cashflow_forecast"])
     return star_refresh(T, as_of, horizon)

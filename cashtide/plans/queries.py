@@ -637,8 +637,24 @@ def rebase_report(d: Derived) -> DataFrame:
 # --- audits ------------------------------------------------------------------
 
 
-def audited_tables(d: Derived) -> dict[str, DataFrame]:
-    return {**d.tables(), "product": d["product"], "project_product": d["project_product"]}
+# Tables that several references name.
+STAR = ("fact_daily_cashflow", "dim_date", "dim_project", "dim_customer", "dim_cost_type")
+
+
+def audited_tables(d: Derived, *stored: str) -> dict[str, DataFrame]:
+    """Every declared table: the given ones, those the chain writes as it leaves them, and the
+    logs of an import and of erasures.  Those named by ``stored`` are kept for several readers."""
+    before = {**with_past(d, d.tables()), "payment_schedule": d["schedule_before"]}
+    staged = materialise(validated(d))
+    T = {
+        **rule_pipeline(before, AS_OF, pin=("payment_schedule", "invoice", "cashflow_forecast")),
+        "product": d["product"],
+        "project_product": d["project_product"],
+        "etl_run": run_log(d, staged),
+        "stg_sevdesk_invoice": staged,
+        "data_erasure_log": privacy.erasure_log(verdicts(d), "tester", RUN_TS),
+    }
+    return {**T, **{name: materialise(T[name]) for name in stored}}
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -672,7 +688,7 @@ def audit_keys(d: Derived) -> DataFrame:
 
 @query
 def audit_foreign_keys(d: Derived) -> DataFrame:
-    T = audited_tables(d)
+    T = audited_tables(d, *STAR)
     found = []
     for name, df in T.items():
         for reference in TABLES[name].references:
@@ -695,10 +711,12 @@ def audit_checks(d: Derived) -> DataFrame:
     for name, df in audited_tables(d).items():
         table = TABLES[name]
         broken = audit.audit_checks(df, audit.table_predicates(table, df.columns))
+        # Forecast and fact rows have no id; all their values name them.
+        key = table.primary_key if set(table.primary_key) <= set(df.columns) else df.columns
         found.append(
             broken.select(
                 F.lit(name).alias("table_name"),
-                _key_text(table.primary_key).alias("key_value"),
+                _key_text(key).alias("key_value"),
                 F.explode("broken_checks").alias("broken_check"),
             )
         )
