@@ -12,7 +12,8 @@ piece_segmentation     encodes the texts in pieces, with the n best segmentation
 =====================  =========================================================
 
 Rows without an id pass all stages on their own; null texts are empty, and an empty text is
-rejected by the first stage.  Of repeated rows with one id, one passes the second stage.
+rejected by the first stage.  Of repeated rows with one id and text, one passes the second
+stage; different texts under one id are different documents.
 An empty table stays empty.  Further columns of ``docs`` are carried along unchanged,
 whatever their names; ``n_chars``, where there is one, follows the text.
 """
@@ -60,18 +61,42 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id."""
+    """One document of each class of near duplicates, the one with the least id.
+
+    If an id has several texts, each of them is a document of its own, known by a digest of
+    both; of its rows, one passes.
+    """
     spark = configure(spark)
     scratch = Scratch(spark, "pipeline")
-    found = scratch.store(near_duplicates(docs).select("doc_id", "kept"))
-    gone = scratch.store(found.filter("not kept").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = scratch.store(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("z"))
+    if ids.filter("a <> z").isEmpty():
+        unit = F.col("doc_id")
+        found = scratch.store(near_duplicates(docs).selectExpr("doc_id as _unit", "kept"))
+    else:
+        unit = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text))
+        found = scratch.store(_judged_by_unit(scratch, docs.select(unit.alias("_unit"), "doc_id", "text")))
+    gone = scratch.store(found.filter("not kept").select("_unit").distinct())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(gone, unit == gone["_unit"], "left_anti").select(*columns)
+    repeated = scratch.store(found.filter("kept and _unit is not null").groupBy("_unit").count().filter("count > 1").select("_unit"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    several = kept.join(repeated, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionByName(several.dropDuplicates(["doc_id"]))
+    once = kept.join(repeated, unit == repeated["_unit"], "left_anti").select(*columns)
+    several = _as_row(kept.join(repeated, unit == repeated["_unit"], "left_semi")).withColumn("text", text)
+    return once.unionByName(several.dropDuplicates(["doc_id", "text"]).select("_row.*"))
+
+
+def _judged_by_unit(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Per row its unit, and whether it has the least id of its class, and of several texts
+    of that id the one with the least digest."""
+    found = scratch.store(near_duplicates(docs, id_col="_unit").selectExpr("doc_id as _unit", "class_id", "class_size"))
+    several = scratch.store(found.filter("class_size > 1").select("_unit", "class_id").distinct())
+    named = several.join(docs.select("_unit", "doc_id").distinct(), "_unit")
+    first = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "_unit")).alias("first"))
+    gone = several.join(first.select("first._unit"), "_unit", "left_anti").withColumn("kept", F.lit(False))
+    judged = found.select("_unit").join(gone.select("_unit", "kept"), "_unit", "left")
+    return judged.select("_unit", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
