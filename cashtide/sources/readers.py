@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cashtide.functions.numbers import without_spaces
@@ -32,27 +32,45 @@ DIALECT = {"quote": '"', "escape": '"'}
 
 
 def _file_headers(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[tuple[str, list[str]]]:
-    """The header fields of every file of a path, one row per file."""
-    lines = spark.read.text(path, wholetext=multi_line)
-    if multi_line:
-        lines = lines.select(
-            F.col("_metadata.file_path").alias("path"),
-            F.substring_index(F.regexp_replace("value", "\r\n?", "\n"), "\n", 1).alias("value"),
-        )
-    else:
-        # The first line is in the first block of a file, and in front of its other lines.
-        lines = (
-            lines.filter(F.col("_metadata.file_block_start") == 0)
-            .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("_n"))
-            .groupBy("path")
-            .agg(F.min_by("value", "_n").alias("value"))
-        )
-    cells = ", ".join(f"c{i} string" for i in range(64))
-    fields = F.from_csv(F.col("value"), F.lit(cells), {"sep": sep, **DIALECT})
-    return [
-        (r.path, [c for c in r.h if c is not None])
-        for r in lines.select("path", fields.alias("h")).collect()
-    ]
+    """The header fields of every file of a path, one row per file, without blank ones at the end."""
+    # The first line is in the first block of a file, and in front of its other lines.
+    lines = (
+        spark.read.text(path)
+        .filter(F.col("_metadata.file_block_start") == 0)
+        .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("_n"))
+    )
+    first = {r.path: r.value for r in lines.groupBy("path").agg(F.min_by("value", "_n").alias("value")).collect()}
+    n = 1
+    while multi_line and (unfinished := [p for p, text in first.items() if text.count('"') % 2]):
+        # A quoted field goes on in the next line.
+        n *= 16
+        place = F.row_number().over(Window.partitionBy("path").orderBy("_n"))
+        more = lines.filter(F.col("path").isin(unfinished)).withColumn("_place", place).filter(F.col("_place") <= n)
+        found: dict[str, list[str]] = {}
+        for r in more.orderBy("path", "_place").collect():
+            found.setdefault(r.path, []).append(r.value)
+        for file, values in found.items():
+            ends = [i + 1 for i in range(len(values)) if "\n".join(values[: i + 1]).count('"') % 2 == 0]
+            if not ends and len(values) < n:
+                raise ValueError(f"a quoted field of the header does not end in {file}")
+            first[file] = "\n".join(values[: ends[0]] if ends else values)
+    parsed = {text: _fields(spark, text, sep) for text in set(first.values())}
+    return [(file, parsed[text]) for file, text in first.items()]
+
+
+def _fields(spark: SparkSession, header: str, sep: str) -> list[str]:
+    """The fields of a header, however many, without blank ones at the end."""
+    if not header.strip():
+        return []
+    options = {"sep": sep, **DIALECT}
+    row = spark.range(1)
+    width = len(spark.createDataFrame([], row.select(F.schema_of_csv(F.lit(header), options).alias("s")).first()[0]).columns)
+    cells = ", ".join(f"c{i} string" for i in range(width))
+    values = row.select(F.from_csv(F.lit(header), F.lit(cells), options).alias("h")).first()[0]
+    fields = [(c or "").lstrip("\ufeff").strip() for c in values]
+    while fields and not fields[-1]:
+        fields.pop()
+    return fields
 
 
 def read_invoice_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
@@ -62,7 +80,7 @@ def read_invoice_csv(spark: SparkSession, path: str, sep: str = ",", multi_line:
     ``multi_line`` allows line breaks inside quoted fields; each file is one task then.
     """
     for file, header in _file_headers(spark, path, sep, multi_line):
-        if [h.lstrip("\ufeff").strip() for h in header] != RAW_FIELDS:
+        if header != RAW_FIELDS:
             raise ValueError(f"expected the header {','.join(RAW_FIELDS)}, found {','.join(header)} in {file}")
     schema = ", ".join(f"{c} string" for c in RAW_FIELDS)
     rows = spark.read.options(**DIALECT).csv(
