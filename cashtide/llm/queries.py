@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from cashtide.llm.common import hex_digest
 from cashtide.llm.decontaminate import find_contamination
+from cashtide.llm.metric_join import embedding_duplicates
 from cashtide.llm.near_dedup import near_duplicates
+from cashtide.llm.periodic_runs import periodic_runs, strongest, with_planted_runs
 from cashtide.llm.personal_data import personal_data_digest
 from cashtide.llm.piece_segmentation import encode_pieces
 from cashtide.llm.quality_rules import quality_digest
@@ -86,6 +88,28 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_rows(table(spark, sf_dir, "documents"))
+
+
+def op12_rows(docs: DataFrame) -> DataFrame:
+    """The runs of texts of which one in ten repeats a part of itself, as digests."""
+    found = periodic_runs(with_planted_runs(docs)).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{c}") for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        hex_digest(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"),
+        hex_digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 #: Words as one operator reads them, in DuckDB: lower-case A-Z, digits and all beyond ASCII.
 _OP4_WORDS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
@@ -164,6 +188,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_web_archives": op8_web_archives,
     "op9_token_files": op9_token_files,
     "op10_personal_data": op10_personal_data,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_recompression": OP6_SQL, "op8_web_archives": OP8_SQL}
