@@ -7,7 +7,10 @@ kinds score above any sensible threshold by themselves; bank accounts need their
 and telephone numbers without a country code need a word that says what they are.
 
 The expressions are written so that they find the same spans as the plain greedy ones in
-time linear in the text: a search never starts inside a run that an earlier start covers.
+time linear in the text: a search never starts inside a run that an earlier start covers,
+and repeated groups never give back, so a match of any length needs no stack.  Arrays of
+matches are worked on in blocks of ``BLOCK``: sums and texts of a block start from those of
+the blocks before it, so a very long text full of matches takes time nearly linear in it.
 
 A null or empty text has no spans; repeated rows are judged each; a null id stays null; other
 columns are ignored, whatever their names.
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 #: Characters before and after a span that are searched for context words.
 NEAR = 40
 THRESHOLD = 0.5
+#: Elements of an array that are worked on together.
+BLOCK = 512
 
 
 def _digits(match: Column) -> Column:
@@ -73,7 +78,7 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 BASE = (
     Kind(
         "email",
-        r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+        r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         lambda m: F.lit(True),
         0.9,
         0.1,
@@ -128,29 +133,75 @@ KINDS = BASE + MORE
 SPAN = "struct<kind:string,start:int,end:int,score:double,order:int>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(array: Column) -> Column:
+    """An array in consecutive pieces of at most ``BLOCK`` elements."""
+    last = F.floor((F.size(array) - 1) / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(array, b * BLOCK + 1, BLOCK))
+    return F.when(F.size(array) > 0, cut).otherwise(F.slice(F.array(array), 1, 0))
+
+
+def _running(array: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], what: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """``what(x, r)`` of each element, ``r`` being ``join`` of the values of all before it.
+
+    Blocks are summed up first; then each starts from what those before it give, and only
+    grows a list of its own.
+    """
+
+    def scan(xs: Column, first: Column, own: Callable[[Column], Column], out: Callable[[Column, Column], Column]) -> Column:
+        none = F.slice(F.transform(xs, lambda x: out(x, first)), 1, 0)
+        add = lambda acc, x: F.struct(
+            join(acc["at"], own(x)).alias("at"), F.concat(acc["out"], F.array(out(x, acc["at"]))).alias("out")
+        )
+        return F.aggregate(xs, F.struct(first.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def whole(block: Column) -> Column:
+        return F.aggregate(block, F.lit(start), lambda a, x: join(a, value(x)))
+
+    summed = F.transform(_blocks(array), lambda b: F.struct(b.alias("xs"), whole(b).alias("sum")))
+    placed = scan(summed, F.lit(start), lambda b: b["sum"], lambda b, at: F.struct(b["xs"].alias("xs"), at.alias("at")))
+    return F.flatten(F.transform(placed, lambda b: scan(b["xs"], b["at"], value, what)))
+
+
 def _found(text: Column, kind: Kind) -> Column:
     """Start, end and text of every proposed span: the pieces between matches give the places."""
-    pattern = F.lit(kind.pattern)
-    pieces, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.arrays_zip(pieces.alias("piece"), matches.alias("match"))
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int,match:string>>) as out)")
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
-        # The last piece has no match after it.
-        return F.when(x["match"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
-        )
+    pieces, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    # The last piece has no match after it.
+    pairs = F.filter(F.arrays_zip(pieces.alias("piece"), matches.alias("match")), lambda x: x["match"].isNotNull())
+
+    def place(x: Column, at: Column) -> Column:
+        start = at + F.length(x["piece"])
+        return F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), x["match"].alias("match"))
 
-    found = F.aggregate(pairs, empty, add, lambda acc: acc["out"])
+    size = lambda x: F.length(x["piece"]) + F.length(x["match"])
+    found = _once(pairs, lambda xs: _running(xs, size, lambda a, b: a + b, place))
     if kind.needs is None:
         return found
     none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
     return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(none)
 
 
+def _cut(text: Column, first: Column, until: Column) -> Column:
+    return F.substring(text, first + 1, until - first)
+
+
+def _with_text(text: Column, spans: Column, margin: int, what: Callable[[Column, Column, Column], Column]) -> Column:
+    """``what(span, stretch, at)`` of each span of an ordered array: the stretch of text
+    around its block with a margin, and where that starts.  A text is cut from its start, so
+    cutting it once for each block and the stretch for each span keeps both short."""
+
+    def block(xs: Column) -> Column:
+        first = F.greatest(xs[0]["start"] - margin, F.lit(0))
+        stretch = _cut(text, first, F.element_at(xs, -1)["end"] + margin)
+        return _once(F.struct(first.alias("at"), stretch.alias("text")), lambda s: F.transform(xs, lambda x: what(x, s["text"], s["at"])))
+
+    return F.flatten(F.transform(_blocks(spans), block))
+
+
 def find_personal_data(
     docs: DataFrame,
     kinds: Sequence[Kind] = KINDS,
@@ -171,10 +222,9 @@ def find_personal_data(
     rows = rows.withColumns({f"_{i}": _found(text, kind) for i, kind in enumerate(kinds)})
 
     def scored(i: int, kind: Kind) -> Column:
-        def one(x: Column) -> Column:
-            first = F.greatest(x["start"] - NEAR, F.lit(0))
-            before = F.substring(text, first + 1, x["start"] - first)
-            after = F.substring(text, x["end"] + 1, F.lit(NEAR))
+        def one(x: Column, stretch: Column, at: Column) -> Column:
+            before = _cut(stretch, F.greatest(x["start"] - NEAR, F.lit(0)) - at, x["start"] - at)
+            after = F.substring(stretch, x["end"] - at + 1, F.lit(NEAR))
             near = F.concat(before, F.lit(" "), after).rlike(rf"(?i)\b(?:{kind.words})")
             score = F.lit(kind.score) + F.when(near, kind.raised).otherwise(0.0)
             return F.struct(
@@ -183,7 +233,7 @@ def find_personal_data(
             )
 
         good = F.filter(F.col(f"_{i}"), lambda x: kind.confirmed(x["match"]))
-        return F.filter(F.transform(good, one), lambda s: s["score"] >= threshold)
+        return F.filter(_once(good, lambda xs: _with_text(text, xs, NEAR, one)), lambda s: s["score"] >= threshold)
 
     spans = F.concat(*[scored(i, kind) for i, kind in enumerate(kinds)])
     return rows.select("doc_id", "text", *[F.col(f"`{c}`") for c in keep], spans.alias("spans"))
@@ -204,17 +254,18 @@ def redacted(text: Column, spans: Column) -> Column:
             spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), s["kind"].alias("kind"))
         )
     )
-    start = F.expr("struct(0 as at, '' as out)")
 
-    def add(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        new = F.struct((-s["until"]).alias("at"), F.concat(acc["out"], piece, mark).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], -s["until"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(longer)
+    def covered(s: Column, at: Column) -> Column:
+        """A span and the end of all before it; one that starts before that end has no mark."""
+        mark = F.when(s["start"] >= at, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        return F.struct(at.alias("start"), F.greatest(s["start"], at).alias("from"), F.greatest(-s["until"], at).alias("end"), mark.alias("mark"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, add, rest)).otherwise(text)
+    ways = _once(ordered, lambda xs: _running(xs, lambda s: -s["until"], F.greatest, covered))
+    marked = lambda x, stretch, at: F.concat(_cut(stretch, x["start"] - at, x["from"] - at), x["mark"])
+    whole = lambda xs: F.concat(
+        F.array_join(_with_text(text, xs, 0, marked), ""), _cut(text, F.element_at(xs, -1)["end"], F.length(text))
+    )
+    return F.when(F.size(spans) > 0, _once(ways, whole)).otherwise(text)
 
 
 def personal_data_digest(docs: DataFrame) -> DataFrame:

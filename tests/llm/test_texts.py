@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers
 import pytest
+from corpus_pipeline import personal_data
 from pyspark.sql import functions as F
 
 from cashtide.llm.decontaminate import find_contamination
@@ -61,7 +62,7 @@ def plain_hits(text, windows):
             if words[i : i + len(window)] == window:
                 hit.update(range(i, i + len(window)))
                 items.add(item)
-    return len(words), len(hit), sorted(items)
+    return len(words), len(hit), items
 
 
 @pytest.mark.parametrize("automaton_bytes", [4_000_000, 400])
@@ -71,7 +72,7 @@ def test_contamination_matches_a_search_for_every_window(spark, monkeypatch, aut
     items = [(i, " ".join(draw.choice("abcde") for _ in range(draw.choice([0, 3, 10, 14])))) for i in range(12)]
     items += [(3, "Æsop, b!  C"), (None, "zz zz"), (20, None)]
     docs = [(i, draw.choice([" ", ", "]).join(draw.choice(["a", "B", "c", "æsop", "zz"]) for _ in range(draw.randint(0, 40)))) for i in range(60)]
-    docs += [(1, None), (None, "æsop b c"), (7, "")]
+    docs += [(90, None), (None, "æsop b c"), (91, "")]
     # Only A-Z are lowered, so the accented capital of an item stays.
     windows = []
     for item, text in items:
@@ -152,6 +153,48 @@ def test_checksums_and_context_decide_further_kinds(spark, odd):
     assert personal_data_digest(odd.limit(0)).count() == 0
 
 
+def plain_marks(text, spans):
+    """Text with marks; spans as (start, end, kind)."""
+    out, at = [], 0
+    for start, until, kind in sorted((a, -b, k) for a, b, k in spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, -until)
+    return "".join(out) + text[at:]
+
+
+def test_marks_of_overlapping_spans(spark):
+    draw = random.Random(6)
+    schema = "i int, text string, spans array<struct<kind:string,start:int,end:int,score:double,order:int>>"
+    rows = []
+    for i in range(60):
+        text = "".join(draw.choice("aé🙂 ") for _ in range(draw.randint(2, 9000)))
+        spans = []
+        for _ in range(draw.choice([0, 1, 5, 600, 1300])):
+            a = draw.randrange(len(text) - 1)
+            spans.append((draw.choice(["ip", "card"]), a, min(len(text), a + draw.randint(1, 30)), 1.0, 0))
+        rows.append((i, text, spans))
+    frame = spark.createDataFrame(rows, schema)
+    got = {r.i: r.out for r in frame.select("i", redacted(F.col("text"), F.col("spans")).alias("out")).collect()}
+    assert got == {i: plain_marks(text, [(a, b, k) for k, a, b, _, _ in spans]) for i, text, spans in rows}
+
+
+@pytest.mark.parametrize("stage", [False, True])
+def test_very_long_addresses_and_very_many(spark, stage):
+    long, many = "x a@b" + ".c" * 200_000, "a@b.cd " * 100_000
+    dense = "1.2.3.4, +1 (988) 555-2485; " * 20_000
+    frame = spark.createDataFrame([(1, long), (2, many), (3, dense)], DOCS)
+    if stage:
+        got = {r.doc_id: r.text for r in personal_data(spark, frame, "").collect()}
+        assert got == {1: "x [EMAIL]", 2: "[EMAIL] " * 100_000, 3: "[IP], [PHONE]; " * 20_000}
+        return
+    rows = {r.doc_id: r for r in personal_data_digest(frame).collect()}
+    assert rows[1].spans == f"email:2:{len(long)}"
+    assert rows[2].n_email == 100_000 and rows[2].spans.endswith(f",email:{len(many) - 7}:{len(many) - 1}")
+    assert (rows[3].n_ip, rows[3].n_phone) == (20_000, 20_000)
+    assert rows[3].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(plain_spans(dense), key=lambda s: (s[0] != "ip", s[1])))
+
+
 def plain_statistics(t):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
