@@ -52,16 +52,16 @@ class Scratch:
         ship(spark)
         self.spark, self.root, self.count = spark, scratch_path(spark, label), 0
 
-    def store(self, df: DataFrame) -> DataFrame:
+    def store(self, df: DataFrame, *partition_by: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.partitionBy(*partition_by).parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
-        stored = self.spark.read.schema(df.schema).parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
         stored._scratch = path
         return stored
 

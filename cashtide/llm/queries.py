@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashtide.llm.common import hex_digest
+from cashtide.llm.common import Scratch, hex_digest
+from cashtide.llm.conversation_trie import numbered_turns, prefix_trie, with_shared_openings
 from cashtide.llm.decontaminate import find_contamination
 from cashtide.llm.metric_join import embedding_duplicates
 from cashtide.llm.near_dedup import near_duplicates
@@ -88,6 +89,16 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_rows(table(spark, sf_dir, "conversations"))
+
+
+def op11_rows(conversations: DataFrame) -> DataFrame:
+    """The trie of conversations that open like one of their neighbours."""
+    scratch = Scratch(conversations.sparkSession, "conversations")
+    return prefix_trie(*with_shared_openings(numbered_turns(conversations, scratch), scratch), scratch)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_rows(table(spark, sf_dir, "documents"))
 
@@ -177,6 +188,76 @@ SELECT page_id, payload_bytes,
 FROM h JOIN f USING (x)
 """
 
+#: A checksum of the decimal digits of ``c``, bit by bit.
+_CRC32 = """
+xor(list_reduce(
+  [CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))
+), 4294967295)
+"""
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (SELECT c, len, {_CRC32} % 9 AS h FROM (SELECT c, max(pos) AS len FROM t GROUP BY c)),
+fam AS (
+  SELECT i.c, i.h, i.c - i.c % 5 AS b, least(i.h, coalesce(j.len, 0)) AS taken
+  FROM ids i LEFT JOIN ids j ON j.c = i.c - i.c % 5
+),
+re AS (
+  SELECT f.c, pos, r, x FROM fam f JOIN t ON t.c = f.b AND pos <= h
+  UNION ALL SELECT f.c, taken + pos - h, r, x FROM fam f JOIN t ON t.c = f.c AND pos > h
+),
+seqs AS (
+  SELECT c, coalesce(list(md5(strlen(r) || ':' || r || x) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS s,
+         list(strlen(x) ORDER BY pos) AS b
+  FROM fam LEFT JOIN re USING (c) GROUP BY c
+),
+m AS (
+  SELECT c, d, array_to_string(list_slice(s, 1, d), ',') AS k, array_to_string(list_slice(s, 1, d - 1), ',') AS pk,
+         d = len(s) AS done, b[d] AS bytes
+  FROM (SELECT c, s, b, unnest(range(0, len(s) + 1)) AS d FROM seqs)
+),
+n AS (
+  SELECT d, k, any_value(pk) AS pk, min(c) AS conv, count(*) AS n, max(bytes) AS bytes,
+         string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE done) AS ends
+  FROM m GROUP BY d, k
+),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+w AS (
+  SELECT d, k, pk, conv, n, coalesce(kids, 0) AS kids, ends, CASE WHEN d > 0 THEN (n - 1) * bytes ELSE 0 END AS own
+  FROM n LEFT JOIN kids USING (d, k)
+),
+sums AS (
+  SELECT a.d, a.k, count(*) FILTER (WHERE b.kids = 0) AS leaves, CAST(sum(b.own) AS BIGINT) AS saved
+  FROM w a JOIN w b ON b.d >= a.d AND starts_with(b.k, a.k) GROUP BY a.d, a.k
+)
+SELECT w.conv AS conv_id, w.d AS depth, up.conv AS parent_conv_id, w.n AS n_convs, w.kids AS n_children,
+       leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN sums USING (d, k) LEFT JOIN w up ON w.d > 0 AND up.d = w.d - 1 AND up.k = w.pk
+"""
+
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+direct AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, b), vec_id) AS component_id,
+       vec_id = coalesce(least(vec_id, b), vec_id) AS kept
+FROM embeddings LEFT JOIN direct d ON d.a = vec_id LEFT JOIN least l ON l.a = vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -188,8 +269,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_web_archives": op8_web_archives,
     "op9_token_files": op9_token_files,
     "op10_personal_data": op10_personal_data,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_recompression": OP6_SQL, "op8_web_archives": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+    "op6_recompression": OP6_SQL,
+    "op8_web_archives": OP8_SQL,
+    "op11_conversation_trie": OP11_SQL,
+    "op13_embedding_near_dedup": OP13_SQL,
+}
