@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.functions.numbers import MONEY, without_spaces
@@ -91,21 +91,14 @@ def import_validate(staged: DataFrame, project: DataFrame, invoice_status: DataF
     )
 
 
-def import_promote(
-    invoice: DataFrame,
-    staged: DataFrame,
-    run_ts: dt.datetime | None = None,
-    on_duplicate: str = "raise",
-) -> DataFrame:
-    """Upsert the valid rows into the invoices by number.
+def import_arrivals(staged: DataFrame, highest: Column, on_duplicate: str = "raise") -> DataFrame:
+    """The valid rows of a batch as invoices, one per number, stored.
 
     New invoices continue the ids after the highest one, in steps of their row
-    number, so ids stay unique without numbering the batch again.  A batch is
-    small next to the table, which is patched in place rather than shuffled.
+    number, so ids stay unique without numbering the batch again.
     """
-    highest = invoice.select(F.coalesce(F.max("invoice_id"), F.lit(0).cast("bigint"))).scalar()
     incoming = staged.filter("is_valid").select(
-        (highest + F.col("row_number")).alias("invoice_id"),
+        (highest + F.col("row_number")).cast("bigint").alias("invoice_id"),
         F.col("raw_project_id").cast("bigint").alias("project_id"),
         F.trim("raw_invoice_number").alias("invoice_number"),
         F.col("raw_invoice_date").cast("date").alias("invoice_date"),
@@ -115,7 +108,14 @@ def import_promote(
         F.lit(CREATED_BY).alias("created_by"),
     )
     # The batch meets the table three times; it is grouped by number and stored once.
-    incoming = materialise(one_row_per_key(incoming, ["invoice_number"], "invoice_id" if on_duplicate == "last" else None))
+    return materialise(one_row_per_key(incoming, ["invoice_number"], "invoice_id" if on_duplicate == "last" else None))
+
+
+def import_merge(invoice: DataFrame, incoming: DataFrame, run_ts: dt.datetime | None = None) -> DataFrame:
+    """Invoices after the arrival of others, matched by number.
+
+    A batch is small next to the table, which is patched in place rather than shuffled.
+    """
     return upsert(
         invoice,
         incoming,
@@ -127,6 +127,17 @@ def import_promote(
     )
 
 
+def import_promote(
+    invoice: DataFrame,
+    staged: DataFrame,
+    run_ts: dt.datetime | None = None,
+    on_duplicate: str = "raise",
+) -> DataFrame:
+    """Upsert the valid rows into the invoices by number."""
+    highest = invoice.select(F.coalesce(F.max("invoice_id"), F.lit(0).cast("bigint"))).scalar()
+    return import_merge(invoice, import_arrivals(staged, highest, on_duplicate), run_ts)
+
+
 def import_stamp_promoted(staged: DataFrame, run_ts: dt.datetime) -> DataFrame:
     return staged.withColumn(
         "promoted_at", F.when(F.col("is_valid"), timestamp_literal(run_ts)).otherwise(F.col("promoted_at"))

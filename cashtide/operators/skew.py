@@ -53,3 +53,28 @@ def in_ordered_blocks(
     """
     ranged = df.repartitionByRange(*order) if blocks is None else df.repartitionByRange(blocks, *order)
     return materialise(ranged.withColumn(block, F.spark_partition_id()))
+
+
+def connected(links: DataFrame, a: str, b: str) -> DataFrame:
+    """``node`` and ``part``, the least node reachable, for both ends of every link.
+
+    In each round all neighbours of a node are linked to the least of them, the larger ones
+    first and then the smaller; trees become stars in about as many rounds as the longest
+    way has binary digits.  Only minima per node meet, so a node may have any number of links.
+    """
+    edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
+    edges, before = materialise(edges), None
+    while True:
+        ends = edges.unionAll(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = materialise(ends.groupBy("hi").agg(F.min("lo").alias("m")).withColumn("m", F.least("hi", "m")))
+        up = ends.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        up = materialise(up.distinct())
+        least = materialise(up.groupBy("hi").agg(F.min("lo").alias("m")))
+        down = up.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo")
+        edges = materialise(down.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct())
+        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if seen == before:
+            break
+        before = seen
+    parts = edges.groupBy("hi").agg(F.min("lo").alias("part")).select(F.col("hi").alias("node"), "part")
+    return parts.unionAll(parts.select(F.col("part").alias("node"), "part").distinct())
