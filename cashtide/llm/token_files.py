@@ -16,11 +16,13 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from cashtide.llm.common import LAST_ID, Scratch, id_and_text
 from cashtide.llm.files import listed, new_file, open_range
 
 BLOCK_IDS = 1 << 19  # ids of a block at most, but for a single longer document
+TEXTS = 4096  # encoded at a time
 LANES = 2048  # of a long block; short ones take fewer, about 64 ids each
 CHECKPOINT_STEPS = 128
 LOW = np.uint64(1 << 31)  # a state is at least this between steps
@@ -174,74 +177,136 @@ def decode_block(raw: bytes, table: Frequencies) -> tuple[int, np.ndarray, np.nd
     return start, doc_ids, valid, sizes, ids
 
 
+#: How a tokenizers file must cut texts for its words to be encoded apart.
+WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte of a piece: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+#: Letters up to U+024F that do not combine and are lowered one by one, and signs that are no letters.
+_LATIN = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_SIGNS = "\u00a1\u00a7\u00ab\u00bb\u00bf\u00d7\u00f7\u2013\u2014\u2018-\u201f\u2026\u20ac"
+
+
 class WordTokens:
-    """Ids of whole texts by a tokenizers file that drops white space and merges words apart.
+    """Ids of whole texts by a tokenizers file.
 
-    Words between white space are encoded on their own and remembered; where that could
-    differ (special tokens, control characters), the library encodes the whole text.
+    A file that drops white space and merges words apart, as ``WORDWISE`` says, has its
+    pieces encoded on their own and remembered.  Texts of Latin letters are lowered and cut
+    into pieces as whole columns; of other texts each word is cut by the library.  Where that
+    could differ (special tokens, control characters), and for all other files, the library
+    encodes whole texts.
     """
 
-    _ODD = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f]")
-    _PLAIN = re.compile(r"[!-~]+")
-    _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    REMEMBERED = 1_200_000  # words and pieces at a time
+    _ODD = r"<\||[\x00-\x08\x0e-\x1f\x7f]"
+    _OTHER = f"[^\t-\r -~A-Z{_LATIN}{_SIGNS}]"
+    _PIECES = f"('s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\t-\r 0-9{_LATIN}]+)"
+    _LETTERS = {b: c for b, c in byte_letters().items() if chr(b) != c}
+    REMEMBERED = 600_000  # words and pieces; as many older ones are kept
 
     def __init__(self, file: str, end_id: int | None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
+        cuts = json.loads(self.library.to_str())
+        self.wordwise = all(cuts[k] == v for k, v in WORDWISE.items())
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.library.model.tokenize(piece)]
+    def _recalled(self, key: str, make: Callable[[str], bytes]) -> bytes:
+        """What is known of a key; when that is full, the keys met since then are kept."""
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.older.get(key)
+            if ids is None:
+                ids = make(key)
+            if len(self.known) >= self.REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[key] = ids
+        return ids
+
+    def _merged(self, letters: str) -> bytes:
+        ids = [t.id for t in self.library.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, word: str) -> bytes:
-        """A plain lower-case piece is a word itself; other pieces are known under a mark."""
-        if len(self.known) >= self.REMEMBERED:
-            self.known.clear()
-        if self._PLAIN.fullmatch(word):
-            parts, mark = self._SPLIT.findall(word.lower()), ""
-            if parts == [word]:
-                return self._piece(word)
-        else:
-            plain = self.library.normalizer.normalize_str(word)
-            parts, mark = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)], "\0"
-        out = []
-        for part in parts:
-            ids = self.known.get(mark + part)
-            if ids is None:
-                ids = self.known[mark + part] = self._piece(part)
-            out.append(ids)
-        return b"".join(out)
+    def _piece(self, piece: str) -> bytes:
+        return self._merged(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._LETTERS))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each distinct word of the texts is looked up once; ids are then gathered by word."""
-        whole = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if self._ODD.search(t)}
-        words = pc.ascii_split_whitespace(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.large_string()))
-        edges = words.offsets.to_numpy()
-        coded = words.flatten().dictionary_encode()
-        found = []
-        for word in coded.dictionary.to_pylist():
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self._word(word)
-                self.known[word] = ids
-            found.append(ids)
+    def _word(self, marked: str) -> bytes:
+        plain = self.library.normalizer.normalize_str(marked[1:])
+        parts = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+        return b"".join(self._recalled("\1" + p, lambda key: self._merged(key[1:])) for p in parts)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, keys: pa.Array, make: Callable[[str], bytes], mark: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys, one after the other, and the places between those of each."""
+        found = [self._recalled(mark + x, make) for x in keys.to_pylist()]
         size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(size)])
+
+    @staticmethod
+    def _by_distinct(parts: pa.LargeListArray, ids_of: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lists of parts, of which each distinct one is looked up once."""
+        edges = parts.offsets.to_numpy() if len(parts) else np.zeros(1, np.int64)
+        coded = parts.flatten().dictionary_encode()
+        flat, places = ids_of(coded.dictionary)
+        begin, size = places[:-1], np.diff(places)
         code = coded.indices.to_numpy()
         sizes = size[code]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        gathered = flat[np.repeat(begin[code] - total[:-1], sizes) + np.arange(total[-1])]
-        cuts = total[edges].tolist()
-        out = []
-        for i in range(len(texts)):
-            ids = gathered[cuts[i] : cuts[i + 1]].tobytes()
-            if i in whole:
-                ids = struct.pack(f"<{len(whole[i])}I", *whole[i])
-            out.append(ids + self.end)
+        ids = flat[np.repeat(begin[code] - total[:-1], sizes) + np.arange(total[-1])]
+        return ids, total[edges - edges[0]]
+
+    def _latin(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of Latin letters by those of their pieces."""
+        cut = pc.replace_substring_regex(pc.utf8_lower(words), self._PIECES, r"\1 ")
+        return self._by_distinct(pc.ascii_split_whitespace(cut), lambda pieces: self._ids(pieces, self._piece))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.wordwise:
+            return [ids + self.end for ids in self._whole(texts)]
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, self._ODD)
+        other = pc.and_not(pc.match_substring_regex(column, self._OTHER), odd)
+        latin = pc.invert(pc.or_(odd, other))
+        def by_word(chosen: pa.Array, ids_of: Callable) -> list[bytes]:
+            ids, places = self._by_distinct(pc.ascii_split_whitespace(column.filter(chosen)), ids_of)
+            return [ids[a:b].tobytes() for a, b in pairwise(places.tolist())]
+
+        found = (
+            (odd, self._whole(column.filter(odd).to_pylist())),
+            (other, by_word(other, lambda words: self._ids(words, self._word, "\0"))),
+            (latin, by_word(latin, self._latin)),
+        )
+        out = [b""] * len(texts)
+        for chosen, coded in found:
+            for i, ids in zip(np.flatnonzero(chosen.to_numpy(zero_copy_only=False)).tolist(), coded, strict=True):
+                out[i] = ids + self.end
         return out
 
 
@@ -277,7 +342,7 @@ def _blocks(docs: DataFrame, tokenizer_file: str, end_id: int | None) -> DataFra
 
         for batch in batches:
             texts = batch.column(1)
-            encoded = (x for i in range(0, len(texts), 1024) for x in encoder.encode(texts.slice(i, 1024).to_pylist()))
+            encoded = (x for i in range(0, len(texts), TEXTS) for x in encoder.encode(texts.slice(i, TEXTS).to_pylist()))
             for doc, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if held and held + len(raw) // 4 > BLOCK_IDS:
                     yield cut()
