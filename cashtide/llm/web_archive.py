@@ -34,6 +34,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the time of capture is not known
 EOCD, EOCD64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 RUN_BYTES = 4 << 20  # records are fetched in runs of about this size
+#: Rows of shared payloads (an id and two digests each) that are broadcast; beyond, payloads are shuffled.
+MOST_BROADCAST = 300_000
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -145,7 +147,10 @@ def write_archives(
 
     Payloads meet by digest without their bytes: the first id of each is a map-side minimum,
     kept only where several rows share it, and is joined back to ids alone, where a hot
-    digest can be split.  The payloads are shuffled once, to the archives.
+    digest can be split.  What comes of that goes to the rows where they are, if it is
+    counted and small, and each task that reads pages writes an archive; only rows that
+    repeat an id and its payload are brought together.  If it is large, the payloads are
+    shuffled once, to the archives.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "archives")
@@ -159,13 +164,26 @@ def write_archives(
     shared = scratch.store(
         keyed.groupBy("sha1").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
-    later = scratch.store(keyed.join(shared, "sha1").select("place", "sha1", "first").distinct())
-    # Rows that agree in id and payload meet in one task, however the join is done.
-    joined = rows.repartition("place", "sha1").join(later, ["place", "sha1"], "left")
-    joined = joined.select(
-        "page_id", "url", "payload", "sha1", F.nullif("first", F.lit(LAST_ID)).alias("first"), F.col("first").isNotNull().alias("shared")
-    )
-    joined = joined.sortWithinPartitions("page_id", "sha1", "url")
+    later = keyed.join(shared, "sha1").groupBy("place", "sha1").agg(F.min("first").alias("first"), (F.count("*") > 1).alias("again"))
+    later = scratch.store(later)
+    known, again = later.agg(F.count("*"), F.bool_or("again")).first()
+
+    def told(rows: DataFrame, by: DataFrame) -> DataFrame:
+        columns = ["page_id", "url", "payload", "sha1"]
+        first = [F.nullif("first", F.lit(LAST_ID)).alias("first"), F.col("first").isNotNull().alias("shared")]
+        return rows.join(by, ["place", "sha1"], "left").select(*columns, *first, F.coalesce("again", F.lit(False)).alias("again"))
+
+    def together(rows: DataFrame) -> DataFrame:
+        """Rows that agree in id and payload, one after the other in one task."""
+        return rows.sortWithinPartitions("page_id", "sha1", "url").drop("again")
+
+    if known <= MOST_BROADCAST:
+        found = told(rows, F.broadcast(later))
+        joined = found.filter("not again").drop("again")
+        if again:
+            joined = joined.unionByName(together(found.filter("again").repartition("page_id", "sha1")))
+    else:
+        joined = together(told(rows.repartition("place", "sha1"), later))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}.wacz"

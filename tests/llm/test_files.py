@@ -51,6 +51,23 @@ def test_words_encode_as_the_library_does():
         assert np.frombuffer(raw, "<u4").tolist() == tokens.library.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_latin_texts_encode_as_the_library_does():
+    tokens, draw = WordTokens(WORDS, 1), random.Random(3)
+    letters = "aBzÀÿĀıſƀǅɏß×÷'’s'tTSéLl12_.,!<>\t\n\x0b\x0c\r «»–—…€“ "
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)] + ["L'été " * 20_000, ""]
+    tokens.REMEMBERED = 300
+    want = [e.ids + [1] for e in tokens.library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in tokens.encode(texts)] == want
+
+
+def test_other_tokenizers_encode_whole_texts():
+    tokens = WordTokens(public_tokenizers.path("byte_bpe_50k.json"), None)
+    texts = ["The cat  sat\n", "", "L'été 12"]
+    assert not tokens.wordwise
+    for text, raw in zip(texts, tokens.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_round_trip(spark, tmp_path):
     rows = [(9, "the last"), (2, "b b b"), (2, "b b b"), (None, "no id"), (1, None), (4, ""), (3, "word " * 5000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(0).alias("part"), F.lit(0).alias("ids"))
@@ -87,7 +104,9 @@ def plain_archive(rows):
     return sorted(out, key=str)
 
 
-def test_archives_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("most", [300_000, 0])
+def test_archives_round_trip(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr("cashtide.llm.web_archive.MOST_BROADCAST", most)
     rows = [(i, f"http://x/{i}", draw) for i, draw in enumerate(["a", "bé", "a", "", None, "c" * 70000, "bé\r\n\r\nWARC/1.1"])]
     rows += [(1, "u", "bé"), (None, None, "a"), (None, "u\r\nX: y", "own"), (9, "u", "c" * 70000)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit(1).alias("sha1"), F.lit(1).alias("first"))
