@@ -7,12 +7,60 @@ a key that occurs millions of times is no hot spot.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.operators.views import view_cost_isa_violations
 from cashtide.schemas import TABLES, Table
+from cashtide.session import materialise
+
+
+#: Rows of the keys of a parent that are broadcast; beyond, child keys are grouped and joined.
+MOST_BROADCAST = 2_000_000
+
+
+def _digests(columns: Sequence[str]) -> list[Column]:
+    """128 bits for the values of some columns, nulls told apart from each other."""
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(i), *parts) for i in (1, 2)]
+
+
+def key_text(columns: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+
+
+def key_groups(tables: Sequence[tuple[DataFrame, Sequence[tuple[Sequence[str], Sequence[str]]]]]) -> DataFrame:
+    """How often the values of many keys occur, and whether what hangs on them differs.
+
+    Each table comes with its rules, pairs of key and dependent columns.  Every row is
+    expanded to one small row per rule, so each table is read once and all are grouped in one
+    shuffle: ``rule`` (its place among all rules), ``key_value``, ``occurrences``, and
+    ``differs``.  Counts and the least and greatest digest of the dependents combine map-side.
+    """
+
+    def row(i: int, key: Sequence[str], dependents: Sequence[str]) -> Column:
+        k, d = _digests(key), _digests(dependents) if dependents else [F.lit(0).cast("bigint")] * 2
+        rest = F.struct(d[0].alias("a"), d[1].alias("b"))
+        return F.struct(F.lit(i).alias("rule"), k[0].alias("k1"), k[1].alias("k2"), key_text(key).alias("key_value"), rest.alias("rest"))
+
+    expanded, i = [], 0
+    for df, rules in tables:
+        expanded.append(df.select(F.inline(F.array(*[row(i + n, *rule) for n, rule in enumerate(rules)]))))
+        i += len(rules)
+    return (
+        reduce(DataFrame.unionByName, expanded)
+        .groupBy("rule", "k1", "k2")
+        .agg(F.count(F.lit(1)).alias("occurrences"), F.min("key_value").alias("key_value"), F.min("rest").alias("_a"), F.max("rest").alias("_z"))
+        .select("rule", "key_value", "occurrences", (F.col("_a") != F.col("_z")).alias("differs"))
+    )
+
+
+def named_rules(groups: DataFrame, *labels: tuple[str, Sequence]) -> DataFrame:
+    """``groups`` with what the rules are called instead of their places."""
+    return groups.withColumns({name: F.get(F.array(*[F.lit(v) for v in values]), F.col("rule")) for name, values in labels}).drop("rule")
 
 
 def audit_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -33,6 +81,71 @@ def audit_foreign_keys(
     return complete.join(known, list(columns), "left_anti")
 
 
+@dataclass(frozen=True)
+class KeyIndex:
+    """The keys of a parent, stored: whole numbers as 64-bit sets, others one by one."""
+
+    parent: DataFrame
+    columns: tuple[str, ...]
+    frame: DataFrame
+    sets: bool
+    small: bool
+
+
+def key_index(parent: DataFrame, columns: Sequence[str], most: int | None = None) -> KeyIndex:
+    """The exact set of the keys of a parent, with its measured size.
+
+    Ids that lie close together take a bit each, so the index of a table of a hundred
+    million ids is some million rows.
+    """
+    most = MOST_BROADCAST if most is None else most
+    kinds = [parent.schema[c].dataType.typeName() for c in columns]
+    sets = kinds in (["long"], ["integer"])
+    keys = parent.select(*columns).dropna()
+    if sets:
+        (c,) = columns
+        member = F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
+        frame = keys.groupBy(F.expr(f"shiftright(cast({c} as bigint), 6)").alias("_word")).agg(F.bit_or(member).alias("_set"))
+    else:
+        frame = keys.distinct()
+    frame = materialise(frame)
+    return KeyIndex(parent, tuple(columns), frame, sets, frame.count() <= most)
+
+
+def audit_references(child: DataFrame, references: Sequence[tuple[str, Sequence[str], KeyIndex]]) -> DataFrame:
+    """``reference`` (its name), ``key_value`` and ``orphan_rows`` of values without a parent.
+
+    All references whose parent has an index small enough to be broadcast are looked up in one
+    pass over the child, which is not shuffled; only orphans are grouped.
+    """
+    wanted = dict.fromkeys(c for _, columns, _ in references for c in columns)
+    rows, found, large = child.select(*wanted), [], []
+    for i, (name, columns, index) in enumerate(references):
+        if not index.small:
+            large.append(
+                audit_foreign_keys(child, index.parent, columns, index.columns).select(
+                    F.lit(name).alias("reference"), key_text(columns).alias("key_value"), "orphan_rows"
+                )
+            )
+            continue
+        if index.sets:
+            (c,) = columns
+            known = index.frame.select(F.col("_word").alias(f"_word{i}"), F.col("_set").alias(f"_set{i}"))
+            rows = rows.join(F.broadcast(known), F.expr(f"shiftright(cast({c} as bigint), 6)") == F.col(f"_word{i}"), "left")
+            there = F.expr(f"shiftright(_set{i}, cast({c} & 63 as int)) & 1") == 1
+        else:
+            known = index.frame.select(*[F.col(p).alias(f"_{i}{p}") for p in index.columns], F.lit(True).alias(f"_hit{i}"))
+            rows = rows.join(F.broadcast(known), [F.col(c) == F.col(f"_{i}{p}") for c, p in zip(columns, index.columns)], "left")
+            there = F.col(f"_hit{i}")
+        given = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+        entry = F.struct(F.lit(name).alias("reference"), key_text(columns).alias("key_value"))
+        found.append(F.when(given & ~F.coalesce(there, F.lit(False)), entry))
+    if found:
+        orphans = rows.select(F.inline(F.array_compact(F.array(*found))))
+        large.append(orphans.groupBy("reference", "key_value").agg(F.count(F.lit(1)).alias("orphan_rows")))
+    return reduce(DataFrame.unionByName, large)
+
+
 def table_predicates(table: Table, columns: Sequence[str]) -> dict[str, str]:
     """Value checks, required columns and text lengths of a declared table, as far
     as the given columns allow."""
@@ -92,64 +205,44 @@ def audit_specialisation(cost: DataFrame, project_cost: DataFrame, operational_c
     )
 
 
+def declared_rules(name: str, columns: Sequence[str]) -> list[tuple[tuple[str, ...], list[str], bool]]:
+    """Keys and determinants of a declared table with what they determine, as far as the columns
+    are there, and whether the key has to be unique."""
+    table, rules = TABLES[name], {}
+    for determinant, dependents in table.functional_dependencies:
+        if set(determinant) <= set(columns):
+            rules[tuple(determinant)] = [c for c in dependents if c in columns and c not in determinant]
+    unique = {tuple(k) for k in table.keys if set(k) <= set(columns)}
+    return [(k, rules.get(k, []), k in unique) for k in dict.fromkeys([*unique, *rules])]
+
+
 def audit_tables(T: Mapping[str, DataFrame]) -> DataFrame:
     """Every declared rule over every given table: one row per rule that is broken,
     with the number of offending rows or key values."""
-    findings = []
-
-    def add(table: str, kind: str, rule: str, offenders: DataFrame):
-        findings.append(
-            offenders.agg(F.count(F.lit(1)).alias("offenders")).select(
-                F.lit(table).alias("table_name"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), "offenders"
-            )
-        )
-
-    for name, table in TABLES.items():
-        if name not in T:
-            continue
-        df = T[name]
-        columns = set(df.columns)
-        # A key and a dependency on the same columns share one grouping.
-        dependencies = {
-            tuple(determinant): [c for c in dependents if c in columns and c not in determinant]
-            for determinant, dependents in table.functional_dependencies
-            if columns.issuperset(determinant)
-        }
-        for key in dict.fromkeys([*map(tuple, table.keys), *dependencies]):
-            if not columns.issuperset(key):
-                continue
-            dependents = dependencies.get(key)
-            rest = F.struct(*dependents) if dependents else F.lit(None).cast("int")
-            grouped = df.groupBy(*key).agg(
-                F.count(F.lit(1)).alias("_n"), F.min(rest).alias("_a"), F.max(rest).alias("_z")
-            )
-            rules = []
-            if key in map(tuple, table.keys):
-                rules.append(("key", ", ".join(key), F.col("_n") > 1))
-            if dependents:
-                rules.append(("dependency", f"{', '.join(key)} -> rest", ~F.col("_a").eqNullSafe(F.col("_z"))))
-            counts = F.array(
-                *[F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rule"), F.count_if(w).alias("offenders")) for k, r, w in rules]
-            )
-            findings.append(grouped.agg(counts.alias("_f")).select(F.lit(name).alias("table_name"), F.inline("_f")))
-        for reference in table.references:
-            parent = T.get(reference.parent)
-            if parent is not None and columns.issuperset(reference.columns):
-                label = f"{', '.join(reference.columns)} -> {reference.parent}"
-                add(
-                    name,
-                    "reference",
-                    label,
-                    audit_foreign_keys(df, parent, reference.columns, reference.parent_columns),
-                )
-        predicates = table_predicates(table, df.columns)
-        broken = audit_checks(df, predicates).select(F.explode("broken_checks").alias("rule"))
-        findings.append(
-            broken.groupBy("rule")
-            .agg(F.count(F.lit(1)).alias("offenders"))
-            .select(F.lit(name).alias("table_name"), F.lit("check").alias("kind"), "rule", "offenders")
-        )
-    result = findings[0]
-    for finding in findings[1:]:
-        result = result.unionByName(finding)
-    return result.filter("offenders > 0")
+    findings, indexes, rules = [], {}, []
+    named = {name: T[name] for name in TABLES if name in T}
+    for name, df in named.items():
+        columns = df.columns
+        rules += [(name, *rule) for rule in declared_rules(name, columns)]
+        references = []
+        for r in TABLES[name].references:
+            if r.parent in T and set(r.columns) <= set(columns):
+                place = (r.parent, tuple(r.parent_columns))
+                if place not in indexes:
+                    indexes[place] = key_index(T[r.parent], r.parent_columns)
+                references.append((f"{', '.join(r.columns)} -> {r.parent}", r.columns, indexes[place]))
+        if references:
+            orphans = audit_references(df, references).groupBy(F.col("reference").alias("rule")).agg(F.count(F.lit(1)).alias("offenders"))
+            findings.append(orphans.withColumns({"table_name": F.lit(name), "kind": F.lit("reference")}))
+        broken = audit_checks(df, table_predicates(TABLES[name], columns)).select(F.explode("broken_checks").alias("rule"))
+        broken = broken.groupBy("rule").agg(F.count(F.lit(1)).alias("offenders"))
+        findings.append(broken.withColumns({"table_name": F.lit(name), "kind": F.lit("check")}))
+    groups = key_groups([(df, [(key, rest) for n, key, rest, _ in rules if n == name]) for name, df in named.items()])
+    labels = [("table_name", [r[0] for r in rules]), ("columns", [", ".join(r[1]) for r in rules]), ("unique", [r[3] for r in rules])]
+    kinds = F.array(
+        F.when(F.col("unique") & (F.col("occurrences") > 1), F.struct(F.lit("key").alias("kind"), F.col("columns").alias("rule"))),
+        F.when(F.col("differs"), F.struct(F.lit("dependency").alias("kind"), F.concat("columns", F.lit(" -> rest")).alias("rule"))),
+    )
+    broken = named_rules(groups, *labels).select("table_name", F.inline(F.array_compact(kinds)))
+    findings.append(broken.groupBy("table_name", "kind", "rule").agg(F.count(F.lit(1)).alias("offenders")))
+    return reduce(DataFrame.unionByName, findings).select("table_name", "kind", "rule", "offenders")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from cashtide.operators import imports, rules, star
-from cashtide.operators.mutate import stamp_updated, upsert
+from cashtide.operators.mutate import upsert
 from cashtide.operators.pipeline import rule_pipeline
 from cashtide.operators.views import view_dashboard_kpi
 from cashtide.session import materialise
@@ -131,15 +131,6 @@ def _values(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select(BUCKET).distinct().collect())
 
 
-def _shaped(fresh: DataFrame, like: DataFrame, run_ts: dt.datetime | None) -> DataFrame:
-    """Rows with the columns of a table, those it has beyond them empty or stamped."""
-    missing = [c for c in like.columns if c not in fresh.columns]
-    fresh = fresh.withColumns({c: F.lit(None).cast(like.schema[c].dataType) for c in missing})
-    for column in ("updated_at", "created_at"):
-        fresh = stamp_updated(fresh, F.lit(True), run_ts, column)
-    return fresh.select(*like.columns)
-
-
 def _forecast(T: Tables, before: DataFrame, schedule: DataFrame, others: DataFrame, touched: DataFrame, as_of: dt.date, last, horizon: int, run_ts) -> DataFrame:
     """The forecast from ``as_of`` on: fresh rows of touched projects, of the days that the last
     run did not cover, and of what belongs to no project; the others as they are.
@@ -175,7 +166,7 @@ def _forecast(T: Tables, before: DataFrame, schedule: DataFrame, others: DataFra
         fresh = fresh.unionByName(part)
     window = F.col("forecast_date").between(F.lit(as_of), F.lit(min(covered, until)))
     kept = before.filter(window & F.col("project_id").isNotNull()).join(ids, "project_id", "left_anti")
-    return kept.select(*before.columns).unionByName(_shaped(fresh, before, run_ts))
+    return kept.select(*before.columns).unionByName(rules.shaped_like(fresh, before, run_ts, "forecast_id", rules.FORECAST_COLUMNS))
 
 
 def import_live(
@@ -216,7 +207,7 @@ def import_live(
     run = materialise(imports.import_run_log(opened, imports.import_run_status(staged), run_ts))
     for name, rows in (("stg_sevdesk_invoice", staged), ("etl_run", run)):
         if name in live:
-            _shaped(rows, live[name], None).write.mode("append").parquet(_path(folder, name))
+            rules.shaped_like(rows, live[name]).write.mode("append").parquet(_path(folder, name))
     _log(spark, folder, run_id, as_of, horizon, buckets, highest)
     now = read_live(spark, folder)
     report = imports.import_report(run, staged, view_dashboard_kpi({**T, **now}, as_of, horizon))
@@ -284,7 +275,7 @@ def _apply(spark, folder, T, live, incoming, as_of, last, run_ts, changed_projec
         "dim_cost_type": live["dim_cost_type"].unionByName(kinds),
     }
     fact = star.star_fact({**T, **dims, "cashflow_forecast": forecast}, as_of, horizon)
-    fact = materialise(_shaped(fact, live["fact_daily_cashflow"], None))
+    fact = materialise(rules.shaped_like(fact, live["fact_daily_cashflow"], None, "fact_id", star.FACT_KEYS))
 
     found = invoice.select(*INDEX_COLUMNS).join(incoming.select("invoice_number"), "invoice_number", "left_semi")
     index = materialise(upsert(index, found, ["invoice_number"], ["project_id"], unique=True))

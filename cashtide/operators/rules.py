@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cashtide.functions.hashing import short_key
 from cashtide.functions.numbers import MONEY
 from cashtide.operators.mutate import replace_from_date, stamp_updated, update_where_distinct, upsert
-from cashtide.operators.skew import join_stored
+from cashtide.operators.skew import join_stored, numbered
 from cashtide.session import materialise
 
 Tables = Mapping[str, DataFrame]
@@ -332,11 +332,22 @@ def rule_forecast(
     past = T.get("cashflow_forecast")
     if past is None:
         return fresh
+    return replace_from_date(past, shaped_like(fresh, past, run_ts, "forecast_id", FORECAST_COLUMNS), "forecast_date", as_of)
+
+
+def shaped_like(
+    fresh: DataFrame, past: DataFrame, run_ts: dt.datetime | None = None, key: str | None = None, order: Sequence[str] = ()
+) -> DataFrame:
+    """New rows with the columns of the rows they join: stamped, otherwise empty, and with
+    ids after the highest one there is, in the given order, if the table has ids."""
     missing = [c for c in past.columns if c not in fresh.columns]
     fresh = fresh.withColumns({c: F.lit(None).cast(past.schema[c].dataType) for c in missing})
     fresh = stamp_updated(fresh, F.lit(True), run_ts)
     fresh = stamp_updated(fresh, F.lit(True), run_ts, "created_at")
-    return replace_from_date(past, fresh, "forecast_date", as_of)
+    if key in past.columns:
+        highest = past.select(F.coalesce(F.max(key), F.lit(0).cast("bigint"))).first()[0]
+        fresh = numbered(fresh, key, order, F.lit(highest))
+    return fresh.select(*past.columns)
 
 
 def apply_milestone_rules(

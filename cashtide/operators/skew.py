@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashtide.session import materialise
@@ -55,6 +55,22 @@ def in_ordered_blocks(
     return materialise(ranged.withColumn(block, F.spark_partition_id()))
 
 
+def numbered(df: DataFrame, column: str, order: Sequence[str], highest: Column) -> DataFrame:
+    """Number the rows by ``order`` from one after ``highest``, without bringing them together.
+
+    Rows that ``order`` does not tell apart should be equal: which of them comes first is
+    left open.  Blocks of the order are numbered on their own, after the rows before them.
+    """
+    blocks = in_ordered_blocks(df, order)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    starts = materialise(sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return blocks.withColumn("_place", place).join(starts, "_block").withColumn(
+        column, (highest + F.col("_before") + F.col("_place")).cast("bigint")
+    ).select(*[c for c in df.columns if c != column], column)
+
+
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node`` and ``part``, the least node reachable, for both ends of every link.
 

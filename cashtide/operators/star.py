@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cashtide.functions.hashing import short_key
 from cashtide.functions.numbers import MONEY, date_key
 from cashtide.operators.mutate import replace_from_date, upsert
-from cashtide.operators.rules import HORIZON_DAYS, MILESTONE_FLOW, SUPPLIER_FLOW, unshared
+from cashtide.operators.rules import HORIZON_DAYS, MILESTONE_FLOW, SUPPLIER_FLOW, shaped_like, unshared
 
 Tables = Mapping[str, DataFrame]
 
@@ -161,8 +161,7 @@ def star_fact(T: Tables, as_of: dt.date, horizon: int = HORIZON_DAYS) -> DataFra
     past = T.get("fact_daily_cashflow")
     if past is None:
         return fresh
-    missing = [c for c in past.columns if c not in fresh.columns]
-    fresh = fresh.withColumns({c: F.lit(None).cast(past.schema[c].dataType) for c in missing})
+    fresh = shaped_like(fresh, past, None, "fact_id", FACT_KEYS)
     return replace_from_date(past, fresh, "date_key", as_of.year * 10000 + as_of.month * 100 + as_of.day)
 
 

@@ -341,6 +341,9 @@ JOIN (
 }
 
 
+STORED = ("line_doc", "due", "schedule", "coded", "linked", "advanced")
+
+
 def statement(final: str) -> str:
     """A final SELECT with every block it needs in front of it."""
     ordered: dict[str, str] = {}
@@ -358,7 +361,9 @@ def statement(final: str) -> str:
     body = final.format(**{p: p for p in placeholders(final)})
     if not filled:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({t.strip()})" for n, t in filled.items()) + "\n" + body.strip()
+    # Stages that several others read are worked out once.
+    kept = {n: " MATERIALIZED" if n.startswith(STORED) else "" for n in filled}
+    return "WITH " + ",\n".join(f"{n} AS{kept[n]} ({t.strip()})" for n, t in filled.items()) + "\n" + body.strip()
 
 
 def _day_rows(source: str) -> str:
@@ -684,7 +689,12 @@ SELECT project_id, status, CASE WHEN status = 'Completed' THEN '{RUN_TS}' END AS
     "rule_classify_invoices": "SELECT invoice_id, project_id, invoice_number, amount, milestone_code FROM {coded}",
     "rule_link_schedule": "SELECT invoice_id, milestone_code, schedule_id FROM {linked}",
     "rule_advance_schedule": "SELECT * FROM {advanced}",
-    "rule_forecast": f"SELECT {CASH} FROM {{forecast}}",
+    "rule_forecast": f"""
+SELECT {CASH}, project_id AS forecast_id FROM {{forecast_before}} WHERE forecast_date < {AS_OF}
+UNION ALL
+SELECT {CASH}, (SELECT max(project_id) FROM {{project}}) + row_number() OVER (ORDER BY project_id NULLS FIRST, forecast_date,
+       expected_cash_in, expected_cash_out, net_cashflow, flow_source)
+FROM (SELECT * FROM {{flow_in}} UNION ALL SELECT * FROM {{flow_orders}} UNION ALL SELECT * FROM {{flow_overhead}})""",
     "rule_pipeline_totals": _totals(),
     "forecast_milestones": "SELECT * FROM {flow_in}",
     "forecast_suppliers": "SELECT * FROM {flow_orders}",
@@ -694,7 +704,11 @@ SELECT project_id, status, CASE WHEN status = 'Completed' THEN '{RUN_TS}' END AS
     "star_dim_project": DIM_PROJECT,
     "star_dim_customer": DIM_CUSTOMER,
     "star_dim_cost_type": DIM_COST,
-    "star_fact": "SELECT * FROM {fact}",
+    "star_fact": f"""
+SELECT *, CASE WHEN date_key < {AS_OF_KEY} THEN project_key ELSE (SELECT max(project_id) FROM {{project}}) +
+         row_number() OVER (PARTITION BY date_key < {AS_OF_KEY}
+                            ORDER BY date_key, project_key NULLS FIRST, customer_key NULLS FIRST, cost_type_key NULLS FIRST) END AS fact_id
+FROM {{fact}}""",
     "star_refresh": _count_rows(
         [
             ("dim_date", "SELECT * FROM {calendar}"),

@@ -3,27 +3,28 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cashtide.operators import audit
 from cashtide.plans import queries
 from cashtide.plans.derived import Derived
 from cashtide.schemas import TABLES
+from cashtide.session import materialise
 
 SF = "/root/testdata/sf0.001"
 
-# Tables that the engine writes, and those of them whose rows have no id of their own.
+# Tables that the engine writes.
 WRITTEN = {
     "payment_schedule", "cashflow_forecast", "fact_daily_cashflow", "dim_date", "dim_project", "dim_customer",
     "dim_cost_type", "etl_run", "stg_sevdesk_invoice", "data_erasure_log",
 }
-WITHOUT_ID = {"cashflow_forecast", "fact_daily_cashflow"}
 
 
 @pytest.fixture(scope="module")
 def audited(spark):
-    return {n: df.localCheckpoint() if n in WRITTEN else df for n, df in queries.audited_tables(Derived(spark, SF)).items()}
+    return {n: materialise(df) if n in WRITTEN else df for n, df in queries.audited_tables(Derived(spark, SF)).items()}
 
 
 def found(spark, monkeypatch, name, T):
-    monkeypatch.setattr(queries, "audited_tables", lambda d, *stored: T)
+    monkeypatch.setattr(queries, "audited_tables", lambda d: T)
     return queries.QUERIES[name](spark, SF).collect()
 
 
@@ -43,7 +44,7 @@ def value(field):
 def test_all_tables_keys_and_references(audited):
     assert set(audited) == set(TABLES)
     keys = [(n, k) for n, t in TABLES.items() for k in t.keys]
-    assert [n for n, k in keys if not set(k) <= set(audited[n].columns)] == sorted(WITHOUT_ID)
+    assert len(keys) == 45 and [n for n, k in keys if not set(k) <= set(audited[n].columns)] == []
     references = [(n, r) for n, t in TABLES.items() for r in t.references]
     assert len(references) == 29
     assert [(n, r) for n, r in references if not set(r.columns) <= set(audited[n].columns)] == []
@@ -52,13 +53,13 @@ def test_all_tables_keys_and_references(audited):
 @pytest.mark.parametrize("name", ["audit_keys", "audit_functional_dependency"])
 def test_repeated_keys(spark, audited, monkeypatch, name):
     spoiled = dict(audited)
-    for n in WRITTEN - WITHOUT_ID:
+    for n in WRITTEN:
         row = some(audited[n])
         other = next(f for f in reversed(row.schema.fields) if not any(f.name in k for k in TABLES[n].keys))
         changed = F.when(F.col(other.name).isNull(), value(other))
         spoiled[n] = row.unionByName(row.withColumn(other.name, changed))
     rows = {(r.table_name, r[1]) for r in found(spark, monkeypatch, name, spoiled)}
-    expected = {(n, ", ".join(k)) for n in WRITTEN - WITHOUT_ID for k in TABLES[n].keys}
+    expected = {(n, ", ".join(k)) for n in WRITTEN for k in TABLES[n].keys}
     assert expected <= rows
 
 
@@ -83,3 +84,32 @@ def test_broken_checks(spark, audited, monkeypatch):
     spoiled = {**audited, **{n: some(audited[n]).withColumn(c, F.lit(None).cast(audited[n].schema[c].dataType)) for n, c in missing.items()}}
     rows = {(r.table_name, r.broken_check) for r in found(spark, monkeypatch, "audit_checks", spoiled)}
     assert {(n, f"{c}_required") for n, c in missing.items()} <= rows
+
+
+def test_each_table_is_scanned_once_and_grouped_together(spark):
+    T = {n: materialise(spark.range(50).selectExpr("id as a", "id % 7 as b", "id % 3 as c")) for n in "xy"}
+    groups = audit.key_groups([(df, [(("a",), ["b"]), (("b", "c"), ["a"]), (("c",), [])]) for df in T.values()])
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") == 1
+    rows = groups.filter("occurrences > 1").collect()
+    assert {(r.rule, r.key_value, r.occurrences) for r in rows if r.rule in (2, 5)} == {(i, str(c), 17 - (c == 2)) for i in (2, 5) for c in range(3)}
+    assert {r.rule for r in rows if r.differs} == {1, 4}
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_a_clean_child_is_not_shuffled(spark, most):
+    parent = materialise(spark.range(1000).selectExpr("(id - 500) * 3 as pid", "concat('k', id) as code", "id % 10 as part"))
+    child = spark.range(3000).selectExpr("(id % 1000 - 500) * 3 as pid", "concat('k', id % 1000) as code", "id % 10 as part")
+    lost = spark.createDataFrame([(1, "k5", 5), (1, "k1", 1), (2**62, "k2", 2), (None, "none", 3), (0, None, 4), (0, "k7", 8)], child.schema)
+    child = materialise(child.unionByName(lost))
+    references = [
+        ("by id", ["pid"], audit.key_index(parent, ["pid"], most)),
+        ("by code", ["code"], audit.key_index(parent, ["code"], most)),
+        ("by both", ["code", "part"], audit.key_index(parent, ["code", "part"], most)),
+    ]
+    found = audit.audit_references(child, references)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.reference, r.key_value, r.orphan_rows) for r in found.collect()}
+    assert got == {("by id", "1", 2), ("by id", str(2**62), 1), ("by code", "none", 1), ("by both", "none|3", 1), ("by both", "k7|8", 1)}
+    if most:
+        assert plan.count("Exchange hashpartitioning") == 1 and "partial_count" in plan  # of orphans alone
