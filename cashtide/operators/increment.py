@@ -211,7 +211,7 @@ def import_live(
     _log(spark, folder, run_id, as_of, horizon, buckets, highest)
     now = read_live(spark, folder)
     report = imports.import_report(run, staged, view_dashboard_kpi({**T, **now}, as_of, horizon))
-    return {"stg_sevdesk_invoice": staged, "etl_run": run, **now, "report": report}
+    return {"stg_sevdesk_invoice": staged, "etl_run": run, **now, "report": report}  # logs of this run, where none are kept
 
 
 def _apply(spark, folder, T, live, incoming, as_of, last, run_ts, changed_projects, changed_customers) -> int:

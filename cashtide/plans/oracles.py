@@ -60,8 +60,12 @@ def _hex(expression: str, digits: int) -> str:
 SCHEDULE_ID = "project_id * 65536 + " + _hex("milestone_code", 4)
 
 
-def _chain(s: str, project: str, invoice: str, orders: str, cost: str, before: str | None) -> dict[str, str]:
-    """The rule chain from schedule to daily cash flow over given tables."""
+def _chain(s: str, project: str, invoice: str, orders: str, cost: str, before: str | None, again: bool = False) -> dict[str, str]:
+    """The rule chain from schedule to daily cash flow over given tables; ``again`` if the
+    invoices have codes and links of an earlier run."""
+    own = " EXCLUDE (milestone_code)" if again else ""
+    code, link = ("i.milestone_code", "coalesce(n.schedule_id, c.schedule_id)") if again else ("NULL", "n.schedule_id")
+    unlinked = " EXCLUDE (schedule_id)" if again else ""
     P, I, O, C = (f"{{{n}}}" for n in (project, invoice, orders, cost))
     due = f"{{due{s}}}"
     if before is None:
@@ -83,14 +87,14 @@ SELECT {SCHEDULE_ID} AS schedule_id, project_id, milestone_code, default_due_off
 FROM {P} JOIN {{ref_milestone_type}} ON is_milestone AND part_of_split = (total_value >= 3000)""",
         f"schedule{s}": schedule,
         f"coded{s}": f"""
-SELECT i.*, CASE WHEN total_value < 3000 THEN 'SINGLE_PAYMENT' WHEN amount < 3000 THEN 'ADJUSTMENT'
+SELECT i.*{own}, CASE WHEN total_value < 3000 THEN 'SINGLE_PAYMENT' WHEN amount < 3000 THEN 'ADJUSTMENT'
   ELSE CASE row_number() OVER (PARTITION BY i.project_id ORDER BY invoice_date, invoice_number)
        WHEN 1 THEN 'STAGE_1_ROOF' WHEN 2 THEN 'STAGE_2_COMMISSIONING' ELSE 'ADJUSTMENT' END END AS milestone_code
 FROM {I} i JOIN {P} p ON p.project_id = i.project_id
 UNION ALL
-SELECT i.*, NULL FROM {I} i WHERE i.project_id NOT IN (SELECT project_id FROM {P})""",
+SELECT i.*{own}, {code} FROM {I} i WHERE i.project_id NOT IN (SELECT project_id FROM {P})""",
         f"linked{s}": f"""
-SELECT c.*, n.schedule_id FROM {{coded{s}}} c
+SELECT c.*{unlinked}, {link} AS schedule_id FROM {{coded{s}}} c
 LEFT JOIN {{schedule{s}}} n ON n.project_id = c.project_id AND n.milestone_code = c.milestone_code
       AND n.milestone_code IN (SELECT milestone_code FROM {{ref_milestone_type}} WHERE is_milestone)""",
         f"advanced{s}": f"""
@@ -247,6 +251,16 @@ UNION ALL
 SELECT invoice_id, project_id, invoice_number, invoice_date, due_date, amount, status
 FROM {arrived} WHERE invoice_number NOT IN (SELECT invoice_number FROM {invoice})""",
     **_chain("_imported", "project", "merged", "purchase_order", "cost", "schedule_before"),
+    # the same after a run of the chain before it
+    "merged_again": """
+SELECT i.invoice_id, coalesce(a.project_id, i.project_id) AS project_id, i.invoice_number,
+       coalesce(a.invoice_date, i.invoice_date) AS invoice_date, coalesce(a.due_date, i.due_date) AS due_date,
+       coalesce(a.amount, i.amount) AS amount, coalesce(a.status, i.status) AS status, milestone_code, schedule_id
+FROM {linked} i LEFT JOIN {arrived} a ON a.invoice_number = i.invoice_number
+UNION ALL
+SELECT invoice_id, project_id, invoice_number, invoice_date, due_date, amount, status, NULL, NULL
+FROM {arrived} WHERE invoice_number NOT IN (SELECT invoice_number FROM {invoice})""",
+    **_chain("_again", "project", "merged_again", "purchase_order", "cost", "advanced", again=True),
     # the chain after the calendar has moved
     "project_moved": "SELECT * REPLACE (start_date + " + MOVED + " AS start_date) FROM {project}",
     "invoice_moved": "SELECT * REPLACE (invoice_date + " + MOVED + " AS invoice_date) FROM {invoice}",
@@ -427,8 +441,16 @@ def _totals() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _count_rows(pairs: Sequence[tuple[str, str]]) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM ({sql})" for n, sql in pairs)
+def _digests(tables: dict[str, tuple[str, str]], empty: str = "~") -> str:
+    """Rows and a digest of all values for each table: a SELECT and the names of its columns."""
+    parts = []
+    for name, (sql, columns) in tables.items():
+        text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '{empty}')" for c in sorted(columns.split()))
+        value = f"CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 15) AS BIGINT)"
+        parts.append(
+            f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST(coalesce(sum({value}), 0) AS VARCHAR) AS digest FROM ({sql})"
+        )
+    return " UNION ALL ".join(parts)
 
 
 # --- audits, spelled out from the declared tables ------------------------------
@@ -642,8 +664,75 @@ PAYMENTS_OUT = """
 SELECT doc AS invoice_number, geg AS debtor_account, date AS payment_date, amount, 'Bank Transfer' AS payment_method
 FROM {posting} WHERE posting_class = 'customer_payment'"""
 
+FACT_COLUMNS = "date_key project_key customer_key cost_type_key expected_cash_in expected_cash_out net_cashflow"
+
+DIMENSIONS = {
+    "dim_date": (
+        _day_rows("{calendar}"),
+        "date_key full_date day_of_week day_of_month month_name month_num quarter year is_weekend",
+    ),
+    "dim_project": (DIM_PROJECT, "project_key project_id project_name status total_value"),
+    "dim_customer": (DIM_CUSTOMER, "customer_key customer_id customer_name city postal_code"),
+    "dim_cost_type": (DIM_COST, "cost_type_key cost_category cost_subcategory is_indirect"),
+}
+
+
+def _imported(s: str) -> str:
+    """The ten tables that an import changes, and the lines of its report."""
+    changed = {
+        **DIMENSIONS,
+        "invoice": (
+            f"SELECT *, CASE WHEN invoice_number IN (SELECT invoice_number FROM {{invoice}}) THEN 'seed' ELSE 'etl:sevdesk' END "
+            f"AS created_by FROM {{linked{s}}}",
+            "invoice_id project_id invoice_number invoice_date due_date amount status created_by milestone_code schedule_id",
+        ),
+        "payment_schedule": (
+            f"SELECT * FROM {{advanced{s}}}",
+            "schedule_id project_id milestone_code due_offset_days expected_amount status created_by",
+        ),
+        "cashflow_forecast": (f"SELECT * FROM {{forecast{s}}}", CASH.replace(",", "")),
+        "fact_daily_cashflow": (f"SELECT * FROM {{fact{s}}}", FACT_COLUMNS),
+        "stg_sevdesk_invoice": (
+            f"SELECT *, run_id * 1099511627776 + row_number AS stg_id, rejection_reason IS NULL AS is_valid, "
+            f"CASE WHEN rejection_reason IS NULL THEN '{RUN_TS}' END AS promoted_at FROM {{checked_again}}",
+            f"stg_id run_id row_number {RAW} is_valid rejection_reason promoted_at",
+        ),
+        "etl_run": (
+            RUN.replace("{checked}", "{checked_again}"),
+            "run_id source_system source_filename started_at finished_at status rows_received rows_promoted rows_rejected "
+            "error_message triggered_by",
+        ),
+    }
+    report = _report("checked_again", f"kpi{s}")
+    return f"{_digests(changed)} UNION ALL SELECT 'report', seq, text FROM ({report})"
+
+
 CASH = "project_id, forecast_date, expected_cash_in, expected_cash_out, net_cashflow, flow_source, created_by"
 
+INVOICES_OUT = """
+SELECT doc AS invoice_number, '' AS project_id, date AS invoice_date, date + 7 AS due_date, amount,
+       CASE WHEN doc IN (SELECT doc FROM {posting} WHERE posting_class = 'customer_payment') THEN 'Paid' ELSE 'Issued' END AS status
+FROM {live}"""
+
+COSTS_OUT = f"""
+SELECT date AS cost_date, amount, konto AS skr04_account,
+       CASE WHEN CAST(konto AS INT) BETWEEN 5000 AND 5499 THEN 'Direct Project' ELSE 'Operational Overhead' END AS cost_category,
+       CASE WHEN CAST(konto AS INT) BETWEEN 5000 AND 5499 THEN '' ELSE {OVERHEAD_CASE} END AS overhead_category,
+       geg AS creditor_account, {MEMO} AS memo
+FROM {{posting}} WHERE posting_class = 'expense'"""
+
+SUPPLIER_PAYMENTS_OUT = f"""
+SELECT geg AS creditor_account, date AS payment_date, amount, {MEMO} AS memo FROM {{posting}} WHERE posting_class = 'supplier_payment'"""
+
+OUTPUTS = {
+    "customers": (CUSTOMERS_OUT, "debtor_account first_name last_name company_name email street_name house_number postal_code city country"),
+    "suppliers": (SUPPLIERS_OUT, "creditor_account supplier_name payment_terms_days contact_email"),
+    "invoices_for_pipeline": (INVOICES_OUT, "invoice_number project_id invoice_date due_date amount status"),
+    "payments": (PAYMENTS_OUT, "invoice_number debtor_account payment_date amount payment_method"),
+    "costs": (COSTS_OUT, "cost_date amount skr04_account cost_category overhead_category creditor_account memo"),
+    "supplier_payments": (SUPPLIER_PAYMENTS_OUT, "creditor_account payment_date amount memo"),
+}
+
 FINAL: dict[str, str] = {
     # sources and sinks
     "source_invoice_csv": f"""
@@ -658,12 +747,8 @@ SELECT row_number, CAST(3 AS INT), raw_invoice_number, '', '', '', '', '' FROM {
     "source_ledger_csv": """
 SELECT CAST(row_number() OVER (ORDER BY line) + 1 AS BIGINT) AS line, konto, gegenkonto, soll_haben, umsatz, belegdatum,
        belegfeld1, buchungstext, CAST(NULL AS VARCHAR) AS vat, name FROM {ledger}""",
-    "source_load_tables": _count_rows(
-        [(n, f"SELECT 1 FROM {{{n}}}") for n in ("project", "invoice", "payment", "purchase_order")]
-    ),
-    "sink_csv_outputs": """
-SELECT doc AS invoice_number, geg AS debtor_account, CAST(date AS VARCHAR) AS payment_date, CAST(amount AS VARCHAR) AS amount,
-       'Bank Transfer' AS payment_method FROM {posting} WHERE posting_class = 'customer_payment'""",
+    "source_load_tables": _digests({n: (f"SELECT * FROM {{{cte}}}", " ".join(_present(n))) for n, cte in AUDITED.items()}),
+    "sink_csv_outputs": _digests(OUTPUTS, empty=""),
     "sink_snapshot": "SELECT project_id, upper(project_name) AS project_name, total_value FROM {project}",
     "sink_append_log": RUN
     + f"""
@@ -709,15 +794,7 @@ SELECT *, CASE WHEN date_key < {AS_OF_KEY} THEN project_key ELSE (SELECT max(pro
          row_number() OVER (PARTITION BY date_key < {AS_OF_KEY}
                             ORDER BY date_key, project_key NULLS FIRST, customer_key NULLS FIRST, cost_type_key NULLS FIRST) END AS fact_id
 FROM {{fact}}""",
-    "star_refresh": _count_rows(
-        [
-            ("dim_date", "SELECT * FROM {calendar}"),
-            ("dim_project", DIM_PROJECT),
-            ("dim_customer", DIM_CUSTOMER),
-            ("dim_cost_type", DIM_COST),
-            ("fact_daily_cashflow", "SELECT * FROM {fact}"),
-        ]
-    ),
+    "star_refresh": _digests({**DIMENSIONS, "fact_daily_cashflow": ("SELECT * FROM {fact}", FACT_COLUMNS)}),
     # views
     "view_cashflow_30day": "SELECT * FROM {daily}",
     "view_cost_isa_violations": ISA,
@@ -776,7 +853,8 @@ SELECT run_id, row_number AS row, raw_invoice_number AS "invoiceNumber", rejecti
 FROM {{checked}} WHERE rejection_reason IS NOT NULL""",
     "import_run_log": RUN,
     "import_report": _report("checked", "kpi"),
-    "import_run": _report("checked_again", "kpi_imported"),
+    "import_run": _imported("_imported"),
+    "import_increment": _imported("_again"),
     # ledger
     "ledger_parse": "SELECT line, amount, amount IS NULL AS quarantined, doc, text, name FROM {posting}",
     "ledger_date": "SELECT l.line, l.belegdatum, p.date FROM {ledger} l JOIN {posting} p ON p.line = l.line",
@@ -784,19 +862,10 @@ FROM {{checked}} WHERE rejection_reason IS NOT NULL""",
     "ledger_classify": "SELECT line, konto, account_class, posting_class FROM {posting}",
     "ledger_storno_match": "SELECT * FROM {storno}",
     "ledger_live_invoices": "SELECT line, doc, geg, amount, date FROM {live}",
-    "ledger_invoices_out": """
-SELECT doc AS invoice_number, '' AS project_id, date AS invoice_date, date + 7 AS due_date, amount,
-       CASE WHEN doc IN (SELECT doc FROM {posting} WHERE posting_class = 'customer_payment') THEN 'Paid' ELSE 'Issued' END AS status
-FROM {live}""",
+    "ledger_invoices_out": INVOICES_OUT,
     "ledger_payments_out": PAYMENTS_OUT,
-    "ledger_costs_out": f"""
-SELECT date AS cost_date, amount, konto AS skr04_account,
-       CASE WHEN CAST(konto AS INT) BETWEEN 5000 AND 5499 THEN 'Direct Project' ELSE 'Operational Overhead' END AS cost_category,
-       CASE WHEN CAST(konto AS INT) BETWEEN 5000 AND 5499 THEN '' ELSE {OVERHEAD_CASE} END AS overhead_category,
-       geg AS creditor_account, {MEMO} AS memo
-FROM {{posting}} WHERE posting_class = 'expense'""",
-    "ledger_supplier_payments_out": f"""
-SELECT geg AS creditor_account, date AS payment_date, amount, {MEMO} AS memo FROM {{posting}} WHERE posting_class = 'supplier_payment'""",
+    "ledger_costs_out": COSTS_OUT,
+    "ledger_supplier_payments_out": SUPPLIER_PAYMENTS_OUT,
     "ledger_debtor_names": "SELECT debtor_account, name FROM {debtor}",
     "ledger_creditor_names": "SELECT creditor_account, name FROM {creditor}",
     "ledger_customers_out": CUSTOMERS_OUT,
@@ -856,9 +925,13 @@ SELECT customer_id AS customer_key, customer_id,
 FROM (SELECT customer_id, first_name || ' ' || last_name AS customer_name, city, postal_code FROM {{customer_rec}})""",
     "rebase_dates": "SELECT * FROM {daily_moved}",
     "rebase_report": f"""
-SELECT {MOVED} AS "shiftDays", (SELECT count(*) FROM {{project}}) AS project, (SELECT count(*) FROM {{purchase_order}}) AS purchase_order,
+SELECT {MOVED} AS "shiftDays", 'newest purchase order sits 3 days before today' AS "anchorRule",
+       (SELECT count(*) FROM {{project}}) AS project, (SELECT count(*) FROM {{purchase_order}}) AS purchase_order,
        (SELECT count(*) FROM {{cost}}) AS cost, (SELECT count(*) FROM {{invoice}}) AS invoice, (SELECT count(*) FROM {{payment}}) AS payment,
-       (SELECT CAST(count(*) AS INT) FROM {{daily_moved}} WHERE cumulative_position < 10000) AS alert_days""",
+       (SELECT coalesce(string_agg(full_date || ' ' || cumulative_position || ' ' ||
+                 CASE WHEN cumulative_position < 0 THEN 'NEGATIVE' ELSE 'BELOW_BUFFER' END, ', ' ORDER BY full_date), '')
+        FROM {{daily_moved}} WHERE cumulative_position < 10000) AS alerts, k.*
+FROM {{kpi_moved}} k""",
     # audits
     "audit_keys": _audit_keys(),
     "audit_foreign_keys": _audit_references(),

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtide.functions.numbers import without_spaces
-from cashtide.operators import audit, imports, ledger, mutate, privacy, rebase, rules, star, storno, views
+from cashtide.operators import audit, imports, increment, ledger, mutate, privacy, rebase, rules, star, storno, views
 from cashtide.operators.pipeline import rule_pipeline
-from cashtide.plans.derived import AS_OF, LEDGER_YEAR, RUN_TS, SALT, Derived
+from cashtide.plans.derived import AS_OF, DOMAIN_TABLES, LEDGER_YEAR, RUN_TS, SALT, Derived
 from cashtide.schemas import TABLES
 from cashtide.session import materialise, scratch_path
 from cashtide.sources import readers, writers
@@ -32,8 +32,9 @@ def query(function: Callable[[Derived], DataFrame]) -> Query:
 # --- shared stages -----------------------------------------------------------
 
 
-# Tables that single stages read, so that the others are not planned.
+# Tables that single stages read, so that the others are not planned, and the outputs of a transform.
 RULED = ("project", "invoice", "ref_milestone_type")
+TRANSFORMED = ("customers", "suppliers", "invoices_for_pipeline", "payments", "costs", "supplier_payments")
 WATCHED = ("purchase_order", "supplier", "project", "ref_order_status")
 
 
@@ -118,6 +119,21 @@ def as_text(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
 
 
+def digests(frames: dict[str, DataFrame], empty: str = "~") -> DataFrame:
+    """Per table its rows and a digest of all values of all columns, whatever the order of rows;
+    ``empty`` stands for missing values."""
+    parts = []
+    for name, df in frames.items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(empty)) for c in sorted(df.columns)])
+        value = F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 15), 16, 10).cast("decimal(38,0)")
+        row = df.select(value.alias("v")).agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("v"), F.lit(0)).cast("string").alias("digest"))
+        parts.append(row.select(F.lit(name).alias("table_name"), "row_count", "digest"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -155,28 +171,25 @@ def source_ledger_csv(d: Derived) -> DataFrame:
 
 @query
 def source_load_tables(d: Derived) -> DataFrame:
+    """All values of every table, written and loaded again, and of the built-in domains."""
     path = scratch_path(d.spark, "tables")
-    T = d.tables()
-    names = ["project", "invoice", "payment", "purchase_order"]
-    for name in names:
-        T[name].write.parquet(f"{path}/{name}")
-    loaded = readers.load_tables(d.spark, path, names)
-    rows = [
-        loaded[n].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
-        for n in names
-    ]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    T = {**{name: d[block] for name, block in DOMAIN_TABLES.items()}, "product": d["product"], "project_product": d["project_product"]}
+    for name, df in T.items():
+        df.write.parquet(f"{path}/{name}")
+    loaded = readers.load_tables(d.spark, path, T)
+    return digests({name: df.select(*T[name].columns) if name in T else df for name, df in loaded.items()})
 
 
 @query
 def sink_csv_outputs(d: Derived) -> DataFrame:
+    """All values of the six outputs of a transform, as read back from their files."""
     path = scratch_path(d.spark, "outputs")
-    writers.write_csv_outputs({"payments": ledger.ledger_payments_out(classified(d))}, path)
-    schema = "invoice_number string, debtor_account string, payment_date string, amount string, payment_method string"
-    return d.spark.read.csv(f"{path}/payments", header=True, schema=schema)
+    done = ledger.ledger_transform(d["ledger"], LEDGER_YEAR, SALT)
+    outputs = {name: done[name] for name in TRANSFORMED}
+    writers.write_csv_outputs(outputs, path)
+    options = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False}
+    text = {name: ", ".join(f"{c} string" for c in df.columns) for name, df in outputs.items()}
+    return digests({name: d.spark.read.options(**options).csv(f"{path}/{name}", schema=text[name]) for name in outputs}, empty="")
 
 
 @query
@@ -333,14 +346,9 @@ def star_fact(d: Derived) -> DataFrame:
 
 @query
 def star_refresh(d: Derived) -> DataFrame:
-    """Rows per refreshed table."""
+    """All values of the refreshed tables."""
     T = starred(d)
-    names = ["dim_date", "dim_project", "dim_customer", "dim_cost_type", "fact_daily_cashflow"]
-    out = None
-    for name in names:
-        row = T[name].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return digests({name: T[name] for name in ("dim_date", "dim_project", "dim_customer", "dim_cost_type", "fact_daily_cashflow")})
 
 
 # --- views and dashboard -----------------------------------------------------
@@ -462,14 +470,32 @@ def import_report(d: Derived) -> DataFrame:
     return imports.import_report(run_log(d, staged), staged, views.view_dashboard_kpi(starred(d), AS_OF))
 
 
+def before_import(d: Derived) -> dict[str, DataFrame]:
+    T = with_past(d, d.tables())
+    return {**T, "invoice": T["invoice"].withColumn("created_by", F.lit("seed")), "payment_schedule": d["schedule_before"]}
+
+
+def imported(done: dict[str, DataFrame]) -> DataFrame:
+    """All values of the ten tables that an import changes, and of its report."""
+    changed = digests({name: done[name] for name in increment.LIVE})
+    report = done["report"].select(F.lit("report").alias("table_name"), F.col("seq").alias("row_count"), F.col("text").alias("digest"))
+    return changed.unionByName(report)
+
+
 @query
 def import_run(d: Derived) -> DataFrame:
-    """A batch through the whole import; the report of the run."""
-    T = with_past(d, d.tables())
-    T["invoice"] = T["invoice"].withColumn("created_by", F.lit("seed"))
-    T["payment_schedule"] = d["schedule_before"]
-    done = imports.import_run(T, batch(d, "rerun_staging"), AS_OF, RUN_TS, "batch.csv", "tester")
-    return done["report"]
+    """A batch through the whole import."""
+    return imported(imports.import_run(before_import(d), batch(d, "rerun_staging"), AS_OF, RUN_TS, "batch.csv", "tester"))
+
+
+@query
+def import_increment(d: Derived) -> DataFrame:
+    """The same batch into tables that were laid out after a run of the chain: only partitions
+    that it touches are read and written."""
+    folder = scratch_path(d.spark, "live")
+    T = before_import(d)
+    increment.create_live(T, folder, AS_OF, RUN_TS, buckets=32)
+    return imported(increment.import_live(folder, T, batch(d, "rerun_staging"), AS_OF, RUN_TS, "batch.csv", "tester"))
 
 
 # --- ledger ------------------------------------------------------------------
@@ -631,11 +657,15 @@ def rebase_report(d: Derived) -> DataFrame:
     """The report of moving the calendar, its numbers as rows."""
     _, report = rebase.rebase_dates(with_past(d, d.tables()), AS_OF)
     shape = (
-        "shiftDays int, rowsShifted struct<project: bigint, purchase_order: bigint, cost: bigint, invoice: bigint, "
-        "payment: bigint>, liquidityAlerts array<struct<date: date, position: decimal(32,2), status: string>>"
+        "shiftDays int, anchorRule string, rowsShifted struct<project: bigint, purchase_order: bigint, cost: bigint, invoice: bigint, "
+        "payment: bigint>, liquidityAlerts array<struct<date: date, position: decimal(32,2), status: string>>, kpiAfterRebase struct<"
+        + ", ".join(f"{c}: {'bigint' if c in ('active_projects', 'days_negative_next_30') else 'decimal(32,2)'}" for c in views.KPI_COLUMNS)
+        + ">"
     )
     read = report.select(F.from_json("report", shape).alias("r"))
-    return read.select("r.shiftDays", "r.rowsShifted.*", F.size("r.liquidityAlerts").alias("alert_days"))
+    alert = F.transform("r.liquidityAlerts", lambda a: F.concat_ws(" ", a["date"].cast("string"), a["position"].cast("string"), a["status"]))
+    alerts = F.array_join(alert, ", ").alias("alerts")
+    return read.select("r.shiftDays", "r.anchorRule", "r.rowsShifted.*", alerts, "r.kpiAfterRebase.*")
 
 
 # --- audits ------------------------------------------------------------------
