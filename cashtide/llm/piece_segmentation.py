@@ -2,15 +2,18 @@
 
 A text becomes one line of letters: a word mark in front and for every space.  The lattice
 over it has an arc for every piece of the model that fits and, where no piece of a single
-letter does, one for the letter's bytes.  A segmentation's score is the sum of its pieces'
-scores, which are whole numbers, so sums are exact.
+letter does, one for the letter's bytes.  A segmentation's score is the sum of its pieces' scores, their
+logarithms of probability in units of 1/``UNIT``: whole numbers, so that sums are exact.  A
+model of merges has ranks instead of probabilities; those come from the corpus then, as the
+shares of pieces in the library's own segmentation of all words, counted in a first pass.
 
 The forward pass keeps the best score up to every place.  Read from the end, these scores
 are the exact cost of what remains, so that the backward A* search expands only what
 belongs to one of the n best segmentations and meets them in order.
 
-No piece crosses from a letter into a word mark or into a line break, so the lattice falls
-into segments.  Segments are solved once per batch wherever they occur.  The n best of a
+No piece goes on from a word or line into the next (a model that has one is refused; the
+carriage returns that end pieces belong to the word before them), so the lattice falls into
+segments.  Segments are solved once per batch wherever they occur.  The n best of a
 text combine the n best of its segments: a segment whose second best loses more than n - 1
 others do can't change among them, so at most n - 1 segments are searched per text.
 
@@ -27,27 +30,31 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cashtide.llm.common import id_and_text
 
 MARK = "▁"
 N_BEST = 4
-UNKNOWN_PENALTY = 10  # a letter without a piece scores this much below the worst piece
+UNIT = 10_000
+UNKNOWN_PENALTY = 10 * UNIT  # a letter without a piece scores this much below the worst piece
 REMEMBERED = 800_000  # segments a task knows at a time
-_SEGMENT = re.compile(r"[\n\t\r\f\v]+| *[^ \n\t\r\f\v]+| +")
-_NEVER = -(10**15)
+_SEGMENT = re.compile(r"[\n\t\f\v]+| *[^ \n\t\r\f\v]*\r+| *[^ \n\t\r\f\v]+| +")
+_NEVER = -(10**17)
 
 
 class Lattice:
     """Pieces with their scores, and the searches over one segment."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, scores: Sequence[int] | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -63,8 +70,10 @@ class Lattice:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.spelled.append(b"")
             else:
-                score = round(model.get_score(i))
-                worst = min(worst, score) if score > -(10**8) else worst
+                if len(_SEGMENT.findall(piece.replace(MARK, " "))) > 1:
+                    raise ValueError(f"the piece {piece!r} goes on in another word or line")
+                score = round(UNIT * model.get_score(i)) if scores is None else scores[i]
+                worst = min(worst, score) if score > -(10**8) * UNIT else worst
                 node = self.root
                 for letter in piece:
                     node = node.setdefault(letter, {})
@@ -201,8 +210,8 @@ def _combined(options: list[list[int]], n: int) -> list[tuple[int, tuple[int, ..
 
 
 class Encoder:
-    def __init__(self, model_file: str, n: int):
-        self.lattice, self.n = Lattice(model_file), n
+    def __init__(self, model_file: str, n: int, scores: Sequence[int] | None = None):
+        self.lattice, self.n = Lattice(model_file, scores), n
         self.known: dict[str, tuple[bytes, int, int]] = {}
 
     def _best(self, segment: str) -> tuple[bytes, int, int]:
@@ -250,10 +259,46 @@ class Encoder:
         return out
 
 
+def piece_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+    """The score of every piece: its share in the library's segmentation of the words of all
+    texts, one added to each count, as a logarithm in units of 1/``UNIT``.
+
+    Only counts per piece come to the driver, as many as the vocabulary has.  A model with
+    probabilities of its own keeps them.
+    """
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    size = model.get_piece_size()
+    if any(model.get_score(i) % 1 for i in range(size)):
+        return [round(UNIT * model.get_score(i)) for i in range(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                words = pc.ascii_split_whitespace(batch.column(1).slice(at, 4096).cast(pa.large_string()))
+                words = words.flatten().dictionary_encode()
+                times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                found = own.encode(words.dictionary.to_pylist(), num_threads=1)
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+                total += np.bincount(ids, np.repeat(times, sizes), size).astype(np.int64)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+
+    rows = id_and_text(docs, id_col, text_col).mapInArrow(run, "id bigint, n bigint")
+    counts = np.ones(size, np.int64)
+    for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r.id] += r.n
+    return np.round(UNIT * (np.log(counts) - np.log(counts.sum()))).astype(np.int64).tolist()
+
+
 @lru_cache(maxsize=1)
-def _encoder(model_file: str, n: int) -> Encoder:
+def _encoder(model_file: str, n: int, scores: tuple[int, ...]) -> Encoder:
     """One for all tasks of a worker process, with the segments it knows."""
-    return Encoder(model_file, n)
+    return Encoder(model_file, n, scores)
 
 
 SCHEMA = (
@@ -268,12 +313,13 @@ def encode_pieces(
 ) -> DataFrame:
     """Per row: pieces and score of the best segmentation, its ``ids``, the ``n_best`` with what
     each changes, the CRC-32 of the ids as 32-bit numbers, and whether decoding them gives
-    the text.  ``model_file`` is read where the tasks run; no shuffle."""
+    the text.  ``model_file`` is read where the tasks run; no text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(piece_scores(docs, model_file, id_col, text_col)))
     change = pa.struct([("segment", pa.int32()), ("ids", pa.list_(pa.int32()))])
     best = pa.list_(pa.struct([("score", pa.int64()), ("changes", pa.list_(change))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model_file, n_best)
+        encoder = _encoder(model_file, n_best, shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

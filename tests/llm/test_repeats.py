@@ -164,3 +164,10 @@ def test_classes_of_odd_rows(spark):
     assert [r.class_id for r in found if r.doc_id is None] == [None] and all(r.kept for r in found if r.doc_id is None)
     assert {r.class_id for r in found if r.doc_id == 2} == {1} and {r.class_id for r in found if r.doc_id == 4} == {4}
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_all_pairs_of_documents_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = plain_classes([tuple(r) for r in docs.collect()])
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == want
+    assert len(set(want.values())) < len(want)

@@ -4,14 +4,16 @@ import collections
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from corpus_pipeline import personal_data
 from pyspark.sql import functions as F
 
 from cashtide.llm.decontaminate import find_contamination
 from cashtide.llm.personal_data import BASE, find_personal_data, personal_data_digest, redacted, written
-from cashtide.llm.piece_segmentation import Encoder, Lattice, decode_pieces, encode_pieces
+from cashtide.llm.piece_segmentation import Encoder, Lattice, decode_pieces, encode_pieces, piece_scores
 from cashtide.llm.quality_rules import fit_rules, judge_quality, text_statistics
 from cashtide.llm.token_counts import LongestMatch, token_counts
 
@@ -248,10 +250,15 @@ def every_segmentation(lattice, text):
     return sorted(out, key=lambda x: -x[0])
 
 
-def test_n_best_segmentations_are_those_of_all(spark):
-    lattice, encoder, draw = Lattice(PIECES), Encoder(PIECES, 4), random.Random(3)
+@pytest.mark.parametrize("estimated", [False, True])
+def test_n_best_segmentations_are_those_of_all(spark, estimated):
+    scores = None
+    if estimated:
+        scores = piece_scores(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), PIECES)
+    lattice, encoder, draw = Lattice(PIECES, scores), Encoder(PIECES, 4, scores), random.Random(3)
+    letters = ["a", "n", " ", "  ", "the", "\n", "é", "▁", "漢", ";\r", "\r", ")", "\t"]
     for _ in range(150):
-        text = "".join(draw.choice(["a", "n", " ", "  ", "the", "\n", "é", "▁", "漢"]) for _ in range(draw.randint(0, 7)))
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 7)))
         every = every_segmentation(lattice, " " + text) if text else [(0, ())]
         assert [s for s, _ in lattice.n_best(" " + text, 4)] == [s for s, _ in every[:4]] or not text
         ((ids, score, found),) = list(encoder.encode([text]))
@@ -259,6 +266,23 @@ def test_n_best_segmentations_are_those_of_all(spark):
         assert lattice.decode(ids).decode() == text
 
 
+def test_most_words_are_split_as_by_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    counts = collections.Counter(w for r in docs.select("text").collect() for w in (r.text or "").split())
+    total = np.ones(library.get_piece_size(), np.int64)
+    for word, n in counts.items():
+        np.add.at(total, library.encode(word), n)
+    scores = piece_scores(docs, PIECES)
+    assert scores == np.round(10_000 * (np.log(total) - np.log(total.sum()))).astype(int).tolist()
+    share = []
+    for estimated in (None, scores):
+        encoder = Encoder(PIECES, 1, estimated)
+        same = [n * (next(iter(encoder.encode([w])))[0].tolist() == library.encode(w)) for w, n in counts.items()]
+        share.append(sum(same) / sum(counts.values()))
+    assert share[1] > 0.75 and share[1] > share[0] + 0.2
+
+
 def test_pieces_round_trip(spark, odd):
     encoded = encode_pieces(odd, PIECES)
     rows = encoded.collect()
