@@ -326,3 +326,41 @@ def near_duplicates(
         F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
         (F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id"))).alias("kept"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of near duplicates, the one with the least id.
+
+    If an id has several texts, each of them is a document of its own, known by the id and 128
+    bits of the text, and numbered; of texts with the least id that with the least digest
+    stays.  Of repeated rows one stays; rows without an id all do.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup-rows")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(f"`{id_col}`").cast("bigint").alias("_id"),
+        text.alias("_text"),
+        *[F.xxhash64(F.lit(i), text).alias(f"_h{i}") for i in (1, 2)],
+    )
+    name = ["_id", "_h1", "_h2"]
+    digest = F.struct("_h1", "_h2")
+    ids = rows.filter("_id is not null").groupBy("_id").agg(F.min(digest).alias("a"), F.max(digest).alias("z"))
+    if ids.filter("a <> z").isEmpty():
+        rows = rows.withColumn("_unit", F.col("_id"))
+    else:
+        units = rows.filter("_id is not null").select(*name).distinct().withColumn("_unit", F.monotonically_increasing_id())
+        rows = rows.join(scratch.store(units), name, "left")
+    found = near_duplicates(rows, id_col="_unit", text_col="_text")
+    found = scratch.store(found.selectExpr("doc_id as _unit", "class_id", "class_size"))
+    several = scratch.store(found.filter("class_size > 1").select("_unit", "class_id").distinct())
+    named = several.join(rows.select("_unit", *name).distinct(), "_unit")
+    first = scratch.store(named.groupBy("class_id").agg(F.min(F.struct(*name, "_unit")).alias("first")).select("first._unit"))
+    gone = scratch.store(several.join(first, "_unit", "left_anti").select("_unit"))
+    kept = rows.select("_row", "_unit").join(gone, "_unit", "left_anti")
+    repeated = found.filter("_unit is not null").groupBy("_unit").agg(F.count("*").alias("n")).filter("n > 1").select("_unit")
+    repeated = scratch.store(repeated.join(gone, "_unit", "left_anti"))
+    if repeated.isEmpty():
+        return kept.select("_row.*")
+    once = kept.join(repeated, "_unit", "left_anti").select("_row.*")
+    return once.unionByName(kept.join(repeated, "_unit", "left_semi").dropDuplicates(["_unit"]).select("_row.*"))
