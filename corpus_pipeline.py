@@ -21,12 +21,12 @@ whatever their names; ``n_chars``, where there is one, follows the text.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtide.llm.common import Scratch
 from cashtide.llm.decontaminate import find_contamination
-from cashtide.llm.near_dedup import near_duplicates
+from cashtide.llm.near_dedup import keep_one_of_each
 from cashtide.llm.personal_data import find_personal_data, redacted
 from cashtide.llm.piece_segmentation import encode_pieces
 from cashtide.llm.quality_rules import fit_rules, judge_quality, text_statistics
@@ -61,56 +61,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id.
-
-    If an id has several texts, each of them is a document of its own, known by a digest of
-    both; of its rows, one passes.
-    """
-    spark = configure(spark)
-    scratch = Scratch(spark, "pipeline")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("z"))
-    if ids.filter("a <> z").isEmpty():
-        unit = F.col("doc_id")
-        found = scratch.store(near_duplicates(docs).selectExpr("doc_id as _unit", "kept"))
-    else:
-        unit = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text))
-        found = scratch.store(_judged_by_unit(scratch, docs.select(unit.alias("_unit"), "doc_id", "text")))
-    gone = scratch.store(found.filter("not kept").select("_unit").distinct())
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(gone, unit == gone["_unit"], "left_anti").select(*columns)
-    repeated = scratch.store(found.filter("kept and _unit is not null").groupBy("_unit").count().filter("count > 1").select("_unit"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, unit == repeated["_unit"], "left_anti").select(*columns)
-    several = _as_row(kept.join(repeated, unit == repeated["_unit"], "left_semi")).withColumn("text", text)
-    return once.unionByName(several.dropDuplicates(["doc_id", "text"]).select("_row.*"))
-
-
-def _judged_by_unit(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """Per row its unit, and whether it has the least id of its class, and of several texts
-    of that id the one with the least digest."""
-    found = scratch.store(near_duplicates(docs, id_col="_unit").selectExpr("doc_id as _unit", "class_id", "class_size"))
-    several = scratch.store(found.filter("class_size > 1").select("_unit", "class_id").distinct())
-    named = several.join(docs.select("_unit", "doc_id").distinct(), "_unit")
-    first = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "_unit")).alias("first"))
-    gone = several.join(first.select("first._unit"), "_unit", "left_anti").withColumn("kept", F.lit(False))
-    judged = found.select("_unit").join(gone.select("_unit", "kept"), "_unit", "left")
-    return judged.select("_unit", F.coalesce("kept", F.lit(True)).alias("kept"))
+    """One document of each class of near duplicates, the one with the least id."""
+    configure(spark)
+    return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a test item.
 
-    The verdict depends on the text alone, so it is looked up by a digest of the text; the
-    digests that go are few and meet the documents in one join.
+    The verdict depends on the text alone, so it is looked up by a digest of the text: texts
+    whose first 64 bits are those of a hit are judged once more by their second ones.  The
+    pairs of digests that go are few and meet the documents in one join.
     """
     spark = configure(spark)
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select(digest.alias("doc_id"), F.col("text"))
-    found = find_contamination(texts, _table(spark, sf_dir, "benchmark"))
-    gone = Scratch(spark, "pipeline").store(found.filter("n_hit > 0").select(F.col("doc_id").alias("_digest")).distinct())
-    return docs.join(gone, digest == F.col("_digest"), "left_anti")
+    scratch, benchmark = Scratch(spark, "pipeline"), _table(spark, sf_dir, "benchmark")
+    digests = [F.xxhash64(F.lit(i), F.coalesce(F.col("text"), F.lit(""))) for i in (1, 2)]
+
+    def hit(rows: DataFrame, digest: Column, name: str) -> DataFrame:
+        found = find_contamination(rows.select(digest.alias("doc_id"), "text"), benchmark)
+        return scratch.store(found.filter("n_hit > 0").select(F.col("doc_id").alias(name)).distinct())
+
+    first = hit(docs, digests[0], "_first")
+    texts = scratch.store(docs.select("text").join(first, digests[0] == F.col("_first"), "left_semi"))
+    second = hit(texts, digests[1], "_second")
+    gone = texts.select(digests[0].alias("_first"), digests[1].alias("_second")).join(second, "_second", "left_semi")
+    gone = scratch.store(gone.distinct())
+    return docs.join(gone, (digests[0] == F.col("_first")) & (digests[1] == F.col("_second")), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
