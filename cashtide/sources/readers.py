@@ -11,7 +11,7 @@ from cashtide.functions.numbers import without_spaces
 from cashtide.operators.imports import RAW_FIELDS
 from cashtide.schemas import TABLES
 from cashtide.seeds import reference_domains
-from cashtide.sources.numbering import number_lines
+from cashtide.sources.numbering import file_splits, not_blank, number_lines, number_whole_files
 
 # The ledger columns that are read, by their name in the file.
 LEDGER_COLUMNS = {
@@ -31,17 +31,29 @@ LEDGER_COLUMNS = {
 DIALECT = {"quote": '"', "escape": '"'}
 
 
-def _file_headers(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[tuple[str, list[str]]]:
-    """The header fields of every file of a path, one row per file, without blank ones at the end."""
-    # The first line is in the first block of a file, and in front of its other lines.
-    lines = (
-        spark.read.text(path)
-        .filter(F.col("_metadata.file_block_start") == 0)
-        .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("_n"))
+MOST_HEADERS = 100  # different first lines that are parsed and compared
+
+
+def _headers(spark: SparkSession, splits: DataFrame, sep: str) -> list[tuple[str, list[str]]]:
+    """The different first lines of files as fields, each with a file that has it.
+
+    Files are compared where their lines were counted; only lines that differ come here.
+    """
+    first = splits.filter("_start = 0").groupBy("_head").agg(F.min("_path").alias("path"))
+    found = first.orderBy("path").take(MOST_HEADERS + 1)
+    if len(found) > MOST_HEADERS:
+        raise ValueError(f"the files have more than {MOST_HEADERS} different headers")
+    return [(r.path, _fields(spark, r["_head"], sep)) for r in found]
+
+
+def _whole_headers(spark: SparkSession, path: str, sep: str) -> list[tuple[str, list[str]]]:
+    """The same for files whose header may go on in the next line: one header per file."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("_n")
     )
     first = {r.path: r.value for r in lines.groupBy("path").agg(F.min_by("value", "_n").alias("value")).collect()}
     n = 1
-    while multi_line and (unfinished := [p for p, text in first.items() if text.count('"') % 2]):
+    while unfinished := [p for p, text in first.items() if text.count('"') % 2]:
         # A quoted field goes on in the next line.
         n *= 16
         place = F.row_number().over(Window.partitionBy("path").orderBy("_n"))
@@ -79,14 +91,15 @@ def read_invoice_csv(spark: SparkSession, path: str, sep: str = ",", multi_line:
     A header other than the six names in their order is an error, in any file of a folder.
     ``multi_line`` allows line breaks inside quoted fields; each file is one task then.
     """
-    for file, header in _file_headers(spark, path, sep, multi_line):
+    splits = None if multi_line else file_splits(spark, path)
+    for file, header in _whole_headers(spark, path, sep) if multi_line else _headers(spark, splits, sep):
         if header != RAW_FIELDS:
             raise ValueError(f"expected the header {','.join(RAW_FIELDS)}, found {','.join(header)} in {file}")
     schema = ", ".join(f"{c} string" for c in RAW_FIELDS)
     rows = spark.read.options(**DIALECT).csv(
         path, schema=schema, header=True, sep=sep, enforceSchema=True, multiLine=multi_line
     )
-    return number_lines(rows, "row_number", 2)
+    return number_whole_files(rows, "row_number", 2) if multi_line else number_lines(rows, splits, "row_number", 2)
 
 
 def read_invoice_json(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -130,12 +143,14 @@ def read_ledger_csv(
         if multi_line:
             raise ValueError("lines can't be skipped in files whose fields have line breaks")
         return _ledger_columns(_after_preamble(spark, path, sep, skip_lines), "line")
-    headers = _file_headers(spark, path, sep, multi_line)
+    splits = None if multi_line else file_splits(spark, path)
+    headers = _whole_headers(spark, path, sep) if multi_line else _headers(spark, splits, sep)
     if len({tuple(h) for _, h in headers}) > 1:
         raise ValueError(f"the files of {path} have different headers")
     rows = spark.read.options(**DIALECT).csv(path, header=True, sep=sep, encoding="UTF-8", multiLine=multi_line)
-    rows = rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
-    return number_lines(_ledger_columns(rows), "line", 2).select("line", *LEDGER_COLUMNS)
+    columns = [c.lstrip("\ufeff").strip() for c in rows.columns]
+    numbered = number_whole_files(rows, "_line", 2) if multi_line else number_lines(rows, splits, "_line", 2)
+    return _ledger_columns(numbered.toDF(*columns, "line"), "line").select("line", *LEDGER_COLUMNS)
 
 
 def _ledger_columns(rows: DataFrame, *more: str) -> DataFrame:
@@ -151,8 +166,7 @@ def _ledger_columns(rows: DataFrame, *more: str) -> DataFrame:
 
 def _after_preamble(spark: SparkSession, path: str, sep: str, skip_lines: int) -> DataFrame:
     """Rows of a CSV whose header is not on the first line."""
-    text = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    numbered = number_lines(text, "_text_line", 1)
+    numbered = number_lines(spark.read.text(path).filter(not_blank()), file_splits(spark, path), "_text_line", 1, header=False)
     header = numbered.filter(F.col("_text_line") == skip_lines + 1).select("value").first()[0]
     options = {"sep": sep, **DIALECT}
     names_schema = spark.range(1).select(F.schema_of_csv(F.lit(header), options).alias("s")).first()[0]
