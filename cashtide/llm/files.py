@@ -6,6 +6,7 @@ import re
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ def open_range(uri: str):
         yield file
 
 
+def mapped(uri: str) -> pa.Buffer:
+    """The bytes of a file: mapped where the folder is part of the file system, else read."""
+    system, path = _place(uri)
+    if isinstance(system, fs.LocalFileSystem):
+        with pa.memory_map(path) as file:
+            return file.read_buffer()
+    with system.open_input_file(path) as file:
+        return file.read_buffer()
+
+
 def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """``path`` and ``length`` of the files of a folder; their content is not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)

@@ -67,7 +67,7 @@ def plain_hits(text, windows):
     return len(words), len(hit), items
 
 
-@pytest.mark.parametrize("automaton_bytes", [4_000_000, 400])
+@pytest.mark.parametrize("automaton_bytes", [4_000_000, 60])
 def test_contamination_matches_a_search_for_every_window(spark, monkeypatch, automaton_bytes):
     monkeypatch.setattr("cashtide.llm.decontaminate.AUTOMATON_BYTES", automaton_bytes)
     draw = random.Random(2)
@@ -95,6 +95,32 @@ def test_contamination_matches_a_search_for_every_window(spark, monkeypatch, aut
         assert covered == r.n_hit
 
 
+def test_a_benchmark_of_ten_megabytes_is_one_automaton(spark):
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(20_000)]
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(150))) for i in range(11_000)]
+    assert sum(len(t) for _, t in items) > 10_000_000
+    planted = {i: draw.randrange(len(items)) for i in range(0, 60, 3)}
+    docs = []
+    for i in range(60):
+        words = [draw.choice(vocabulary) for _ in range(300)]
+        if i in planted:
+            words[100:100] = items[planted[i]][1].split()[40 : 40 + 10 + i]
+        docs.append((i, " ".join(words)))
+    found = find_contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in found.collect()}
+    assert got == {i: (10 + i, [str(planted[i])]) if i in planted else (0, []) for i in range(60)}
+
+
+def test_patterns_of_one_word_and_very_long_texts(spark):
+    items = [(1, "one"), (2, "two two"), (3, "a b c d e f g h i j k"), (4, "j"), (None, "solo")]
+    long = "a b c d e f g h i j k " * 20_000
+    docs = [(1, "One, two! two two"), (2, long), (3, "solo one" + " x" * 100_000), (4, "two"), (5, "j")]
+    found = find_contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found.collect()}
+    assert got == {1: (4, 4, ["1", "2"]), 2: (220_000, 220_000, ["3", "4"]), 3: (100_002, 2, ["1"]), 4: (1, 0, []), 5: (1, 1, ["4"])}
+
+
 def test_contamination_without_items_or_documents(spark, odd):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in find_contamination(odd, empty).collect()} == {0}
