@@ -166,7 +166,9 @@ def _forecast(T: Tables, before: DataFrame, schedule: DataFrame, others: DataFra
         fresh = fresh.unionByName(part)
     window = F.col("forecast_date").between(F.lit(as_of), F.lit(min(covered, until)))
     kept = before.filter(window & F.col("project_id").isNotNull()).join(ids, "project_id", "left_anti")
-    return kept.select(*before.columns).unionByName(rules.shaped_like(fresh, before, run_ts, "forecast_id", rules.FORECAST_COLUMNS))
+    kept = kept.select(*before.columns)
+    stays = before.filter(F.col("forecast_date") < F.lit(as_of)).unionByName(kept)
+    return kept.unionByName(rules.shaped_like(fresh, before, run_ts, "forecast_id", rules.FORECAST_COLUMNS, stays))
 
 
 def import_live(
@@ -275,7 +277,9 @@ def _apply(spark, folder, T, live, incoming, as_of, last, run_ts, changed_projec
         "dim_cost_type": live["dim_cost_type"].unionByName(kinds),
     }
     fact = star.star_fact({**T, **dims, "cashflow_forecast": forecast}, as_of, horizon)
-    fact = materialise(rules.shaped_like(fact, live["fact_daily_cashflow"], None, "fact_id", star.FACT_KEYS))
+    before = live["fact_daily_cashflow"]
+    fact = rules.shaped_like(fact, before, None, "fact_id", star.FACT_KEYS, before.filter(F.col("date_key") < _key_of(as_of)))
+    fact = materialise(fact)
 
     found = invoice.select(*INDEX_COLUMNS).join(incoming.select("invoice_number"), "invoice_number", "left_semi")
     index = materialise(upsert(index, found, ["invoice_number"], ["project_id"], unique=True))

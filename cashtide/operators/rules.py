@@ -332,20 +332,28 @@ def rule_forecast(
     past = T.get("cashflow_forecast")
     if past is None:
         return fresh
-    return replace_from_date(past, shaped_like(fresh, past, run_ts, "forecast_id", FORECAST_COLUMNS), "forecast_date", as_of)
+    stays = past.filter(F.col("forecast_date") < F.lit(as_of))
+    fresh = shaped_like(fresh, past, run_ts, "forecast_id", FORECAST_COLUMNS, stays)
+    return replace_from_date(past, fresh, "forecast_date", as_of)
 
 
 def shaped_like(
-    fresh: DataFrame, past: DataFrame, run_ts: dt.datetime | None = None, key: str | None = None, order: Sequence[str] = ()
+    fresh: DataFrame,
+    past: DataFrame,
+    run_ts: dt.datetime | None = None,
+    key: str | None = None,
+    order: Sequence[str] = (),
+    stays: DataFrame | None = None,
 ) -> DataFrame:
-    """New rows with the columns of the rows they join: stamped, otherwise empty, and with
-    ids after the highest one there is, in the given order, if the table has ids."""
+    """New rows with the columns of a table: stamped, otherwise empty, and, if the table has
+    ids, with ids in the given order after the highest one that ``stays``; so a run that is
+    repeated gives the same ids."""
     missing = [c for c in past.columns if c not in fresh.columns]
     fresh = fresh.withColumns({c: F.lit(None).cast(past.schema[c].dataType) for c in missing})
     fresh = stamp_updated(fresh, F.lit(True), run_ts)
     fresh = stamp_updated(fresh, F.lit(True), run_ts, "created_at")
     if key in past.columns:
-        highest = past.select(F.coalesce(F.max(key), F.lit(0).cast("bigint"))).first()[0]
+        highest = stays.select(F.coalesce(F.max(key), F.lit(0).cast("bigint"))).first()[0]
         fresh = numbered(fresh, key, order, F.lit(highest))
     return fresh.select(*past.columns)
 

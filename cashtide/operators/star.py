@@ -161,8 +161,9 @@ def star_fact(T: Tables, as_of: dt.date, horizon: int = HORIZON_DAYS) -> DataFra
     past = T.get("fact_daily_cashflow")
     if past is None:
         return fresh
-    fresh = shaped_like(fresh, past, None, "fact_id", FACT_KEYS)
-    return replace_from_date(past, fresh, "date_key", as_of.year * 10000 + as_of.month * 100 + as_of.day)
+    first = as_of.year * 10000 + as_of.month * 100 + as_of.day
+    fresh = shaped_like(fresh, past, None, "fact_id", FACT_KEYS, past.filter(F.col("date_key") < first))
+    return replace_from_date(past, fresh, "date_key", first)
 
 
 def star_refresh(T: Tables, as_of: dt.date, horizon: int = HORIZON_DAYS) -> dict[str, DataFrame]:

@@ -777,7 +777,7 @@ SELECT project_id, status, CASE WHEN status = 'Completed' THEN '{RUN_TS}' END AS
     "rule_forecast": f"""
 SELECT {CASH}, project_id AS forecast_id FROM {{forecast_before}} WHERE forecast_date < {AS_OF}
 UNION ALL
-SELECT {CASH}, (SELECT max(project_id) FROM {{project}}) + row_number() OVER (ORDER BY project_id NULLS FIRST, forecast_date,
+SELECT {CASH}, (SELECT coalesce(max(project_id), 0) FROM {{forecast_before}} WHERE forecast_date < {AS_OF}) + row_number() OVER (ORDER BY project_id NULLS FIRST, forecast_date,
        expected_cash_in, expected_cash_out, net_cashflow, flow_source)
 FROM (SELECT * FROM {{flow_in}} UNION ALL SELECT * FROM {{flow_orders}} UNION ALL SELECT * FROM {{flow_overhead}})""",
     "rule_pipeline_totals": _totals(),
@@ -790,8 +790,8 @@ FROM (SELECT * FROM {{flow_in}} UNION ALL SELECT * FROM {{flow_orders}} UNION AL
     "star_dim_customer": DIM_CUSTOMER,
     "star_dim_cost_type": DIM_COST,
     "star_fact": f"""
-SELECT *, CASE WHEN date_key < {AS_OF_KEY} THEN project_key ELSE (SELECT max(project_id) FROM {{project}}) +
-         row_number() OVER (PARTITION BY date_key < {AS_OF_KEY}
+SELECT *, CASE WHEN date_key < {AS_OF_KEY} THEN project_key ELSE
+         (SELECT coalesce(max(project_key), 0) FROM {{fact_before}} WHERE date_key < {AS_OF_KEY}) + row_number() OVER (PARTITION BY date_key < {AS_OF_KEY}
                             ORDER BY date_key, project_key NULLS FIRST, customer_key NULLS FIRST, cost_type_key NULLS FIRST) END AS fact_id
 FROM {{fact}}""",
     "star_refresh": _digests({**DIMENSIONS, "fact_daily_cashflow": ("SELECT * FROM {fact}", FACT_COLUMNS)}),
