@@ -13,8 +13,7 @@ belongs to one of the n best segmentations and meets them in order.
 
 No piece goes on from a word or line into the next (a model that has one is refused; the
 carriage returns that end pieces belong to the word before them), so the lattice falls into
-segments, and those into parts wherever two letters stand next to each other in no piece.
-Segments are solved once per batch wherever they occur, from parts that are remembered.  The n best of a
+segments.  Segments are solved once per batch wherever they occur.  The n best of a
 text combine the n best of its segments: a segment whose second best loses more than n - 1
 others do can't change among them, so at most n - 1 segments are searched per text.
 
@@ -47,7 +46,7 @@ MARK = "▁"
 N_BEST = 4
 UNIT = 10_000
 UNKNOWN_PENALTY = 10 * UNIT  # a letter without a piece scores this much below the worst piece
-REMEMBERED = 400_000  # segments a task knows, and as many older ones
+REMEMBERED = 800_000  # segments a task knows at a time
 _SEGMENT = re.compile(r"[\n\t\f\v]+| *[^ \n\t\r\f\v]*\r+| *[^ \n\t\r\f\v]+| +")
 _NEVER = -(10**17)
 
@@ -59,10 +58,9 @@ class Lattice:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.root: dict = {}  # by letter the next such dict, and the piece that ends there with its score
+        self.root: dict = {}
         self.spelled: list[bytes] = []
         self.byte_ids = [0] * 256
-        self.pairs: set[str] = set()  # of letters that stand next to each other in a piece
         worst = 0
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -74,15 +72,12 @@ class Lattice:
             else:
                 if len(_SEGMENT.findall(piece.replace(MARK, " "))) > 1:
                     raise ValueError(f"the piece {piece!r} goes on in another word or line")
-                spelled = piece.replace(MARK, " ")
-                self.pairs.update(map(str.__add__, spelled, spelled[1:]))
                 score = round(UNIT * model.get_score(i)) if scores is None else scores[i]
                 worst = min(worst, score) if score > -(10**8) * UNIT else worst
                 node = self.root
                 for letter in piece:
-                    entry = node.setdefault(letter, [{}, None])
-                    node = entry[0]
-                entry[1] = (i, score)
+                    node = node.setdefault(letter, {})
+                node[""] = (i, score)
                 self.spelled.append(piece.replace(MARK, " ").encode())
         self.unknown = worst - UNKNOWN_PENALTY
         self.lengths = np.array([len(x) for x in self.spelled], np.int64)
@@ -94,11 +89,11 @@ class Lattice:
         node, out, j, n = self.root, [], i, len(text)
         while j < n:
             # A word mark that the text itself has is never a piece.
-            entry = node.get(MARK if text[j] == " " else text[j]) if text[j] != MARK else None
-            if entry is None:
+            node = node.get(MARK if text[j] == " " else text[j]) if text[j] != MARK else None
+            if node is None:
                 break
             j += 1
-            node, end = entry
+            end = node.get("")
             if end is not None:
                 out.append((j, (end[0],), end[1]))
         if not out or out[0][0] != i + 1:
@@ -137,31 +132,29 @@ class Lattice:
         best[0] = 0
         for i in range(n):
             b, s = best[i], second[i]
-            entry = root.get(letters[i])
+            node = root.get(letters[i])
             j = i + 1
-            if entry is None or entry[1] is None:
+            if node is None or "" not in node:
                 value = b + unknown
                 if value > best[j]:
                     second[j] = max(best[j], s + unknown)
                     best[j], came[j] = value, (i, -1)
                 elif value > second[j]:
                     second[j] = value
-            while entry is not None:
-                node, end = entry
+            while node is not None:
+                end = node.get("")
                 if end is not None:
                     piece, score = end
                     value = b + score
-                    top = best[j]
-                    if value > top:
+                    if value > best[j]:
                         other = s + score
-                        second[j] = top if top > other else other
-                        best[j] = value
-                        came[j] = (i, piece)
+                        second[j] = best[j] if best[j] > other else other
+                        best[j], came[j] = value, (i, piece)
                     elif value > second[j]:
                         second[j] = value
                 if j == n:
                     break
-                entry = node.get(letters[j])
+                node = node.get(letters[j])
                 j += 1
         out, at = [], n
         while at:
@@ -192,16 +185,6 @@ class Lattice:
                 heapq.heappush(heap, (-(best[i] + score + behind), -pushed, i, behind + score, (arc, path)))
         return out
 
-    def parts(self, segment: str) -> list[str]:
-        """The segment cut wherever no piece has the letters on both sides of the cut."""
-        pairs, out, at = self.pairs, [], 0
-        for i in range(1, len(segment)):
-            if segment[i - 1 : i + 1] not in pairs:
-                out.append(segment[at:i])
-                at = i
-        out.append(segment[at:])
-        return out
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, without the word mark in front."""
         size = self.lengths[ids]
@@ -230,32 +213,16 @@ class Encoder:
     def __init__(self, model_file: str, n: int, scores: Sequence[int] | None = None):
         self.lattice, self.n = Lattice(model_file, scores), n
         self.known: dict[str, tuple[bytes, int, int]] = {}
-        self.older: dict[str, tuple[bytes, int, int]] = {}
 
-    def _keep(self, segment: str, found: tuple[bytes, int, int]) -> tuple[bytes, int, int]:
+    def _best(self, segment: str) -> tuple[bytes, int, int]:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        ids, score, loss = self.lattice.best(segment)
+        found = (np.array(ids, "<i4").tobytes(), score, loss)
         if len(segment) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known, self.older = {}, self.known
             self.known[segment] = found
         return found
 
-    def _solved(self, segment: str) -> tuple[bytes, int, int]:
-        """Ids, score and loss of a segment, from those of the parts between which no piece runs."""
-        found = self.known.get(segment)
-        if found is not None:
-            return found
-        found = self.older.get(segment)
-        if found is None:
-            parts = self.lattice.parts(segment)
-            if len(parts) == 1:
-                ids, score, loss = self.lattice.best(segment)
-                found = (np.array(ids, "<i4").tobytes(), score, loss)
-            else:
-                solved = [self._solved(p) for p in parts]
-                losses = [x[2] for x in solved if x[2] >= 0]
-                found = (b"".join(x[0] for x in solved), sum(x[1] for x in solved), min(losses, default=-1))
-        return self._keep(segment, found)
-
     def encode(self, texts: list[str]):
         """Per text: ids of the best segmentation, its score, and the n best as (score, changes),
         a change being the number of a segment and the ids it then has."""
@@ -263,7 +230,7 @@ class Encoder:
         counts = np.array([len(p) for p in parts], np.int64)
         coded = pa.array([s for p in parts for s in p], pa.large_string()).dictionary_encode()
         names = coded.dictionary.to_pylist()
-        solved = [self._solved(s) for s in names]
+        solved = [self.known.get(s) or self._best(s) for s in names]
         size = np.array([len(x[0]) // 4 for x in solved], np.int64)
         flat = np.frombuffer(b"".join(x[0] for x in solved), "<i4")
         begin = np.cumsum(size) - size
