@@ -37,7 +37,8 @@ from cashtide.llm.common import LAST_ID, Scratch, id_and_text
 from cashtide.llm.files import listed, new_file, open_range
 
 BLOCK_IDS = 1 << 19  # ids of a block at most, but for a single longer document
-TEXTS = 4096  # encoded at a time
+TEXTS = 4096  # encoded at a time, if they have no more bytes than
+TEXT_BYTES = 3 << 21  # this, but for a single longer text
 LANES = 2048  # of a long block; short ones take fewer, about 64 ids each
 CHECKPOINT_STEPS = 128
 LOW = np.uint64(1 << 31)  # a state is at least this between steps
@@ -224,7 +225,7 @@ class WordTokens:
     _OTHER = f"[^\t-\r -~A-Z{_LATIN}{_SIGNS}]"
     _PIECES = f"('s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\t-\r 0-9{_LATIN}]+)"
     _LETTERS = {b: c for b, c in byte_letters().items() if chr(b) != c}
-    REMEMBERED = 600_000  # words and pieces; as many older ones are kept
+    REMEMBERED = 300_000  # words and pieces, for as long as the worker lives; as many older ones are kept
 
     def __init__(self, file: str, end_id: int | None):
         from tokenizers import Tokenizer
@@ -265,8 +266,10 @@ class WordTokens:
 
     def _ids(self, keys: pa.Array, make: Callable[[str], bytes], mark: str = "") -> tuple[np.ndarray, np.ndarray]:
         """The ids of keys, one after the other, and the places between those of each."""
-        found = [self._recalled(mark + x, make) for x in keys.to_pylist()]
-        size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+        at_hand = self.known.get
+        named = [mark + x for x in keys.to_pylist()] if mark else keys.to_pylist()
+        found = [at_hand(x) or self._recalled(x, make) for x in named]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(size)])
 
     @staticmethod
@@ -287,10 +290,10 @@ class WordTokens:
         cut = pc.replace_substring_regex(pc.utf8_lower(words), self._PIECES, r"\1 ")
         return self._by_distinct(pc.ascii_split_whitespace(cut), lambda pieces: self._ids(pieces, self._piece))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not self.wordwise:
-            return [ids + self.end for ids in self._whole(texts)]
-        column = pa.array(texts, pa.large_string())
+            return [ids + self.end for ids in self._whole(column.to_pylist())]
         odd = pc.match_substring_regex(column, self._ODD)
         other = pc.and_not(pc.match_substring_regex(column, self._OTHER), odd)
         latin = pc.invert(pc.or_(odd, other))
@@ -310,6 +313,16 @@ class WordTokens:
         return out
 
 
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in their order, so many at a time that what is made of them stays small."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(texts):
+        until = min(max(int(np.searchsorted(ends, before + TEXT_BYTES, side="right")), at + 1), at + TEXTS)
+        yield texts.slice(at, until - at)
+        at, before = until, int(ends[until - 1])
+
+
 @lru_cache(maxsize=1)
 def _encoder(file: str, end_id: int | None) -> WordTokens:
     """One for all tasks of a worker process, with what it remembers."""
@@ -341,8 +354,7 @@ def _blocks(docs: DataFrame, tokenizer_file: str, end_id: int | None) -> DataFra
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            texts = batch.column(1)
-            encoded = (x for i in range(0, len(texts), TEXTS) for x in encoder.encode(texts.slice(i, TEXTS).to_pylist()))
+            encoded = (x for some in portions(batch.column(1)) for x in encoder.encode(some))
             for doc, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if held and held + len(raw) // 4 > BLOCK_IDS:
                     yield cut()

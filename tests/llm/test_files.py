@@ -10,15 +10,19 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cashtide.llm.token_files import (
+    TEXT_BYTES,
+    TEXTS,
     Frequencies,
     WordTokens,
     decode_block,
     encode_block,
+    portions,
     read_token_files,
     write_token_files,
 )
@@ -51,6 +55,16 @@ def test_words_encode_as_the_library_does():
         assert np.frombuffer(raw, "<u4").tolist() == tokens.library.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_portions_of_texts_are_small_and_whole():
+    texts = ["é" * 1_000_000, "", *["ab" * 700_000] * 9, "x" * (2 * TEXT_BYTES), "y", *["z"] * 9000, ""]
+    for column in (pa.array(texts), pa.array(["cut", *texts, "off"]).slice(1, len(texts))):
+        parts = [some.to_pylist() for some in portions(column)]
+        assert [t for some in parts for t in some] == texts
+        assert all(len(some) <= TEXTS and (len(some) == 1 or len("".join(some).encode()) <= TEXT_BYTES) for some in parts)
+    assert list(portions(pa.array([], pa.string()))) == []
+    assert 2 * WordTokens.REMEMBERED <= 600_000  # what a worker keeps, with the older ones
+
+
 def test_latin_texts_encode_as_the_library_does():
     tokens, draw = WordTokens(WORDS, 1), random.Random(3)
     letters = "aBzÀÿĀıſƀǅɏß×÷'’s'tTSéLl12_.,!<>\t\n\x0b\x0c\r «»–—…€“ "
