@@ -41,13 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.llm.common import id_and_text
+from cashtide.llm.token_files import portions
 
 MARK = "▁"
 N_BEST = 4
 UNIT = 10_000
 UNKNOWN_PENALTY = 10 * UNIT  # a letter without a piece scores this much below the worst piece
-REMEMBERED = 800_000  # segments a task knows at a time
-_SEGMENT = re.compile(r"[\n\t\f\v]+| *[^ \n\t\r\f\v]*\r+| *[^ \n\t\r\f\v]+| +")
+REMEMBERED = 400_000  # segments a task knows at a time
+SHORT = 64  # letters of a segment that is solved among many, and remembered, at most
+TEXTS = 2048  # encoded at a time, if they have no more bytes than
+TEXT_BYTES = 1 << 22  # this, but for a single longer text
+_SEGMENT = re.compile(r"[\n\t\f\v]++| *+[^ \n\t\r\f\v]++\r*+| *+\r++| ++")
 _NEVER = -(10**17)
 
 
@@ -83,6 +87,62 @@ class Lattice:
         self.lengths = np.array([len(x) for x in self.spelled], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """The tree of pieces as arrays: per node its piece and score, and a hashed table of steps.
+
+        Letters are numbered by their first use in a piece; 0 is a letter that no piece has.
+        """
+        letter = {}
+        nodes, steps = [self.root], []
+        for at, node in enumerate(nodes):  # grows on the way
+            for c, below in node.items():
+                if c:
+                    steps.append((at, letter.setdefault(c, len(letter) + 1), len(nodes)))
+                    nodes.append(below)
+        ends = [node.get("", (-1, 0)) for node in nodes]
+        self.node_piece = np.array([piece for piece, _ in ends], np.int64)
+        self.node_score = np.array([score for _, score in ends], np.int64)
+        self.letters = np.zeros(0x110000, np.int32)
+        for c, i in letter.items():
+            self.letters[ord(c)] = i
+        self.letters[ord(" ")] = letter.get(MARK, 0)
+        self.letters[ord(MARK)] = 0  # a word mark that the text itself has is never a piece
+        self.n_letters = len(letter) + 1
+        self.hash_shift = np.uint64(64 - max(8, (2 * len(steps)).bit_length()))
+        size = 1 << (64 - int(self.hash_shift))
+        self.step_key, self.step_to = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        rows = np.array(steps, np.int64).reshape(-1, 3)
+        top = rows[:, 0] == 0
+        self.first_step = np.full(self.n_letters, -1, np.int64)  # from the root
+        self.first_step[rows[top, 1]] = rows[top, 2]
+        key, to = rows[~top, 0] * self.n_letters + rows[~top, 1], rows[~top, 2]
+        slot = self._slots(key)
+        while len(key):  # a slot takes one key, the others try the next
+            free = self.step_key[slot] < 0
+            self.step_key[slot[free]] = key[free]
+            here = self.step_key[slot] == key
+            self.step_to[slot[here]] = to[here]
+            key, to, slot = key[~here], to[~here], (slot[~here] + 1) % size
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.hash_shift).astype(np.int64)
+
+    def _step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The node below each node but the root by a letter, -1 where there is none."""
+        key = node * self.n_letters + letter
+        slot = self._slots(key)
+        met = self.step_key[slot]
+        out = np.where(met == key, self.step_to[slot], -1)
+        open_ = np.flatnonzero((met != key) & (met >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.step_key)
+            met, asked = self.step_key[slot[open_]], key[open_]
+            found = open_[met == asked]
+            out[found] = self.step_to[slot[found]]
+            open_ = open_[(met != asked) & (met >= 0)]
+        return out
 
     def _arcs(self, text: str, i: int) -> list[tuple[int, tuple[int, ...], int]]:
         """End, ids and score of every arc from a place."""
@@ -166,6 +226,85 @@ class Lattice:
         out.reverse()
         return out, best[n], best[n] - second[n] if second[n] > _NEVER // 2 else -1
 
+    def best_of_many(self, texts: Sequence[str]) -> list[tuple[bytes, int, int]]:
+        """``best`` of each text, with its ids as 32-bit numbers.
+
+        All arcs of all short texts are found at once, one letter further at a time; the forward
+        pass then takes the arcs that leave the same place of all texts together.  They end in
+        different places, so the outcome is that of one text after the other.
+        """
+        out: list = [None] * len(texts)
+        short = [k for k, t in enumerate(texts) if 0 < len(t) <= SHORT]
+        if short:
+            self._best_of_short([texts[k] for k in short], short, out)
+        for k, found in enumerate(out):
+            if found is None:  # long ones, and those whose best segmentation has a letter in bytes
+                ids, score, loss = self.best(texts[k])
+                out[k] = (np.array(ids, "<i4").tobytes(), score, loss)
+        return out
+
+    def _best_of_short(self, texts: list[str], names: list[int], out: list) -> None:
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        last = np.cumsum(size + 1) - 1  # the place behind the last letter; a text has one place more than letters
+        first = last - size
+        offset = np.arange(int(last[-1]) + 1) - np.repeat(first, size + 1)
+        letter = np.zeros(len(offset), np.int64)
+        inside = np.ones(len(offset), bool)
+        inside[last] = False
+        letter[inside] = self.letters[np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")]
+        stop = np.repeat(last, size + 1)
+        start = np.flatnonzero(inside)
+        node, at = None, start
+        arcs = []
+        while len(start):
+            node = self.first_step[letter[at]] if node is None else self._step(node, letter[at])
+            on = node >= 0
+            piece = np.where(on, self.node_piece[node], -1)
+            fits = piece >= 0
+            if not arcs:  # a letter without a piece is an arc of its own
+                arcs.append((start[~fits], at[~fits] + 1, piece[~fits], np.full(int((~fits).sum()), self.unknown)))
+            arcs.append((start[fits], at[fits] + 1, piece[fits], self.node_score[node[fits]]))
+            on &= at + 1 < stop[start]
+            start, node, at = start[on], node[on], at[on] + 1
+        source, target, piece, score = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        order = np.argsort(offset[source].astype(np.uint8), kind="stable")
+        source, target, piece, score = source[order], target[order], piece[order], score[order]
+        ends = np.cumsum(np.bincount(offset[source]))
+
+        best, second = np.full(len(offset), _NEVER), np.full(len(offset), _NEVER)
+        came = np.zeros(len(offset), np.int64)
+        best[first] = 0
+        a = 0
+        for b in ends.tolist():
+            here, there = source[a:b], target[a:b]
+            value, other = best[here] + score[a:b], second[here] + score[a:b]
+            had = best[there]
+            better = value > had
+            second[there] = np.where(better, np.maximum(had, other), np.maximum(second[there], value))
+            best[there] = np.where(better, value, had)
+            came[there[better]] = np.flatnonzero(better) + a
+            a = b
+
+        at, alive = last.copy(), np.arange(len(texts))
+        count, whole, met = np.zeros(len(texts), np.int64), np.ones(len(texts), bool), []
+        while len(alive):
+            arc = came[at[alive]]
+            met.append((alive, piece[arc]))
+            whole[alive] &= piece[arc] >= 0
+            count[alive] += 1
+            at[alive] = source[arc]
+            alive = alive[at[alive] > first[alive]]
+        ids = np.zeros(int(count.sum()), "<i4")
+        until = np.cumsum(count)
+        for back, (which, pieces) in enumerate(met):
+            ids[until[which] - 1 - back] = pieces
+        ids, top, begin = ids.tobytes(), best[last], 4 * (until - count)
+        loss = np.where(second[last] > _NEVER // 2, top - second[last], -1)
+        rows = zip(names, whole.tolist(), begin.tolist(), (4 * until).tolist(), top.tolist(), loss.tolist(), strict=True)
+        for k, complete, a, b, total, lost in rows:
+            if complete:
+                out[k] = (ids[a:b], total, lost)
+
     def n_best(self, text: str, n: int) -> list[tuple[int, list[int]]]:
         """Score and ids of the n best segmentations, by backward A* search."""
         best, _, into = self.forward(text)
@@ -214,13 +353,15 @@ class Encoder:
         self.lattice, self.n = Lattice(model_file, scores), n
         self.known: dict[str, tuple[bytes, int, int]] = {}
 
-    def _best(self, segment: str) -> tuple[bytes, int, int]:
+    def _solved(self, segments: list[str]) -> list[tuple[bytes, int, int]]:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        ids, score, loss = self.lattice.best(segment)
-        found = (np.array(ids, "<i4").tobytes(), score, loss)
-        if len(segment) <= 64:
-            self.known[segment] = found
+        found = [self.known.get(s) for s in segments]
+        new = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(new, self.lattice.best_of_many([segments[k] for k in new]), strict=True):
+            found[k] = x
+            if len(segments[k]) <= SHORT:
+                self.known[segments[k]] = x
         return found
 
     def encode(self, texts: list[str]):
@@ -230,7 +371,7 @@ class Encoder:
         counts = np.array([len(p) for p in parts], np.int64)
         coded = pa.array([s for p in parts for s in p], pa.large_string()).dictionary_encode()
         names = coded.dictionary.to_pylist()
-        solved = [self.known.get(s) or self._best(s) for s in names]
+        solved = self._solved(names)
         size = np.array([len(x[0]) // 4 for x in solved], np.int64)
         flat = np.frombuffer(b"".join(x[0] for x in solved), "<i4")
         begin = np.cumsum(size) - size
@@ -319,9 +460,10 @@ def encode_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_file, n_best, shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = batch.column(1).to_pylist()
+            at = 0
+            for some in portions(whole.column(1), TEXTS, TEXT_BYTES):
+                batch, texts = whole.slice(at, len(some)), some.to_pylist()
+                at += len(some)
                 ids, scores, found, crc, back = [], [], [], [], []
                 for text, (mine, top, alternatives) in zip(texts, encoder.encode(texts), strict=True):
                     ids.append(mine)

@@ -313,12 +313,12 @@ class WordTokens:
         return out
 
 
-def portions(texts: pa.Array) -> Iterator[pa.Array]:
+def portions(texts: pa.Array, most: int = TEXTS, most_bytes: int = TEXT_BYTES) -> Iterator[pa.Array]:
     """Texts in their order, so many at a time that what is made of them stays small."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at, before = 0, 0
     while at < len(texts):
-        until = min(max(int(np.searchsorted(ends, before + TEXT_BYTES, side="right")), at + 1), at + TEXTS)
+        until = min(max(int(np.searchsorted(ends, before + most_bytes, side="right")), at + 1), at + most)
         yield texts.slice(at, until - at)
         at, before = until, int(ends[until - 1])
 

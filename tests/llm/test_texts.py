@@ -292,6 +292,17 @@ def test_n_best_segmentations_are_those_of_all(spark, estimated):
         assert lattice.decode(ids).decode() == text
 
 
+def test_segments_solved_together_are_those_solved_alone():
+    sizes, draw = Lattice(PIECES), random.Random(5)
+    lattice = Lattice(PIECES, [draw.choice((-7, -30, -30, -400)) for _ in sizes.spelled])  # with many ties
+    letters = ["a", "n", "e", "t", "th", "ing", "é", "▁", "漢", "🙂", "\u0301", ")", "7"]
+    texts = [draw.choice(("", " ", "  ")) + "".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    texts += ["", " ", "\n\n\t", " a\r\r", "▁", "a" * 64, "a" * 65, " the" + "n" * 300]
+    alone = [lattice.best(t) for t in texts]
+    together = [(np.frombuffer(ids, "<i4").tolist(), score, loss) for ids, score, loss in lattice.best_of_many(texts)]
+    assert together == alone and lattice.best_of_many([]) == []
+
+
 def test_most_words_are_split_as_by_the_library(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
