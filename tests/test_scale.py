@@ -1,5 +1,6 @@
 """Plans and results where one key holds a large share of the rows."""
 
+import datetime as dt
 import re
 from contextlib import contextmanager
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tables import values
 
 import __spark_entry__ as entry_module
-from cashtide.operators import audit, rules, skew
+from cashtide.operators import audit, imports, rules, skew
 from cashtide.operators.imports import import_promote
 from cashtide.session import materialise
 
@@ -148,6 +149,37 @@ def test_small_batch_does_not_shuffle_the_invoices(spark, hot):
     assert promoted.count() == 60020 and promoted.filter("amount = 1").count() == 40
 
 
+def test_large_batch_meets_the_invoices_in_one_join(spark, monkeypatch):
+    """The table is read and shuffled once, with the rows that patching gives, also of repeated and
+    missing numbers."""
+    table = spark.range(300).select(
+        F.col("id").alias("invoice_id"),
+        (F.col("id") % 7).alias("project_id"),
+        F.when(F.col("id") % 50 > 0, F.concat(F.lit("N-"), F.least("id", F.lit(275)))).alias("invoice_number"),
+        F.lit("2026-01-01").cast("date").alias("invoice_date"),
+        F.lit("2026-01-08").cast("date").alias("due_date"),
+        F.lit(5).cast("decimal(12,2)").alias("amount"),
+        F.lit("Issued").alias("status"),
+        F.lit("x").alias("created_by"),
+        F.lit("2026-01-01 00:00:00").cast("timestamp").alias("updated_at"),
+    )
+    table = materialise(table)
+    raw = {"invoice_number": F.concat(F.lit("N-"), F.col("id") + 200), "project_id": F.lit("3"), "invoice_date": F.lit("2026-02-01")}
+    raw |= {"due_date": F.lit("2026-02-02"), "amount": F.lit("1.00"), "status": F.lit("Paid")}
+    staged = spark.range(150).select(
+        F.col("id").cast("int").alias("row_number"), *[v.alias(f"raw_{c}") for c, v in raw.items()], (F.col("id") % 10 > 0).alias("is_valid")
+    )
+    now = dt.datetime(2026, 2, 1, 8)
+    patched = import_promote(table, staged, now)
+    monkeypatch.setattr(imports, "SMALL_BATCH", 100)
+    with tiny(spark):
+        joined = import_promote(table, staged, now)
+        plan = executed(joined).split("== Initial Plan ==")[0]
+        assert values(joined, *table.columns) == values(patched, *table.columns)
+    assert patched.filter("amount = 1").count() == 159 and patched.filter("invoice_number is null").count() == 6
+    assert plan.count("FullOuter") == 1 and "LeftAnti" not in plan and "LeftSemi" not in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     df = entry_module.queries()["view_supplier_watch"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
