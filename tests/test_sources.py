@@ -2,6 +2,7 @@
 
 import csv
 import datetime as dt
+import re
 
 import pytest
 from tables import NOW, customer, project, tables, values
@@ -65,6 +66,37 @@ def test_parse_and_classify(raw):
     assert rows[7].amount is None and rows[7].quarantined and rows[7].date is None and rows[8].date is None
 
 
+def test_white_space_of_any_kind_is_trimmed(spark):
+    from cashtide.functions import numbers
+    from pyspark.sql import functions as F
+
+    ends = ["", *numbers.WHITE_SPACE, "\x00", "\x7f", "!", "~", "é", "日", "  \t"]
+    texts = [None, *[a + b + c for a in ends for b in ("", "x", "a b", "ö\u2003ö") for c in ends]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(values(df.select("i", numbers.trimmed(F.col("t")).alias("t")), "i", "t"))
+    assert got == {i: (t or "").strip(numbers.WHITE_SPACE) for i, t in enumerate(texts)}
+
+
+def test_numbers_of_documents_lose_leading_zeros_only(spark):
+    from cashtide.functions.numbers import document_number
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("RE-0010",), ("000",), ("x",), (None,), ("7-008",)], "doc string")
+    assert values(df.select(*[c.alias(n) for n, c in zip("lt", document_number(F.col("doc")))]), "l", "t") == [
+        (-1, ""), (0, ""), (1, "7"), (2, "10"), (None, None)]
+
+
+def test_each_field_is_trimmed_once_and_memos_are_drawn_after_the_sort(spark, raw):
+    """A sort reads its rows twice, so what it need not order by is left for after it."""
+    parsed = ledger.ledger_parse(raw, 2026)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\btrim\(", plan)) == len(FIELDS)
+    classified = ledger.ledger_stored(ledger.ledger_classify(parsed))
+    for out in (ledger.ledger_costs_out(classified, "s"), ledger.ledger_supplier_payments_out(classified, "s")):
+        above, below = out._jdf.queryExecution().optimizedPlan().toString().split("Sort [", 1)
+        assert "sha2" in above and "sha2" not in below
+
+
 def test_plain_decimal_point_is_a_thousands_mark(spark):
     df = spark.createDataFrame([("1234.56",), ("-5,10",), ("1.000.000,00",)], "umsatz string")
     from cashtide.functions.numbers import german_decimal
