@@ -7,8 +7,10 @@ import random
 import pytest
 from tables import DAY, NOW, customer, day, invoice, money, order, project, supplier, tables, values
 
+from pyspark.sql import functions as F
+
 from cashtide.operators import imports, increment
-from cashtide.sources.partitions import replace_partitions_from, write_partitions
+from cashtide.sources.partitions import BUCKET, bucketed, move_partitions, replace_partitions_from, write_partitions
 
 RAW = "row_number int, " + ", ".join(f"{c} string" for c in imports.RAW_FIELDS)
 # Times of change and ids of rows that stay differ between the two ways.
@@ -166,3 +168,67 @@ def test_partitions_are_replaced_whole(spark, tmp_path):
     assert len(old) == 2 and old <= files(path)
     replace_partitions_from(rows([]), path, "day", day(1))
     assert values(spark.read.schema("n int, day date").parquet(path), "n") == [(0,)]
+
+
+def test_numbers_that_repeat_and_invoices_of_no_project(spark, tmp_path):
+    T = start(spark, random.Random(16))
+    odd = [invoice(901, 5, 800, number="D-1"), invoice(902, 6, 9000, number="D-1"), invoice(903, None, 800, number="P-1"), invoice(904, None, 800, number="P-2")]
+    T |= {"invoice": T["invoice"].unionByName(tables(spark, invoice=odd)["invoice"])}
+    folder = str(tmp_path / "live")
+    increment.create_live(T, folder, DAY, NOW, buckets=8)
+    full = {**T, **increment.read_live(spark, folder)}
+    full |= {n: spark.createDataFrame(df.collect(), df.schema) for n, df in full.items() if n in increment.LIVE}
+    rows = [(i + 2, number, pid, "2026-03-01", "2026-03-08", "4000.00", "Paid") for i, (number, pid) in enumerate([("D-1", "7"), ("P-1", "8"), ("N-0001", "9"), ("X-1", "9")])]
+    rows = spark.createDataFrame(rows, RAW)
+    done = increment.import_live(folder, T, rows, DAY, NOW)
+    same(imports.import_run({k: v for k, v in full.items() if k not in ("stg_sevdesk_invoice", "etl_run")}, rows, DAY, NOW), done)
+    index = {(r.invoice_number, r.project_id) for r in spark.read.parquet(f"{folder}/invoice_index").collect()}
+    assert {("D-1", 7), ("P-1", 8), ("P-2", None), ("N-0001", 9), ("X-1", 9)} <= index
+    assert len(index) == len({number for number, _ in index})
+
+
+def test_steps_are_not_kept(spark, tmp_path, monkeypatch):
+    T = start(spark, random.Random(17))
+    scratch, folder = tmp_path / "scratch", str(tmp_path / "live")
+    monkeypatch.setattr("cashtide.session.shared_dir", lambda _: str(scratch))
+    steps = lambda: set(os.listdir(scratch / "cashtide"))
+    increment.create_live(T, folder, DAY, NOW, buckets=8)
+    assert steps() == set()
+    moved = []
+    real = increment.move_partitions
+    monkeypatch.setattr(increment, "move_partitions", lambda s, staged, path, *a: (moved.append(os.path.basename(path)), real(s, staged, path, *a))[1])
+    rows = spark.createDataFrame([(2, "N-0001", "7", "2026-03-01", "2026-03-08", "4000.00", "Paid")], RAW)
+    done = increment.import_live(folder, T, rows, DAY, NOW)
+    # Left are those that the tables given back read: the staged rows, the run and the report.
+    assert len(steps()) <= 4 and not os.path.exists(f"{folder}/_staged")
+    assert moved == ["invoice", "payment_schedule", "dim_project", "dim_customer", "invoice_index"]
+    assert all(df.count() >= 0 for df in done.values())
+
+
+def test_another_layout_is_refused(spark, tmp_path):
+    row = spark.createDataFrame([(0, DAY, 30, 8, 0)], "run_id bigint, as_of date, horizon int, buckets int, highest bigint")
+    row.write.parquet(str(tmp_path / "_runs"))
+    rows = spark.createDataFrame([(2, "N-0001", "7", "2026-03-01", "2026-03-08", "4000.00", "Paid")], RAW)
+    with pytest.raises(ValueError, match="layout 1"):
+        increment.import_live(str(tmp_path), {}, rows, DAY, NOW)
+
+
+@pytest.mark.parametrize("key", ["cast(id * 77 as bigint)", "concat('N-', id)"])
+def test_a_task_of_a_join_has_rows_of_one_bucket(spark, key):
+    rows = spark.range(5000).selectExpr(f"{key} as k").repartition(12, "k")
+    rows = bucketed(rows, "k", 4).withColumn("task", F.spark_partition_id())
+    found = rows.groupBy("task").agg(F.count_distinct(BUCKET).alias("n")).collect()
+    assert len(found) == 12 and {r.n for r in found} == {1}
+    assert rows.select(BUCKET).distinct().count() == 4
+
+
+def test_staged_partitions_take_the_place(spark, tmp_path):
+    rows = lambda xs: spark.createDataFrame(xs, f"n int, {BUCKET} int")
+    path, staged = str(tmp_path / "t"), str(tmp_path / "s")
+    write_partitions(rows([(i, i) for i in range(5)]), path, BUCKET)
+    old = files(path)
+    write_partitions(rows([(10, 1), (11, 1), (70, 7)]), staged, BUCKET, gathered=True)
+    move_partitions(spark, staged, path, BUCKET, [1, 2, 7, 9])
+    got = values(spark.read.schema(f"n int, {BUCKET} int").parquet(path), BUCKET, "n")
+    assert got == [(0, 0), (1, 10), (1, 11), (3, 3), (4, 4), (7, 70)]
+    assert {f for f in old if f[:9] in (f"{BUCKET}=0", f"{BUCKET}=3", f"{BUCKET}=4")} <= files(path) and files(staged) == set()

@@ -1,11 +1,14 @@
 """Work that would grow faster than the input: rows grouped anew, sorted groupings, one task per run."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from cashtide.operators import audit, views
 from cashtide.plans import queries
 from cashtide.plans.derived import STORED, Derived
-from cashtide.session import materialise
+from cashtide.session import materialise, released
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +25,39 @@ def test_line_documents_are_grouped_once(spark):
     assert d["invoice"].exceptAll(plain).isEmpty() and plain.exceptAll(d["invoice"]).isEmpty()
 
 
+def test_line_documents_of_an_order_are_in_few_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = Derived(spark, SF, STORED)["line_doc"].withColumn("file", F.input_file_name())
+        found = docs.groupBy("l_orderkey").agg(F.count_distinct("file").alias("files")).agg(F.max("files"), F.sum("files"), F.count("*")).first()
+        assert docs.select("file").distinct().count() == 8
+        assert found[0] <= 2 and found[1] - found[2] <= 7  # an order is cut at most where two files meet
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in manager.getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before = shuffled()
+    stored = materialise(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count().repartition(4, "count"))
+    assert stored.count() == 100
+    assert {f for f in shuffled() - before if f.endswith(".data") and os.path.getsize(f) > 1000} == set()
+
+
+def test_released_results_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("cashtide.session.shared_dir", lambda _: str(tmp_path))
+    kept = lambda: len(os.listdir(tmp_path / "cashtide"))
+    outer = materialise(spark.range(3))
+    with pytest.raises(RuntimeError), released(spark):
+        first = materialise(outer.selectExpr("id + 1 as id"))
+        with released(spark):
+            assert materialise(first).count() == 3 and kept() == 3
+        assert first.count() == 3 and kept() == 2
+        raise RuntimeError
+    assert outer.count() == 3 and kept() == 1
+
+
 def test_postings_are_parsed_once(spark):
     stored, _, live = queries.stored_postings(Derived(spark, SF))
     assert "lineitem" not in plan_of(stored) + plan_of(live)
