@@ -170,7 +170,8 @@ def test_partitions_are_replaced_whole(spark, tmp_path):
     assert values(spark.read.schema("n int, day date").parquet(path), "n") == [(0,)]
 
 
-def test_numbers_that_repeat_and_invoices_of_no_project(spark, tmp_path):
+def test_numbers_that_repeat_and_invoices_of_no_project(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(increment, "MANY_PROJECTS", 10)
     T = start(spark, random.Random(16))
     odd = [invoice(901, 5, 800, number="D-1"), invoice(902, 6, 9000, number="D-1"), invoice(903, None, 800, number="P-1"), invoice(904, None, 800, number="P-2")]
     T |= {"invoice": T["invoice"].unionByName(tables(spark, invoice=odd)["invoice"])}
